@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netweave.llm import bpe, media
+from netweave.llm import bpe, decontaminate, html, langid, media, tokenfiles, toxicity
 from netweave.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,30 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_facts(table(prepare(spark), sf_dir, "documents"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontaminate.hit_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_index(table(prepare(spark), sf_dir, "documents"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(prepare(spark), sf_dir, "pages"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(prepare(spark), sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe, op4_media)}
+    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op4_media, op5_token_files, op7_html, op8_language, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
