@@ -204,6 +204,21 @@ def digest(text: Column, path: str | None = None) -> Column:
     return both(text)
 
 
+def encode_and_digest(text: Column, path: str | None = None) -> Column:
+    """struct(ids, n_tokens, ids_sha256, decoded_sha256): the ids themselves besides their digests."""
+
+    @F.pandas_udf("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        own = codec(path)
+        rows = []
+        for t in texts:
+            ids = own.encode(t)
+            rows.append((np.frombuffer(ids, "<i4"), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
+        return pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return both(text)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 

@@ -191,34 +191,34 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
     shared, table = context.broadcast(head), _collected(scores) if broadcast else None
     model = context.broadcast(table)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+    end_score = float(np.log10(ends + 0.1)) - whole
+    shape = "n_tokens long, known long, base double, model double, tail array<binary>, tail_n array<long>, grams array<long>, grams_n array<long>"
 
-        known_words, own_table, at = {w: np.log10(c + 0.1) - whole for w, c in shared.value.items()}, model.value, TaskContext.get().partitionId() << 33
-        end_score = float(np.log10(ends + 0.1)) - whole
-        for batch in batches:
+    @F.pandas_udf(shape)
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known_words, own_table = {w: np.log10(c + 0.1) - whole for w, c in shared.value.items()}, model.value
+        for texts in batches:
             out = []
-            for doc_id, text, held_out in zip(batch["doc_id"].tolist(), batch["text"], batch["held_out"], strict=True):
+            for text in texts:
                 own = words(text)
-                base, known, tail = end_score, int(ends > 0), []
+                base, known, tail, tail_n = end_score, int(ends > 0), [], []
                 for w, k in Counter(own).items():
                     s = known_words.get(w)
                     if s is None:
-                        tail.append((w, k))
+                        tail.append(w)
+                        tail_n.append(k)
                     else:
                         base += k * s
                         known += k
+                found, score = (np.empty(0, np.int64), np.empty(0, np.int64)), 0.0
                 if own_table is None:
-                    g, k = np.unique(grams(own), return_counts=True)
-                    pairs, score = list(zip(g.tolist(), k.tolist(), strict=True)), 0.0
+                    found = np.unique(grams(own), return_counts=True)
                 else:
-                    pairs, score = [], own_table.score(own)
-                out.append((at, None if doc_id != doc_id else doc_id, held_out, len(own) + 1, known, base, score, [w for w, _ in tail], [k for _, k in tail], [g for g, _ in pairs], [k for _, k in pairs]))
-                at += 1
-            yield pd.DataFrame(out, columns=["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "tail", "tail_n", "grams", "grams_n"])
+                    score = own_table.score(own)
+                out.append((len(own) + 1, known, base, score, tail, tail_n, found[0].astype(np.int64), found[1]))
+            yield pd.DataFrame(out, columns=["n_tokens", "known", "base", "model", "tail", "tail_n", "grams", "grams_n"])
 
-    shape = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, tail array<binary>, tail_n array<long>, grams array<long>, grams_n array<long>"
-    first = stored(rows.select("doc_id", "text", "held_out").mapInPandas(scored, shape))
+    first = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", scored("text").alias("r")).select("row", "doc_id", "held_out", "r.*"))
     rare = first.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("k"))
     each = rare.join(vocabulary, "word", "left").select("row", (F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - whole)).alias("s"), F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("known"))
     sums = each.groupBy("row").agg(F.sum("s").alias("tail_base"), F.sum("known").alias("tail_known"))

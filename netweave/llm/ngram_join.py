@@ -260,11 +260,20 @@ def link_components(docs: DataFrame) -> DataFrame:
     sets = stored(sets_of(rows, survivors))
     labels = components(stored(prefix_postings(sets)), sets)
     named = classes.join(labels, "node", "left").select("f", "g", "n", F.coalesce("comp", "node").alias("component_id"))
-    found = signed.join(named.withColumnRenamed("n", "n0"), ["f", "g"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = signed.where("n > 0").join(named.withColumnRenamed("n", "n0"), ["f", "g"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return found.unionByName(signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that link, directly or through others, with one of a lesser id; equal rows become one."""
-    kept = link_components(docs).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(["doc_id"])
+    """``docs`` with the document of least id of every component, and one row for each id; rows without id stay.
+
+    The ids that go are broadcast up to BROADCAST_IDS of them, and joined beyond.
+    """
+    linked = stored(link_components(docs))
+    gone = stored(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    if linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept

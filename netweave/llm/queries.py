@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netweave.llm import bpe, decontaminate, html, langid, media, tokenfiles, toxicity
+from netweave.llm import bpe, decontaminate, html, langid, lm, media, ngram_join, pii, tokenfiles, toxicity
 from netweave.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,8 +42,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(prepare(spark), sf_dir, "documents"))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(prepare(spark), sf_dir, "documents"))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(prepare(spark), sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op4_media, op5_token_files, op7_html, op8_language, op10_toxicity)}
+    found = (op1_decontamination, op2_bpe, op3_language_model, op4_media, op5_token_files, op6_personal_data, op7_html, op8_language, op9_ngram_join, op10_toxicity, pipeline)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
