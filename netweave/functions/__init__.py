@@ -1 +1 @@
-
+"""Numerical kernels."""

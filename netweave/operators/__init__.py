@@ -1 +1 @@
-
+"""Operators over matrices, networks, groups and hierarchies."""

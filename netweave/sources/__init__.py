@@ -1 +1 @@
-
+"""Readers of group files, and shared intermediate tables."""
