@@ -44,7 +44,7 @@ def read_edge_matrices(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     Each file is one row of the scan and is parsed in the task that reads it. Members come from the header, so
     features without edges stay. Cells that are empty or zero are no edges.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.csv").text(folder).select(group_name(F.col("_metadata.file_name")).alias("pathway"), "value")
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.csv").select(group_name(F.col("_metadata.file_name")).alias("pathway"), "value")
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
