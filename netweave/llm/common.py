@@ -1,15 +1,18 @@
-"""Session set-up, shared scratch folders and table access for the training-data operators."""
+"""Session set-up and table access for the training-data operators."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netweave.sources.scratch import shared_folder, stored
+
+__all__ = ["id_and_text", "prepare", "shared_folder", "stored", "table"]
+
 #: Rows and bytes handed to a Python worker at once; bounds a worker's memory when texts are long.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -33,23 +36,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset (tests), under a temporary folder that is then set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="netweave-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/netweave-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
