@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from netweave.llm import bpe, decontaminate, html, langid, lm, media, ngram_join, pii, tokenfiles, toxicity
 from netweave.llm.common import prepare, table
+from netweave.llm.oracles import OP1, OP9
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +23,7 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return decontaminate.hit_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.hit_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +67,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": OP1, "op9_ngram_join": OP9}
