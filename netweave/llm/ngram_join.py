@@ -15,7 +15,7 @@ length and positional filters in the join, and a suffix filter (how the sets spr
 before their one verification.
 
 Near copies by the thousand would give all their pairs. Components do not need them: a round joins each prefix
-shingle's classes with one of them only, and links merge components; pairs inside a component need no test.
+shingle's classes with a few of them only, and links merge components; pairs inside a component need no test.
 When few pairs between components are left, all of those are tested, so that no component is ever missed.
 """
 
@@ -36,8 +36,8 @@ WORDS = 5
 UP, DOWN, LONGER = 3, 4, 16
 #: Class ids up to this number are broadcast (8 bytes each) to pick the classes' texts; more are joined.
 BROADCAST_IDS = 2_000_000
-#: Rounds of pivots at most, and the pairs for each prefix row at which testing all that are left is cheap enough.
-ROUNDS, CHEAP = 8, 2
+#: Pivots of a prefix shingle in a round, rounds at most, and the pairs for each prefix row at which testing all that are left is cheap enough.
+PIVOTS, ROUNDS, CHEAP = 16, 6, 2
 #: Words whose hashes a worker keeps; ranges of the suffix filter.
 CACHE_WORDS, RANGES = 400_000, 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -143,19 +143,20 @@ def screened(rows: DataFrame) -> DataFrame:
 def sets_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, n, own): the shingle hashes of the classes' representatives."""
 
-    @F.pandas_udf("f long, g long, own binary")
-    def listed(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            own = shingles(t)
-            out.append((*identity(own), own.tobytes()))
-        return pd.DataFrame(out, columns=["f", "g", "own"])
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for of, n, f, g, text in batch.itertuples(index=False):
+                own = shingles(text)
+                if identity(own) == (f, g):
+                    out.append((of, n, own.tobytes()))
+            yield pd.DataFrame(out, columns=["node", "n", "own"])
 
     wanted = classes.select(F.col("node").alias("of"), "n", F.col("f").alias("f0"), F.col("g").alias("g0"))
     if classes.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    found = rows.join(wanted, F.col("doc_id") == F.col("of")).select("of", "n", "f0", "g0", listed("text").alias("r")).where("r.f = f0 and r.g = g0")
-    return found.select(F.col("of").alias("node"), "n", F.col("r.own").alias("own")).dropDuplicates(["node"])
+    found = rows.join(wanted, F.col("doc_id") == F.col("of")).select("of", "n", "f0", "g0", "text").mapInPandas(listed, "node long, n long, own binary")
+    return found.dropDuplicates(["node"])
 
 
 def hashes(own: Column) -> Column:
@@ -196,7 +197,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             out.append(bool(np.minimum(*spread).sum() >= need and len(np.intersect1d(a, b, assume_unique=True)) >= need))
         return pd.Series(out)
 
-    left, right = sets.select(F.col("node").alias("x"), F.col("own").alias("a")), sets.select(F.col("node").alias("y"), F.col("own").alias("b"))
+    ids = stored(pairs.select(F.explode(F.array("x", "y")).alias("of")).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    needed = sets.join(ids, F.col("node") == F.col("of"), "left_semi")
+    left, right = needed.select(F.col("node").alias("x"), F.col("own").alias("a")), needed.select(F.col("node").alias("y"), F.col("own").alias("b"))
     return pairs.join(left, "x").join(right, "y").where(links("a", "b")).select("x", "y")
 
 
@@ -205,7 +210,10 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     at = labels.select(F.col("node").alias("v"), "comp")
     ends = links.join(at.select(F.col("v").alias("x"), F.col("comp").alias("a")), "x").join(at.select(F.col("v").alias("y"), F.col("comp").alias("b")), "y").where("a <> b")
     edges = stored(ends.select("a", "b").union(ends.select("b", "a")).distinct())
-    names = stored(edges.select(F.col("a").alias("v"), F.col("a").alias("m")).distinct())
+    names = edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("m"))
+    names = stored(names)
+    if not names.limit(1).count():
+        return labels
     while True:
         near = edges.join(names.select(F.col("v").alias("b"), "m"), "b").groupBy(F.col("a").alias("v")).agg(F.min("m").alias("near"))
         least = names.join(near, "v").select("v", F.least("m", "near").alias("m0"))
@@ -221,26 +229,27 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def components(postings: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, comp) of every class that has prefix rows."""
     labels = stored(postings.select("node").distinct().select("node", F.col("node").alias("comp")))
-    tested = None
     for turn in range(ROUNDS + 1):
         now = stored(postings.join(labels, "node"))
-        sizes = now.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg((F.pow(F.sum("k"), 2) - F.sum(F.col("k") * F.col("k"))).alias("cross")).where("cross > 0")
-        told = sizes.agg(F.sum("cross").alias("cross")).first()["cross"] or 0
+        sizes = now.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg((F.pow(F.sum("k"), 2) - F.sum(F.col("k") * F.col("k"))).alias("cross"))
+        open_h = stored(sizes.where("cross > 0"))
+        told = open_h.agg(F.sum("cross").alias("cross")).first()["cross"] or 0
         if not told:
             break
+        now = stored(now.join(open_h.select("h"), "h", "left_semi"))  # shingles all of whose classes are in one component are done
+        postings = now.drop("comp")
         last = turn == ROUNDS or told / 2 <= CHEAP * now.count()
         one = now.select("h", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
         if last:
             met = now.join(one, "h").where("comp < comp2")
         else:
-            pivots = one.join(sizes.select("h"), "h", "left_semi").groupBy("h").agg(F.min_by(F.struct("node2", "n2", "pos2", "comp2"), F.xxhash64("node2", F.lit(turn))).alias("p")).select("h", "p.*")
+            lot = F.xxhash64("node2", F.lit(turn))
+            pivots = one.groupBy("h", F.pmod(lot, F.lit(PIVOTS)).alias("slot")).agg(F.min_by(F.struct("node2", "n2", "pos2", "comp2"), lot).alias("p")).select("h", "p.*")
             met = now.join(pivots, "h").where("comp <> comp2")
         pairs = met.where(may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"))).select(F.least("node", "node2").alias("x"), F.greatest("node", "node2").alias("y")).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
-        labels = stored(merged(labels, stored(verified(pairs, sets))))
+        labels = stored(merged(labels, stored(verified(stored(pairs), sets))))
         if last:
             break
-        tested = pairs if tested is None else stored(tested.union(pairs))
     return labels
 
 
