@@ -27,7 +27,7 @@ from netweave.llm.common import id_and_text, stored
 
 ORDER, FOLDS = 3, 10
 #: The most frequent words, which are broadcast; all others are joined.
-HEAD_WORDS = 200_000
+HEAD_WORDS = 50_000
 #: Gram tables up to this number of rows and of matrix cells (4 bytes each) are broadcast; larger ones are joined.
 BROADCAST_GRAMS, BROADCAST_CELLS = 4_000_000, 32_000_000
 #: Entries after which a counting task hands on what it holds.
@@ -139,6 +139,7 @@ class Table:
     """Gram scores as a matrix of contexts by bytes, for lookups without a search."""
 
     def __init__(self, keys: np.ndarray, log_p: np.ndarray):
+        keys = keys.astype(np.int64)
         self.symbol = np.zeros(256, np.int32)
         used = np.unique(np.concatenate([keys >> 8 * k & 0xFF for k in range(ORDER + 1)])) if len(keys) else np.zeros(1, np.int64)
         self.symbol[used] = np.arange(len(used))
@@ -164,12 +165,12 @@ class Table:
         return float(self.scores[self.row[context], raw[ORDER:]].sum(dtype=np.float64))
 
 
-def _collected(scores: DataFrame) -> Table | None:
-    """The table, or None where it is beyond the broadcast bounds."""
+def _collected(scores: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """The grams and their scores, or None where they are beyond the broadcast bounds. Tasks lay them out as a Table."""
     if scores.count() > BROADCAST_GRAMS or scores.select(F.shiftright("gram", 8)).distinct().count() * 256 > BROADCAST_CELLS * 2:
         return None
-    rows = scores.toPandas()
-    return Table(rows["gram"].to_numpy(np.int64), rows["log_p"].to_numpy(np.float64))
+    rows = scores.toArrow()
+    return rows["gram"].to_numpy().astype(np.uint32), rows["log_p"].to_numpy().astype(np.float32)
 
 
 def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bool = True) -> DataFrame:
@@ -187,7 +188,8 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
     ends = rows.where("not held_out").count()
     n, v = (told["c"] or 0) + ends, told["v"] + (ends > 0)
     whole = float(np.log10(n + 0.1 * (v + 1)))
-    head = {bytes(r["word"]): r["c"] for r in vocabulary.orderBy(F.desc("c"), "word").limit(head_words).collect()}
+    most = vocabulary.orderBy(F.desc("c"), "word").limit(head_words).toArrow()
+    head = dict(zip(most["word"].to_pylist(), most["c"].to_pylist(), strict=True))
     shared, table = context.broadcast(head), _collected(scores) if broadcast else None
     model = context.broadcast(table)
 
@@ -196,7 +198,8 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
 
     @F.pandas_udf(shape)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known_words, own_table = {w: np.log10(c + 0.1) - whole for w, c in shared.value.items()}, model.value
+        known_words = {w: float(np.log10(c + 0.1)) - whole for w, c in shared.value.items()}
+        own_table = Table(*model.value) if model.value else None
         for texts in batches:
             out = []
             for text in texts:
