@@ -280,9 +280,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     linked = stored(link_components(docs))
     gone = stored(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.join(side, docs["doc_id"] == gone["_gone"], "left_anti")
     if linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept

@@ -10,14 +10,14 @@ LONG = "lorem Ipsum 4111111111111111 a@b.example " * 200 + "dolor " * 40_000
 TEXTS = [(0, None), (1, ""), (2, " \n\t"), (3, LONG), (4, "the same text twice over here"), (5, "the same text twice over here"), (5, "the same text twice over here"), (7, "ÄÖ ß 中文 😀"), (None, "no id at all, +1 (301) 555-0346"), (9, "you idiot clown scum")]
 LABELS = [(9, 1), (4, 0), (5, 0), (3, None), (None, 1), (77, 1)]
 ITEMS = [(1, "the same text twice"), (2, None), (3, ""), (None, "idiot clown")]
-#: Columns that operators use inside, and upper-case doubles of none of their own.
-EXTRA = {"n_words": "x", "r": "y", "spans": "z", "base": "b", "score": "s", "node": "n", "_gone": "g"}
+#: Columns that operators use inside.
+EXTRA = {"n_words": "x", "r": "y", "spans": "z", "base": "b", "score": "s", "node": "n", "_gone": "g", "_row": "w"}
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumns({"lang": F.when(F.col("doc_id") < 5, "en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
-    return rows.withColumns({k: F.lit(v) for k, v in EXTRA.items() if k != "_gone"})
+    return rows.withColumns({k: F.lit(v) for k, v in EXTRA.items()})
 
 
 @pytest.fixture(scope="module")
