@@ -56,7 +56,7 @@ def page_rank(source: str, target: str, steps: int, rescale: bool = True) -> str
     value = "raw / sum(raw) OVER ()" if rescale else "raw"
     tables = (
         f"live AS MATERIALIZED (SELECT {source} AS node FROM flow GROUP BY 1 HAVING sum(weight) <> 0), "
-        f"sh AS MATERIALIZED (SELECT {source} AS s, {target} AS t, weight / sum(weight) OVER (PARTITION BY {source}) AS share FROM flow WHERE src IN (FROM live) AND dst IN (FROM live)), "
+        f"sh AS MATERIALIZED (SELECT {source} AS s, {target} AS t, weight / sum(weight) OVER (PARTITION BY {source}) AS share FROM flow WHERE src IN (FROM live) AND dst IN (FROM live) UNION ALL SELECT node, node, 0 FROM live), "
         "pr AS (SELECT 0 AS it, node, 1::DOUBLE / (SELECT count(*) FROM live) AS v FROM live UNION ALL "
         f"SELECT it, node, {value} AS v FROM (SELECT it + 1 AS it, live.node, 0.85::DOUBLE * coalesce(sum(share * v), 0) + 0.15::DOUBLE / (SELECT count(*) FROM live) AS raw FROM live LEFT JOIN sh ON sh.t = live.node LEFT JOIN pr ON pr.node = sh.s WHERE it < {steps} GROUP BY it, live.node))"
     )
