@@ -171,7 +171,7 @@ def er_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svm_rates_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate of a given prediction."""
     given = inputs.read(spark, sf_dir, "embeddings").select(F.lit("").alias("path"), (F.col("label") % 3).alias("label"), (F.col("vec_id") % 3).alias("predicted"))
-    return modules.rates(given).select("bsr")
+    return rounded(modules.rates(given).select("bsr"), "bsr")
 
 
 def rows_only(name: str, build: Callable[[DataFrame], DataFrame], *columns: str, classes: bool = False) -> None:

@@ -132,5 +132,5 @@ def oracles() -> dict[str, str]:
         "er_graph": "WITH g AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey ORDER BY md5(a.n_nationkey::VARCHAR || '-' || b.n_nationkey::VARCHAR), 1, 2 LIMIT 60) SELECT src, dst, 1::DOUBLE AS weight FROM g UNION ALL SELECT dst, src, 1::DOUBLE FROM g",
         "metadata_cases": "SELECT c_custkey AS subject, n_name AS nation, c_mktsegment <> 'BUILDING' AS is_case FROM customer JOIN nation ON c_nationkey = n_nationkey",
         "restrict_features": with_tables(f"SELECT subject, feature, {r('value')} AS value FROM m WHERE feature IN (SELECT feature FROM mem WHERE pathway = 7)", "mem"),
-        "svm_rates_fixed": "SELECT avg(share) AS bsr FROM (SELECT vec_id % 3 AS guess, avg(CASE WHEN label % 3 = vec_id % 3 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS share FROM embeddings GROUP BY 1)",
+        "svm_rates_fixed": f"SELECT {r('avg(share)')} AS bsr FROM (SELECT vec_id % 3 AS guess, avg(CASE WHEN label % 3 = vec_id % 3 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS share FROM embeddings GROUP BY 1)",
     }
