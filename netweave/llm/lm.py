@@ -1,15 +1,16 @@
 """Language-model scores by context-tree weighting.
 
 A text is its words in lower case with one space between them and an end byte. Each byte is eight binary
-decisions; a decision's contexts are the bits before it in its byte and the 0 to ORDER bytes before that. Every
+decisions; a decision's contexts are the bits before it in its byte and the 0 to ``order`` bytes before that. Every
 such context estimates its next bit by Krichevsky and Trofimov's rule, and the tree weights mix the estimates of
 all depths. The counts come from the training documents; scoring changes them no more. Where a path leaves the
 contexts that training has seen, its deepest seen context decides alone.
 
-A byte's probability depends on the ORDER bytes before it and on nothing else, so the corpus gives one table of
-(ORDER + 1)-byte grams with their log probabilities: Spark counts the grams of all documents (those that only
-held-out documents have count 0), sums the counts up the tree, and carries the mixture down again. Texts then look
-up their grams. The base score is an add-0.1 unigram of words: frequent words are looked up in a broadcast
+A byte's probability depends on the ``order`` bytes before it and on nothing else, so the corpus gives one table of
+(order + 1)-byte grams with their log probabilities: Spark counts the grams of all documents (those that only
+held-out documents have count 0), sums the counts up the tree, and carries the mixture down again. Levels up to
+ORDER are joins; below it the subtrees of whole ORDER-byte contexts are dealt to tasks. Texts then look up their
+grams. The base score is an add-0.1 unigram of words: frequent words are looked up in a broadcast
 table of fixed size, all others are joined by word.
 """
 
@@ -25,11 +26,15 @@ from pyspark.sql import functions as F
 
 from netweave.llm.common import id_and_text, stored
 
-ORDER, FOLDS = 3, 10
+#: Bytes of the contexts that plans alone handle, and the default; the query goes to DEEP. MOST fits a gram in a long.
+ORDER, DEEP, MOST, FOLDS = 3, 6, 6, 10
 #: The most frequent words, which are broadcast; all others are joined.
 HEAD_WORDS = 50_000
-#: Gram tables up to this number of rows and of matrix cells (4 bytes each) are broadcast; larger ones are joined.
-BROADCAST_GRAMS, BROADCAST_CELLS = 4_000_000, 32_000_000
+#: Gram tables up to this number of rows (12 bytes each) and, at ORDER, of matrix cells (4 bytes each) are broadcast;
+#: larger ones are joined.
+BROADCAST_GRAMS, BROADCAST_CELLS = 10_000_000, 32_000_000
+#: Grams of a task of the deep levels, on average.
+SHARD_GRAMS = 200_000
 #: Entries after which a counting task hands on what it holds.
 FLUSH_WORDS, FLUSH_GRAMS = 300_000, 4_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -39,12 +44,12 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_LOWER).split() if text else []
 
 
-def grams(own: list[bytes]) -> np.ndarray:
-    """The (ORDER + 1)-byte grams of a text, each as a number whose last byte is the one that is predicted."""
-    raw = np.frombuffer(b"\n" * ORDER + b" ".join(own) + b"\n", np.uint8).astype(np.uint32)
-    total = raw[: len(raw) - ORDER].copy()
-    for k in range(1, ORDER + 1):
-        total = total << np.uint32(8) | raw[k : len(raw) - ORDER + k]
+def grams(own: list[bytes], order: int = ORDER) -> np.ndarray:
+    """The (order + 1)-byte grams of a text, each as a number whose last byte is the one that is predicted."""
+    raw = np.frombuffer(b"\n" * order + b" ".join(own) + b"\n", np.uint8).astype(np.int64)
+    total = raw[: len(raw) - order].copy()
+    for k in range(1, order + 1):
+        total = total << 8 | raw[k : len(raw) - order + k]
     return total
 
 
@@ -52,11 +57,11 @@ def is_held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def count_grams(rows: DataFrame) -> DataFrame:
+def count_grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, n): grams of all documents, with their occurrences in training documents."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, times, size = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], 0
+        held, times, size = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             keys, place = np.unique(np.concatenate(held), return_inverse=True)
@@ -66,7 +71,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
             for train in (True, False):
                 texts = batch["text"][batch["held_out"] != train]
                 if len(texts):
-                    keys, n = np.unique(np.concatenate([grams(words(t)) for t in texts]), return_counts=True)
+                    keys, n = np.unique(np.concatenate([grams(words(t), order) for t in texts]), return_counts=True)
                     held.append(keys)
                     times.append(n * train)
                     size += len(keys)
@@ -74,10 +79,10 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 keys, n = merged()
                 held, times, size = [keys], [n], 0
                 if len(keys) > FLUSH_GRAMS // 2:
-                    yield pd.DataFrame({"gram": keys.astype(np.int64), "n": n})
-                    held, times = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+                    yield pd.DataFrame({"gram": keys, "n": n})
+                    held, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         keys, n = merged()
-        yield pd.DataFrame({"gram": keys.astype(np.int64), "n": n})
+        yield pd.DataFrame({"gram": keys, "n": n})
 
     return rows.select("text", "held_out").mapInPandas(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -107,15 +112,112 @@ def log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(product)
 
 
-def gram_scores(counted: DataFrame) -> DataFrame:
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """As log_gamma."""
+    y, product = x + 8, x.copy()
+    for k in range(1, 8):
+        product *= x + k
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
+
+
+class Subtrees:
+    """The levels ORDER to ``order`` of the tree over some grams, which have all grams of each of their ORDER-byte contexts.
+
+    A level's rows are its grams in order, so that the nodes of each of the eight decisions are runs of rows.
+    """
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int):
+        place = np.argsort(keys)
+        self.order, self.place, self.keys, self.up, self.nodes = order, place, {order: keys[place]}, {}, {}
+        n, below = n[place].astype(float), None
+        for depth in range(order, ORDER - 1, -1):
+            if depth < order:
+                self.keys[depth], self.up[depth + 1] = np.unique(self.keys[depth + 1] & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+                n = np.bincount(self.up[depth + 1], n, len(self.keys[depth]))
+            for j in range(8):
+                node = self.keys[depth] >> (8 - j)
+                first = np.concatenate([[True], node[1:] != node[:-1]])
+                starts, ids = np.flatnonzero(first), np.cumsum(first) - 1
+                total, b = np.add.reduceat(n, starts), np.add.reduceat(n * (self.keys[depth] >> (7 - j) & 1), starts)
+                log_e = _log_gamma(total - b + 0.5) + _log_gamma(b + 0.5) - _log_gamma(total + 1.0) - np.log(np.pi)
+                log_w, own = log_e, np.ones(len(log_e))
+                if depth < order:
+                    child = self.nodes[depth + 1, j]
+                    below = np.bincount(ids[self.up[depth + 1][child["starts"]]], child["log_w"], len(starts))
+                    log_w = np.logaddexp(below, log_e) - np.log(2.0)
+                    own = 1 / (1 + np.exp(np.minimum(below - log_e, 700)))
+                self.nodes[depth, j] = {"starts": starts, "ids": ids, "a": total - b, "b": b, "log_w": log_w, "log_e": log_e, "own": own}
+
+    def _named(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        at = self.keys[ORDER][self.nodes[ORDER, j]["starts"]]
+        return at >> 8, 1 << j | (at & 0xFF) >> (8 - j)
+
+    def top(self) -> pd.DataFrame:
+        """(ctx, p, a, b, log_e, log_w, own) of the nodes at ORDER."""
+        each = []
+        for j in range(8):
+            ctx, p = self._named(j)
+            each.append(pd.DataFrame({"ctx": ctx, "p": p, **{k: self.nodes[ORDER, j][k] for k in ("a", "b", "log_e", "log_w", "own")}}))
+        return pd.concat(each)
+
+    def scores(self, above: pd.DataFrame) -> np.ndarray:
+        """log10 of each gram's probability, from (ctx, p, mix, rest, p1) at ORDER."""
+        named = (above["ctx"].to_numpy() << 8) | above["p"].to_numpy()
+        turn = np.argsort(named)
+        columns = [above[c].to_numpy()[turn] for c in ("mix", "rest", "p1")]
+        found = np.zeros(len(self.place))
+        for j in range(8):
+            ctx, p = self._named(j)
+            mix, rest, p1 = (c[np.searchsorted(named[turn], ctx << 8 | p)] for c in columns)
+            for depth in range(ORDER + 1, self.order + 1):
+                x = self.nodes[depth, j]
+                up = self.nodes[depth - 1, j]["ids"][self.up[depth][x["starts"]]]
+                kt, mix, rest = (x["b"] + 0.5) / (x["a"] + x["b"] + 1.0), mix[up], rest[up]
+                p1 = np.where(x["a"] + x["b"] > 0, mix + rest * kt, p1[up])
+                mix, rest = mix + rest * x["own"] * kt, rest * (1 - x["own"])
+            ones = p1[self.nodes[self.order, j]["ids"]]
+            found += np.log10(np.where(self.keys[self.order] >> (7 - j) & 1, ones, 1 - ones))
+        out = np.empty(len(found))
+        out[self.place] = found
+        return out
+
+
+def gram_scores(counted: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, log_p): log10 of the mixture's probability of each gram's last byte after the bytes before it."""
+    if order > ORDER:
+        return _deep_scores(counted, order)
     x = F.col("gram").bitwiseAND(0xFF)
 
     steps = [F.struct((F.lit(1 << j) + F.shiftright(x, 8 - j)).cast("int").alias("p"), F.shiftright(x, 7 - j).bitwiseAND(1).cast("int").alias("bit")) for j in range(8)]
     decided = counted.select("gram", "n", F.shiftright("gram", 8).alias("ctx"), F.explode(F.array(*steps)).alias("d")).select("gram", "n", "ctx", "d.p", "d.bit")
     log_kt = log_gamma(F.col("a") + 0.5) + log_gamma(F.col("b") + 0.5) - log_gamma(F.col("a") + F.col("b") + 1.0) - float(np.log(np.pi))
     level = decided.groupBy("ctx", "p").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("a"), F.sum(F.col("n") * F.col("bit")).alias("b"))
-    level = stored(level.withColumn("log_e", log_kt).withColumn("log_w", F.col("log_e")).withColumn("own", F.lit(1.0)))
+    top = _carried(stored(level.withColumn("log_e", log_kt).withColumn("log_w", F.col("log_e")).withColumn("own", F.lit(1.0))))
+    chosen = F.when(F.col("bit") == 1, F.col("p1")).otherwise(1 - F.col("p1"))
+    return decided.select("gram", "ctx", "p", "bit").join(top.select("ctx", "p", "p1"), ["ctx", "p"]).groupBy("gram").agg(F.sum(F.log10(chosen)).alias("log_p"))
+
+
+def _deep_scores(counted: DataFrame, order: int) -> DataFrame:
+    """gram_scores by shards of whole ORDER-byte contexts: weights up to ORDER, joins above it, and down again."""
+    shards = max(1, -(-counted.count() // SHARD_GRAMS))
+    shard = lambda ctx: F.pmod(F.hash(ctx), F.lit(shards))
+    dealt = counted.select("gram", "n", shard(F.shiftright("gram", 8).bitwiseAND((1 << 8 * ORDER) - 1)).alias("shard")).repartition(shards, "shard")
+
+    def weighted(group: pd.DataFrame) -> pd.DataFrame:
+        return Subtrees(group["gram"].to_numpy(), group["n"].to_numpy(), order).top()
+
+    def scored(group: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        tree = Subtrees(group["gram"].to_numpy(), group["n"].to_numpy(), order)
+        return pd.DataFrame({"gram": group["gram"].to_numpy(), "log_p": tree.scores(above)})
+
+    level = stored(dealt.groupBy("shard").applyInPandas(weighted, "ctx long, p int, a double, b double, log_e double, log_w double, own double"))
+    above = _carried(level).select("ctx", "p", "mix", "rest", "p1", shard(F.col("ctx")).alias("shard")).repartition(shards, "shard")
+    return dealt.groupBy("shard").cogroup(above.groupBy("shard")).applyInPandas(scored, "gram long, log_p double")
+
+
+def _carried(level: DataFrame) -> DataFrame:
+    """(ctx, p, mix, rest, p1) at ORDER, from its (ctx, p, a, b, log_e, log_w, own)."""
+    log_kt = log_gamma(F.col("a") + 0.5) + log_gamma(F.col("b") + 0.5) - log_gamma(F.col("a") + F.col("b") + 1.0) - float(np.log(np.pi))
     levels = [level]
     for depth in range(ORDER - 1, -1, -1):
         up = level.groupBy(F.col("ctx").bitwiseAND((1 << 8 * depth) - 1).alias("ctx"), "p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("log_w").alias("below"))
@@ -131,8 +233,36 @@ def gram_scores(counted: DataFrame) -> DataFrame:
         up = top.select(F.col("ctx").alias("up"), F.col("p").alias("q"), F.col("mix").alias("mix0"), F.col("rest").alias("rest0"), F.col("p1").alias("p0"))
         joined = levels[ORDER - depth].join(up, (F.col("ctx").bitwiseAND((1 << 8 * (depth - 1)) - 1) == F.col("up")) & (F.col("p") == F.col("q")))
         top = joined.select("ctx", "p", (F.col("mix0") + F.col("rest0") * F.col("own") * kt).alias("mix"), (F.col("rest0") * (1 - F.col("own"))).alias("rest"), F.when(seen, F.col("mix0") + F.col("rest0") * kt).otherwise(F.col("p0")).alias("p1"))
-    chosen = F.when(F.col("bit") == 1, F.col("p1")).otherwise(1 - F.col("p1"))
-    return decided.select("gram", "ctx", "p", "bit").join(top.select("ctx", "p", "p1"), ["ctx", "p"]).groupBy("gram").agg(F.sum(F.log10(chosen)).alias("log_p"))
+    return top
+
+
+class DeepTable:
+    """Gram scores in the order of their mixed keys, with the first place of each range of these."""
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, mixed: np.ndarray, log_p: np.ndarray, order: int):
+        self.mixed, self.log_p, self.order = mixed, log_p, order
+        bits = max(1, len(mixed).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((mixed >> self.shift).astype(np.int64), minlength=1 << bits), out=self.first[1:])
+
+    @classmethod
+    def laid_out(cls, keys: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mixed = keys.astype(np.uint64) * cls.FACTOR
+        turn = np.argsort(mixed)
+        return mixed[turn], log_p[turn]
+
+    def score(self, own: list[bytes]) -> float:
+        """The sum over a text's grams, all of which the table has."""
+        wanted = grams(own, self.order).astype(np.uint64) * self.FACTOR
+        at = self.first[(wanted >> self.shift).astype(np.int64)]
+        late = np.flatnonzero(self.mixed[at] != wanted)
+        while len(late):
+            at[late] += 1
+            late = late[self.mixed[at[late]] != wanted[late]]
+        return float(self.log_p[at].sum(dtype=np.float64))
 
 
 class Table:
@@ -165,24 +295,31 @@ class Table:
         return float(self.scores[self.row[context], raw[ORDER:]].sum(dtype=np.float64))
 
 
-def _collected(scores: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """The grams and their scores, or None where they are beyond the broadcast bounds. Tasks lay them out as a Table."""
-    if scores.count() > BROADCAST_GRAMS or scores.select(F.shiftright("gram", 8)).distinct().count() * 256 > BROADCAST_CELLS * 2:
+def _collected(scores: DataFrame, order: int = ORDER) -> tuple[np.ndarray, np.ndarray] | None:
+    """The grams and their scores, or None where they are beyond the broadcast bounds. Tasks lay them out as a table."""
+    if scores.count() > BROADCAST_GRAMS:
+        return None
+    if order > ORDER:
+        rows = scores.select("gram", F.col("log_p").cast("float").alias("log_p")).toArrow()
+        return DeepTable.laid_out(rows["gram"].to_numpy(), rows["log_p"].to_numpy())
+    if scores.select(F.shiftright("gram", 8)).distinct().count() * 256 > BROADCAST_CELLS * 2:
         return None
     rows = scores.toArrow()
     return rows["gram"].to_numpy().astype(np.uint32), rows["log_p"].to_numpy().astype(np.float32)
 
 
-def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bool = True) -> DataFrame:
+def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bool = True, order: int = ORDER) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts have the end token alone. Repeated rows are scored and counted each. A null id counts as
     training. An empty table gives no rows. Only doc_id and text are read. ``broadcast`` False takes the joins for
-    the gram table whatever its size.
+    the gram table whatever its size. ``order``: bytes of the deepest contexts, ORDER to MOST.
     """
+    if not ORDER <= order <= MOST:
+        raise ValueError(f"order is {ORDER} to {MOST}")
     context = docs.sparkSession.sparkContext
     rows = id_and_text(docs).withColumn("held_out", is_held_out(F.col("doc_id")))
-    scores = stored(gram_scores(stored(count_grams(rows))))
+    scores = stored(gram_scores(stored(count_grams(rows, order)), order))
     vocabulary = stored(count_words(rows))
     told = vocabulary.agg(F.sum("c").alias("c"), F.count("*").alias("v")).first()
     ends = rows.where("not held_out").count()
@@ -190,7 +327,7 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
     whole = float(np.log10(n + 0.1 * (v + 1)))
     most = vocabulary.orderBy(F.desc("c"), "word").limit(head_words).toArrow()
     head = dict(zip(most["word"].to_pylist(), most["c"].to_pylist(), strict=True))
-    shared, table = context.broadcast(head), _collected(scores) if broadcast else None
+    shared, table = context.broadcast(head), _collected(scores, order) if broadcast else None
     model = context.broadcast(table)
 
     end_score = float(np.log10(ends + 0.1)) - whole
@@ -199,7 +336,7 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
     @F.pandas_udf(shape)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known_words = {w: float(np.log10(c + 0.1)) - whole for w, c in shared.value.items()}
-        own_table = Table(*model.value) if model.value else None
+        own_table = (Table(*model.value) if order == ORDER else DeepTable(*model.value, order)) if model.value else None
         for texts in batches:
             out = []
             for text in texts:
@@ -215,10 +352,10 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
                         known += k
                 found, score = (np.empty(0, np.int64), np.empty(0, np.int64)), 0.0
                 if own_table is None:
-                    found = np.unique(grams(own), return_counts=True)
+                    found = np.unique(grams(own, order), return_counts=True)
                 else:
                     score = own_table.score(own)
-                out.append((len(own) + 1, known, base, score, tail, tail_n, found[0].astype(np.int64), found[1]))
+                out.append((len(own) + 1, known, base, score, tail, tail_n, *found))
             yield pd.DataFrame(out, columns=["n_tokens", "known", "base", "model", "tail", "tail_n", "grams", "grams_n"])
 
     first = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", scored("text").alias("r")).select("row", "doc_id", "held_out", "r.*"))

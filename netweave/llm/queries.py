@@ -44,7 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(table(prepare(spark), sf_dir, "documents"))
+    return lm.score_documents(table(prepare(spark), sf_dir, "documents"), order=lm.DEEP)
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
