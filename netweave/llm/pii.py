@@ -3,9 +3,11 @@
 Base patterns with checks of their values (parts of an address, a card's check digit, a phone's digits) give
 spans that always stand. High-recall generators propose more, overlapping spans: obfuscated addresses, numbers
 in any grouping, hexadecimal keys, account numbers. Boosted trees score these by their format and the words
-before them; a threshold for each generator, calibrated on a part of the sample that training did not see,
-selects what is added. The trees are trained by Spark's own library on a bounded sample, with the base checks as
-labels, and applied as nested CASE expressions, so that a scan, its patterns and the scores are one JVM stage.
+before them; a threshold for each generator, calibrated on the candidates of all documents that training did not
+see, selects what is added. What a strict rule names is always added, so that a kind without evidence for a
+threshold has its rule. The trees are trained by Spark's own library on a sample of each kind and class, with the
+base checks and the rules as labels, and applied as nested CASE expressions, so that a scan, its patterns and the
+scores are one JVM stage.
 """
 
 from __future__ import annotations
@@ -33,15 +35,15 @@ GENERATORS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|[\[(]at[\])]| at ) ?[A-Za-z0-9-]++(?:\.| ?[\[(]dot[\])] ?| dot )[A-Za-z]{2,}+",
     "phone": r"(?<![0-9])[+(]?[0-9](?:[ ().-]{0,2}+[0-9]){6,18}+",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+",
-    "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{24,128}+(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{24,}+(?![0-9A-Za-z])",
 }
 CONTEXT = 24
 _CALL = r"(?i)\b(?:phone|tel|telephone|call|fax|mobile|cell|whatsapp|contact)\b"
 _MAIL = r"(?i)\b(?:e-?mail|mail|contact|write)\b"
 _KEY = r"(?i)(?:token|secret|key|password|passwd|pwd|auth|bearer)\W{0,5}$"
 _BANK = r"(?i)\b(?:iban|account|konto|compte|cuenta)\b"
-#: Documents, and then candidates, that training reads at most; precision that a threshold has to reach.
-SAMPLE_DOCS, SAMPLE_CANDIDATES, PRECISION = 3000, 4000, 0.95
+#: Candidates of each kind and class that training reads, about; precision that a threshold has to reach; its steps.
+SAMPLE_CANDIDATES, PRECISION, BINS = 500, 0.95, 1000
 TREES, DEPTH, SEED = 8, 3, 11
 
 
@@ -123,7 +125,7 @@ def with_candidates(rows: DataFrame) -> DataFrame:
             }
             rule = {"email": m.rlike(r"[\[(]at[\])].*[\[(]dot[\])]"), "phone": m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "iban": before.rlike(_BANK), "secret": before.rlike(_KEY)}[kind]
             overlaps = F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-            return F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), overlaps.alias("known"), (overlaps | rule).cast("double").alias("label"), *(values[f].cast("double").alias(f) for f in FEATURES))
+            return F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), overlaps.alias("known"), rule.alias("rule"), (overlaps | rule).cast("double").alias("label"), *(values[f].cast("double").alias(f) for f in FEATURES))
 
         return F.transform(located(text, pattern, needs[kind]), described)
 
@@ -145,40 +147,56 @@ def tree_sql(debug: str) -> str:
     return node(0)[0]
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[str, dict[int, float]] | None:
-    """(SQL of a candidate's probability, threshold by kind), from a bounded sample; None if that has one class only."""
-    rows = docs.where("text is not null")
-    picked = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_docs).select("doc_id").distinct()
-    found = with_candidates(with_base(rows.join(F.broadcast(picked), "doc_id", "left_semi")))
-    sample = stored(found.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.*").orderBy(F.xxhash64("doc_id", "s", "k")).limit(SAMPLE_CANDIDATES))
-    classes = {r["label"] for r in sample.select("label").distinct().collect()}
-    if len(classes) < 2:
+def fit(docs: DataFrame) -> tuple[str, dict[int, float]] | None:
+    """(SQL of a candidate's probability, threshold by kind); None if the candidates to train on have one class only.
+
+    The trees see about SAMPLE_CANDIDATES of each kind and class, of four fifths of the documents. Thresholds come
+    from the candidates of all documents but these, each class in its share of all candidates of the kind.
+    """
+    found = with_candidates(with_base(docs.where("text is not null"))).select("doc_id", F.explode("candidates").alias("c"))
+    every = stored(found.select("c.*", (F.xxhash64("doc_id") % 5 == 0).alias("kept"), F.pmod(F.xxhash64("doc_id", "c.s", "c.k"), F.lit(1 << 30)).alias("h")).where("label is not null"))
+    sizes = {(r["k"], r["label"]): (r["n"], r["open"]) for r in every.groupBy("k", "label").agg(F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("open")).collect()}
+    if not sizes:
+        return None
+    bound = F.expr("CASE " + " ".join(f"WHEN k = {k} AND label = {label!r}D THEN {int((1 << 30) * min(1.0, SAMPLE_CANDIDATES / max(free, 1)))}" for (k, label), (_, free) in sizes.items()) + " END")
+    marked = every.withColumn("trained", ~F.col("kept") & (F.col("h") < bound))
+    sample = stored(marked.where("trained").select("label", *FEATURES))
+    if sample.select("label").distinct().count() < 2:
         return None
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample).withColumn("kept", F.xxhash64("doc_id") % 5 == 0)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3).fit(ready.where("not kept").select("features", "label").coalesce(1))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample).select("features", "label").coalesce(1))
     margin = " + ".join(f"{w!r}D * {tree_sql(t.toDebugString)}" for w, t in zip(model.treeWeights, model.trees, strict=True))
     score = f"1D / (1D + exp(-2D * ({margin})))"
-    judged = sample.withColumn("kept", F.xxhash64("doc_id") % 5 == 0).where("kept").select("k", "label", F.struct(*FEATURES).alias("c")).selectExpr("k", "label", f"{score} AS p").collect()
+    judged = marked.where("not trained").select("k", "label", F.struct(*FEATURES).alias("c")).selectExpr("k", "label", f"cast(floor(({score}) * {BINS}) AS int) AS bin")
+    return score, chosen_thresholds([tuple(r) for r in judged.groupBy("k", "label", "bin").count().collect()], {key: n for key, (n, _) in sizes.items()})
+
+
+def chosen_thresholds(counts: list[tuple[int, float, int, int]], sizes: dict[tuple[int, float], int]) -> dict[int, float]:
+    """By kind, the least bound, 0.5 at least, from which candidates are right; above 1, which leaves the rule alone,
+    without evidence. From counts (k, label, bin, n) of the judged and the sizes (k, label) of all candidates."""
+    seen: dict[tuple[int, float], int] = {}
+    for k, label, _, n in counts:
+        seen[k, label] = seen.get((k, label), 0) + n
     thresholds = {}
     for k in range(len(KINDS)):
-        own = sorted(((r["p"], r["label"]) for r in judged if r["k"] == k), reverse=True)
-        right, best = 0.0, 2.0  # above 1: nothing is added for a kind without evidence
-        for n, (p, label) in enumerate(own, 1):
-            right += label
-            if right >= PRECISION * n and (n == len(own) or own[n][0] < p):
-                best = p
-        thresholds[k] = max(best, 0.5)
-    return score, thresholds
+        own: dict[int, list[float]] = {}
+        for kind, label, at, n in counts:
+            if kind == k:
+                own.setdefault(at, [0.0, 0.0])[int(label)] += n * sizes[k, label] / seen[k, label]
+        right, total, best = 0.0, 0.0, 2.0
+        for at in sorted(own, reverse=True):
+            right, total = right + own[at][1], total + sum(own[at])
+            if right >= PRECISION * total:
+                best = at / BINS
+        thresholds[k] = max(best, 0.5) if (k, 0.0) in seen else 2.0  # none where nothing could speak against
+    return thresholds
 
 
 def with_spans(rows: DataFrame, model: tuple[str, dict[int, float]] | None) -> DataFrame:
     """Add ``base`` and ``spans``: the base spans and the selected candidates beside them, by kind and start."""
     based = with_base(rows)
-    if model is None:
-        return based.withColumn("spans", F.col("base"))
-    score, thresholds = model
+    score, thresholds = model or ("0D", dict.fromkeys(range(len(KINDS)), 2.0))
     needed = "CASE c.k " + " ".join(f"WHEN {k} THEN {t!r}D" for k, t in thresholds.items()) + " END"
-    added = F.expr(f"transform(filter(candidates, c -> NOT c.known AND {score} >= {needed}), c -> struct(c.k AS k, c.s AS s, c.e AS e))")
+    added = F.expr(f"transform(filter(candidates, c -> NOT c.known AND (c.rule OR {score} >= {needed})), c -> struct(c.k AS k, c.s AS s, c.e AS e))")
     return with_candidates(based).withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", added)))).drop("candidates")
 
 
@@ -191,7 +209,7 @@ def find(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans.
 
     Null and empty texts have no spans. Repeated rows give a row each. Only doc_id and text are read. Nothing is
-    shuffled but the bounded training sample.
+    shuffled but counts of candidates and the training sample.
     """
     rows = id_and_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
     found = with_spans(rows, fit(rows))
