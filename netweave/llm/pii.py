@@ -124,8 +124,16 @@ def with_candidates(rows: DataFrame) -> DataFrame:
                 "word_before": before.rlike("[A-Za-z0-9]$"), "word_after": F.substring(text, x["e"] + 1, F.lit(1)).rlike("[A-Za-z0-9]"), "kind": F.lit(k),
             }
             rule = {"email": m.rlike(r"[\[(]at[\])].*[\[(]dot[\])]"), "phone": m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "iban": before.rlike(_BANK), "secret": before.rlike(_KEY)}[kind]
+            in_words = m.rlike(r"(?i) at .* dot ")
+            number_of_call = F.length(number).between(7, 15) & before.rlike(_CALL) & ~before.rlike("[A-Za-z0-9]$")
+            grouped = F.length(number).between(7, 15) & m.rlike(r"^[+(]?[0-9]{2,5}\)?(?:[ .-]{1,2}[0-9]{2,5}){1,4}$")
+            # By its context a candidate is of the kind as well, or its label is open: not trained on, not judged by.
+            context = {"email": in_words & before.rlike(_MAIL), "phone": number_of_call, "iban": F.lit(False), "secret": F.lit(False)}[kind]
+            ambiguous = {"email": in_words | m.rlike(r"[\[(](?:at|dot)[\])]"), "phone": grouped, "iban": F.lit(True), "secret": m.rlike("[0-9]") & m.rlike("[A-Fa-f]")}[kind]
+            rule = rule | context
             overlaps = F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-            return F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), overlaps.alias("known"), rule.alias("rule"), (overlaps | rule).cast("double").alias("label"), *(values[f].cast("double").alias(f) for f in FEATURES))
+            label = F.when(overlaps | rule, 1.0).when(~ambiguous, 0.0)
+            return F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), overlaps.alias("known"), rule.alias("rule"), label.alias("label"), *(values[f].cast("double").alias(f) for f in FEATURES))
 
         return F.transform(located(text, pattern, needs[kind]), described)
 
