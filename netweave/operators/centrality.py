@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netweave.operators.components import component_labels
 from netweave.operators.matrix import ranked
 from netweave.sources.scratch import stored
 
@@ -80,16 +81,9 @@ def leading_eigenvector(edges: DataFrame, nodes: DataFrame, tolerance: float = 1
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the least node that edges of any direction lead to. Labels jump along labels, so rounds are few."""
-    both = stored(edges.where("weight <> 0 and src <> dst").select("src", "dst").union(edges.where("weight <> 0 and src <> dst").select("dst", "src")).distinct())
-    labels = stored(nodes.select("node", F.col("node").alias("component")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        least = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("m"))
-        jump = least.select(F.col("node").alias("at"), F.col("m").alias("beyond"))
-        after = stored(least.join(jump, F.col("m") == F.col("at")).select("node", "was", F.least("m", "beyond").alias("component")))
-        if not after.where("component <> was").limit(1).count():
-            return after.select("node", "component")
-        labels = after.select("node", "component")
+    own = edges.where("weight <> 0 and src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e"))
+    found = component_labels(stored(own.select("e.*").distinct()))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def cluster_centers(edges: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
