@@ -6,6 +6,7 @@ texts become Python objects. A shingle's hash is a linear form of its words' mix
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -64,6 +65,11 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     begins, ends = bounds[:-1][bounds[:-1] < len(raw)], bounds[1:][bounds[1:] > 0] - 1
     first[begins], last[ends] = ~space[begins], ~space[ends]
     at, after = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return run_hashes(lambda a, b: _LETTER[raw[a:b]], at, after), np.searchsorted(at, bounds)
+
+
+def run_hashes(numbers: Callable[[int, int], np.ndarray], at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The polynomial hash of each run of places at[k] to after[k], ascending; ``numbers`` gives the 64-bit numbers of a stretch of places."""
     powers, inverse = _tables()
     out, k = np.empty(len(at), np.uint64), 0
     while k < len(at):
@@ -71,10 +77,10 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
         stop = max(k + 1, int(np.searchsorted(after, base + CHUNK, side="right")))
         span = int(after[stop - 1] - base)
         total = np.zeros(span + 1, np.uint64)
-        np.cumsum(_LETTER[raw[base : base + span]] * (powers[:span] if span <= CHUNK else _powers(_R, span)), out=total[1:])
+        np.cumsum(numbers(base, base + span) * (powers[:span] if span <= CHUNK else _powers(_R, span)), out=total[1:])
         out[k:stop] = (total[after[k:stop] - base] - total[at[k:stop] - base]) * inverse[at[k:stop] - base]
         k = stop
-    return out, np.searchsorted(at, bounds)
+    return out
 
 
 def sums(values: np.ndarray, places: np.ndarray) -> np.ndarray:
