@@ -1,31 +1,47 @@
 """Main text of web pages by site template removal.
 
-Every element's subtree is hashed by its source. Spark counts, for each host, the pages that hold each hash;
-subtrees that recur on many pages of a host are its template and are deleted. An article is the page's own,
-however often a site repeats it, so prose inside an ``article`` or ``main`` element is no template. What a page
-alone can tell (scripts, forms, elements that are navigation, adverts or comments by tag, class or id) is
-deleted on all pages, so that hosts with a single page are cleaned as well.
+Every element's subtree is hashed from its leaves up, normalised: digits are one digit, link targets and labels are
+left out, and like siblings in a row are one. Spark counts, for each host, the pages that have each hash; subtrees
+that recur across pages are the host's template and are deleted.
+
+Elements that a page itself names as no article text (navigation, footers, adverts, comments, by tag, class, id or
+role), and lists of links, are known by their shape alone, since their words change from page to page; they are
+template on MIN_PAGES pages. All others are known by shape and words, and are template where they stand beside
+MIN_BODIES different texts: the page's blocks outside the element tell these apart, so that an article that a
+site shows at several addresses stays. Articles quote and repeat passages as well (one line stands in two fifths of
+some hosts' articles), so inside an article, or where a page has none, they have to be on MIN_SHARE of the host's pages.
+
+A host of fewer than MIN_PAGES pages has no counts to go by. There the names decide, and articles are preferred to
+what stands outside them if they hold most of what is left.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netweave.llm.common import stored
-
-#: A subtree is template when so many pages of its host have it, and so large a share of them.
-MIN_PAGES, MIN_SHARE = 3, 0.5
+from netweave.operators.components import salted_join
+
+#: Pages of a host from which its counts decide and named subtrees are template; different texts beside any other subtree of a template.
+MIN_PAGES, MIN_BODIES = 3, 3
+#: Share of a host's pages that also have to have it where it may be an article's own.
+MIN_SHARE = 0.5
+#: What the lowest bits of a subtree's key say of it: named or a list of links; outside its page's articles; perhaps an article's.
+BY_SHAPE, BESIDE, PERHAPS = 0, 1, 3
 #: Template hashes up to this number are broadcast (16 bytes each); more are joined to the pages that have them.
 BROADCAST_HASHES = 1_000_000
-#: Characters of link text to all text from which a recurring subtree of an article is a list of links.
+#: Characters of link text to all text from which a subtree is a list of links.
 LINK_SHARE = 0.5
 
 #: Fixed values of HTML.
@@ -35,31 +51,42 @@ INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd la
 CLOSES = {"li": ("li",), "p": ("p",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 SCOPES = frozenset("ul ol table dl select body article main section div nav aside footer header".split())
 CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Elements, and words of class, id and role, that are no article text.
 BODIES = frozenset(("html", "body", "article", "main"))
-NO_TEMPLATE = BODIES | RAW | {"head", "noscript", "template"}
-DROPPED = frozenset("head script style noscript template nav footer aside form iframe object svg canvas button select textarea dialog menu".split())
-CHROME = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Elements that show no text of an article, that hold controls, and that are named by their tag.
+DROPPED = frozenset("head script style noscript template form iframe object svg canvas button select textarea dialog menu title".split())
+CONTROLS = frozenset("button input select textarea".split())
+NAMED = frozenset("nav footer aside".split())
+#: Words of class, id and role: those that are never article text, and those that an article's own parts have too.
+NEVER = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|breadcrumbs?|comments?|consent|cookies?|disqus|gdpr|menu|modal|nav|navbar|navigation|newsletter|popup|promo\w*|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar)(?:$|[\s_-])", re.I)
+OUTSIDE = re.compile(r"(?:^|[\s_-])(?:banner|footer|header|masthead|notice|related|skip|widget)(?:$|[\s_-])", re.I)
+_DIGITS = re.compile(r"[0-9]+")
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+)>|<[!?][^>]*>""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW_END = {tag: re.compile(f"</{tag}[^>]*>", re.I) for tag in RAW}
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     start: int
     parent: int
-    drop: bool
-    article: bool
+    names: str
+    drop: bool  # shows no text
+    named: bool  # is no article text by its name
+    article: bool  # is, or is in, an article or main element
     end: int = -1
     text: int = 0
     links: int = 0
+    controls: int = 0
+    shape: int = 0
+    content: int = 0
+    shapes: list[int] = field(default_factory=list)
+    contents: list[int] = field(default_factory=list)
 
 
 @dataclass
 class Page:
-    """A parsed page: nodes in source order, and events (node, begin, end) of its texts, (-1, 0, 0) between blocks."""
+    """A parsed page: nodes in source order, and events (node, begin, end) of its texts, (-1, 0, 0) between blocks, (-2, 0, 0) at line breaks."""
 
     source: str
     nodes: list[Node] = field(default_factory=list)
@@ -67,23 +94,53 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    page = Page(source, [Node("", 0, -1, False, False)])
-    nodes, events, stack = page.nodes, page.events, [0]
+    page = Page(source, [Node("", 0, -1, "", False, False, False)])
+    nodes, events, stack, open_tags = page.nodes, page.events, [0], Counter()
 
     def text(begin: int, end: int) -> None:
         if begin < end:
+            own = nodes[stack[-1]]
             events.append((stack[-1], begin, end))
-            nodes[stack[-1]].text += end - begin
+            own.text += end - begin
+            if not own.drop and own.tag != "a":
+                words = " ".join(source[begin:end].split())
+                if words:
+                    own.contents.append(xxhash.xxh64_intdigest(_DIGITS.sub("0", words)))
 
     def close(depth: int, at: int) -> None:
         while len(stack) > depth:
             done = nodes[stack.pop()]
+            open_tags[done.tag] -= 1
             done.end = at
+            done.shape = xxhash.xxh64_intdigest(f"{done.tag} {done.names} {done.shapes}")
+            done.content = xxhash.xxh64_intdigest(f"{done.shape} {done.contents}")
+            done.shapes = done.contents = []
             if done.tag == "a":
                 done.links = done.text
             if done.parent >= 0:
-                nodes[done.parent].text += done.text
-                nodes[done.parent].links += done.links
+                up = nodes[done.parent]
+                up.text += done.text
+                up.links += done.links
+                up.controls += done.controls
+                if not up.shapes or up.shapes[-1] != done.shape:
+                    up.shapes.append(done.shape)
+                up.contents.append(done.content)
+
+    def close_last(tag: str, at: int) -> None:
+        if open_tags[tag] > 0:
+            for depth in range(len(stack) - 1, 0, -1):
+                if nodes[stack[depth]].tag == tag:
+                    close(depth, at)
+                    break
+
+    def close_implied(tag: str, at: int) -> None:
+        if open_tags[tag] > 0:
+            for depth in range(len(stack) - 1, 0, -1):
+                if nodes[stack[depth]].tag == tag:
+                    close(depth, at)
+                    break
+                if nodes[stack[depth]].tag in SCOPES:
+                    break
 
     at, place = 0, _TAG.search(source)
     while place:
@@ -96,68 +153,105 @@ def parse(source: str) -> Page:
             elif tag in ("br", "wbr"):
                 events.append((-2, 0, 0))
             if place[1]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[depth]].tag == tag:
-                        close(depth, at)
-                        break
+                close_last(tag, at)
             else:
                 for own in CLOSES.get(tag, ("p",) if tag in CLOSE_P else ()):
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if nodes[stack[depth]].tag == own:
-                            close(depth, place.start())
-                            break
-                        if nodes[stack[depth]].tag in SCOPES:
-                            break
+                    close_implied(own, place.start())
+                if tag in CONTROLS:
+                    nodes[stack[-1]].controls += 1
                 if tag not in VOID and not place[3].endswith("/"):
                     up = nodes[stack[-1]]
                     names = " ".join(a or b or c for a, b, c in _NAMES.findall(place[3])) if place[3] else ""
-                    inside = up.article or (tag in ("article", "main") and not up.drop)
-                    drop = up.drop or tag in DROPPED or (tag == "header" and not up.article) or bool(names and tag not in ("html", "body", "article", "main") and CHROME.search(names)) or bool(tag == "article" and up.article and CHROME.search(names))
-                    nodes.append(Node(tag, place.start(), stack[-1], drop, inside))
+                    named = bool(tag in NAMED or (tag == "header" and not up.article) or (names and tag not in BODIES and (NEVER.search(names) or (not up.article and OUTSIDE.search(names)))) or (tag == "article" and up.article and names and NEVER.search(names)))
+                    article = up.article or (tag in ("article", "main") and not up.named)
+                    nodes.append(Node(tag, place.start(), stack[-1], _DIGITS.sub("0", " ".join(names.split())), up.drop or tag in DROPPED, named, article))
                     stack.append(len(nodes) - 1)
+                    open_tags[tag] += 1
                     if tag in RAW:
                         end = _RAW_END[tag].search(source, at)
                         at = end.end() if end else len(source)
                         close(len(stack) - 1, at)
-                        nodes[-1].drop = True
         place = _TAG.search(source, at)
     text(at, len(source))
     close(0, len(source))
     return page
 
 
-def subtree_hashes(page: Page) -> list[tuple[int, int]]:
-    """(node, hash) of every element that may be template: not the head, html or body, and no article prose."""
-    found = []
-    for k, n in enumerate(page.nodes[1:], 1):
-        if n.tag in NO_TEMPLATE or (n.drop and n.parent > 0 and page.nodes[n.parent].tag in NO_TEMPLATE - BODIES) or (n.article and n.links < LINK_SHARE * max(n.text, 1)) or not n.text:
+def keys(page: Page) -> list[int | None]:
+    """What each subtree is counted by, as signed numbers: the shape of named ones and lists of links; shape and words of others.
+
+    None where it shows no text, or is the page itself.
+    """
+    articles, found = any(n.article for n in page.nodes), []
+    for n in page.nodes:
+        if n.drop or not n.text or not n.tag or n.tag in BODIES:
+            found.append(None)
             continue
-        h = xxhash.xxh64_intdigest(" ".join(page.source[n.start : n.end].split()))
-        found.append((k, h - (1 << 64) if h >> 63 else h))
+        if n.named or n.links >= LINK_SHARE * n.text:
+            h = n.shape & ~3 | BY_SHAPE
+        else:
+            h = n.content & ~3 | (BESIDE if articles and not n.article else PERHAPS)
+        h = h or 4
+        found.append(h - (1 << 64) if h >> 63 else h)
     return found
 
 
-def main_text(page: Page, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's blocks: those of its articles where it has any, else of all that is left; one line each."""
-    dropped = [n.drop for n in page.nodes]
-    if template:
-        for k, h in subtree_hashes(page):
-            dropped[k] |= h in template
-    for k, n in enumerate(page.nodes[1:], 1):
-        dropped[k] |= dropped[n.parent]
-    only_article = any(n.article and not d for n, d in zip(page.nodes, dropped, strict=True))
-    blocks, parts = [], []
+def block_texts(page: Page, dropped: list[bool]) -> Iterator[tuple[int, str]]:
+    """(place of the first character, text) of the page's blocks, without what is dropped."""
+    parts, first = [], -1
     for node, begin, end in [*page.events, (-1, 0, 0)]:
         if node == -1:
             block = " ".join(entities.unescape("".join(parts)).split())
             if block:
-                blocks.append(block)
-            parts.clear()
+                yield first, block
+            parts, first = [], -1
         elif node == -2:
             parts.append(" ")
-        elif not dropped[node] and (page.nodes[node].article or not only_article):
+        elif not dropped[node]:
             parts.append(page.source[begin:end])
-    return "\n".join(blocks)
+            first = begin if first < 0 else first
+
+
+def spread(page: Page, dropped: list[bool]) -> list[bool]:
+    """``dropped``, handed on to all that is inside."""
+    for k, n in enumerate(page.nodes[1:], 1):
+        dropped[k] |= dropped[n.parent]
+    return dropped
+
+
+def subtree_hashes(page: Page) -> list[tuple[int, int]]:
+    """(hash, context) of the page and its subtrees, each once. A context is a sum of hashes of what stands outside; the page has hash 0, and, as named subtrees do, its own source as context."""
+    own = xxhash.xxh64_intdigest(page.source) >> 1
+    blocks = list(block_texts(page, spread(page, [n.drop or n.named for n in page.nodes])))
+    places = [at for at, _ in blocks]
+    total = [0, *accumulate(xxhash.xxh64_intdigest(_DIGITS.sub("0", text)) for _, text in blocks)]
+    found = {0: own}
+    for n, h in zip(page.nodes, keys(page), strict=True):
+        if h is None or h in found:
+            continue
+        if h & 3 == BY_SHAPE:
+            found[h] = own
+            continue
+        beside = total[-1] - total[bisect_left(places, n.end)] + total[bisect_left(places, n.start)]
+        if beside:
+            found[h] = beside & (1 << 63) - 1
+    return list(found.items())
+
+
+def main_text(page: Page, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """The page's blocks without those of the template, one line each; without counts of the host, without those that are named."""
+    counted = 0 in template
+    if counted:
+        dropped = [n.drop or h in template for n, h in zip(page.nodes, keys(page), strict=True)]
+    else:
+        parts = [n.article and bool(OUTSIDE.search(n.names)) and (n.links >= LINK_SHARE * max(n.text, 1) or n.controls > 0) and n.tag not in BODIES for n in page.nodes]
+        dropped = [n.drop or n.named or part for n, part in zip(page.nodes, parts, strict=True)]
+    dropped = spread(page, dropped)
+    if not counted:
+        inside = sum(e - b for k, b, e in page.events if k >= 0 and not dropped[k] and page.nodes[k].article)
+        if 2 * inside >= sum(e - b for k, b, e in page.events if k >= 0 and not dropped[k]) and inside:
+            dropped = [d or not n.article for d, n in zip(dropped, page.nodes, strict=True)]
+    return "\n".join(text for _, text in block_texts(page, dropped))
 
 
 def host(url: Column) -> Column:
@@ -165,33 +259,36 @@ def host(url: Column) -> Column:
 
 
 def hashes(html_col: Column) -> Column:
-    """array<long>: a page's distinct subtree hashes."""
+    """array<struct(hash, context)>: a page's distinct subtree hashes."""
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<struct<hash:long,context:long>>")
     def found(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda h: np.unique(np.array([x for _, x in subtree_hashes(parse(h))] if h else [], np.int64)))
+        return pages.map(lambda h: [{"hash": a, "context": b} for a, b in subtree_hashes(parse(h))] if h else [])
 
     return found(html_col)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of subtrees on at least ``min_pages`` pages and ``min_share`` of the pages of their host."""
-    seen = pages.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), hashes(F.col("html")))).alias("hash"))  # a null hash counts the page itself
-    counted = seen.groupBy("host", "hash").agg(F.count("*").alias("n"))
-    whole = counted.where("hash is null").select(F.col("host").alias("of"), F.col("n").alias("pages"))
-    often = counted.where(F.col("hash").isNotNull() & (F.col("n") >= min_pages))
-    return often.join(whole, F.col("host") == F.col("of")).where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
+def templates(seen: DataFrame) -> DataFrame:
+    """(host, hash) of the templates, from (host, hash, context) of all pages; hash 0 of hosts whose counts decide."""
+    counted = seen.distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    kind = F.col("hash").bitwiseAND(3)
+    often = stored(counted.where(F.col("n") >= F.when(kind == BY_SHAPE, MIN_PAGES).otherwise(MIN_BODIES)))
+    whole = often.where("hash = 0").select("host", F.col("n").alias("pages"))
+    perhaps = salted_join(often.where(kind == PERHAPS), whole, "host").where(F.col("n") >= MIN_SHARE * F.col("pages"))
+    return often.where(kind != PERHAPS).select("host", "hash").unionByName(perhaps.select("host", "hash"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars.
 
-    Null or empty html has the empty text; null urls share the empty host. Repeated rows count as pages of their
-    own and give a row each. Only page_id, url and html are read. Counting is combined before its shuffle, by host
-    and hash, so one large host spreads out; pages are only shuffled where templates are too many to broadcast.
+    Null or empty html has the empty text; null urls share the empty host. Repeated rows count as one page and give
+    a row each. Only page_id, url and html are read, whatever other columns are called; an empty table gives no rows.
+    A page of any length or depth is parsed in time and memory in proportion. Pages are parsed twice, once for their
+    hashes and once for their text. Counting is combined before its shuffles, by host, hash and context, so one large
+    host spreads out; pages are only shuffled where templates are too many to broadcast.
     """
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    known = stored(templates(rows.select("host", "html")))
+    known = stored(templates(rows.select("host", F.explode(hashes(F.col("html"))).alias("h")).select("host", "h.hash", "h.context")))
     if known.count() <= BROADCAST_HASHES:
         sets: dict[str, set[int]] = {}
         for r in known.collect():
@@ -211,12 +308,12 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
     """As the broadcast way: each page gets the template hashes that it has itself, by joins."""
-    key = F.xxhash64("page_id", "url", "html")
+    page = F.xxhash64("page_id", "url", "html")
 
     @F.pandas_udf("string")
     def cleaned(own: pd.Series, sources: pd.Series) -> pd.Series:
         return pd.Series([main_text(parse(s), frozenset(x if x is not None else ())) if s else "" for x, s in zip(own, sources, strict=True)], dtype=object)
 
-    exploded = rows.select(key.alias("key"), F.col("host"), F.explode(hashes(F.col("html"))).alias("hash"))
+    exploded = rows.select(page.alias("key"), F.col("host"), F.explode(hashes(F.col("html"))).alias("h")).select("key", "host", "h.hash")
     marks = exploded.join(known, ["host", "hash"], "left_semi").groupBy("key").agg(F.collect_set("hash").alias("own"))
-    return rows.withColumn("key", key).join(marks, "key", "left").select("page_id", "url", cleaned(F.col("own"), F.col("html")).alias("text"))
+    return rows.withColumn("key", page).join(marks, "key", "left").select("page_id", "url", cleaned(F.col("own"), F.col("html")).alias("text"))
