@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from netweave.llm.common import id_and_text, stored
 
-KINDS = ("email", "ip", "card", "phone", "iban", "secret")
+KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn")
 #: The base patterns. Possessive repeats and the looks behind keep matching linear; they change no match: a run
 #: whose first character begins no match has none that begins later, save after another match (\\G).
 BASE = {
@@ -32,11 +32,16 @@ BASE = {
 }
 #: Generators: the kind that their spans get, and a pattern of high recall.
 GENERATORS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|[\[(]at[\])]| at ) ?[A-Za-z0-9-]++(?:\.| ?[\[(]dot[\])] ?| dot )[A-Za-z]{2,}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|[\[(]at[\])]| at ) ?[A-Za-z0-9-]++(?:\.| ?[\[(]dot[\])] ?| dot )[A-Za-z]{2,}+",
     "phone": r"(?<![0-9])[+(]?[0-9](?:[ ().-]{0,2}+[0-9]){6,18}+",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{24,}+(?![0-9A-Za-z])",
+    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
 }
+#: Dates and numbers of the last form, which are no phones.
+_NO_PHONE = r"^(?:(?:19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](?:19|20)[0-9]{2}|[0-9]{3}-[0-9]{2}-[0-9]{4})$"
+#: Numbers of that form that are never given out. Fixed values.
+_NO_SSN = r"^(?:000|666|9)|-00-|-0000$"
 CONTEXT = 24
 _CALL = r"(?i)\b(?:phone|tel|telephone|call|fax|mobile|cell|whatsapp|contact)\b"
 _MAIL = r"(?i)\b(?:e-?mail|mail|contact|write)\b"
@@ -108,7 +113,7 @@ FEATURES = ("digits", "length", "separators", "groups", "letters", "plus", "luhn
 
 def with_candidates(rows: DataFrame) -> DataFrame:
     """Add ``candidates``: array<struct(k, s, e, label, features...)> of all generators' spans."""
-    needs = {"email": r"@|[\[(]at[\])]| at ", "phone": "[0-9][ ().-]{0,2}[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "secret": "[0-9A-Fa-f]{24}"}
+    needs = {"email": r"@|[\[(]at[\])]| at ", "phone": "[0-9][ ().-]{0,2}[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "secret": "[0-9A-Fa-f]{24}", "ssn": "[0-9]-[0-9]{2}-[0-9]"}
     text = F.col("text")
 
     def candidates(kind: str, pattern: str) -> Column:
@@ -123,19 +128,20 @@ def with_candidates(rows: DataFrame) -> DataFrame:
                 "distinct": F.size(F.array_distinct(F.split(F.lower(m), ""))), "call": before.rlike(_CALL), "mail": before.rlike(_MAIL), "key": before.rlike(_KEY), "bank": before.rlike(_BANK),
                 "word_before": before.rlike("[A-Za-z0-9]$"), "word_after": F.substring(text, x["e"] + 1, F.lit(1)).rlike("[A-Za-z0-9]"), "kind": F.lit(k),
             }
-            rule = {"email": m.rlike(r"[\[(]at[\])].*[\[(]dot[\])]"), "phone": m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "iban": before.rlike(_BANK), "secret": before.rlike(_KEY)}[kind]
+            rule = {"email": m.rlike(r"[\[(]at[\])].*[\[(]dot[\])]"), "phone": F.lit(False), "iban": before.rlike(_BANK), "secret": before.rlike(_KEY), "ssn": ~m.rlike(_NO_SSN)}[kind]
             in_words = m.rlike(r"(?i) at .* dot ")
             number_of_call = F.length(number).between(7, 15) & before.rlike(_CALL) & ~before.rlike("[A-Za-z0-9]$")
             grouped = F.length(number).between(7, 15) & m.rlike(r"^[+(]?[0-9]{2,5}\)?(?:[ .-]{1,2}[0-9]{2,5}){1,4}$")
             # By its context a candidate is of the kind as well, or its label is open: not trained on, not judged by.
-            context = {"email": in_words & before.rlike(_MAIL), "phone": number_of_call, "iban": F.lit(False), "secret": F.lit(False)}[kind]
-            ambiguous = {"email": in_words | m.rlike(r"[\[(](?:at|dot)[\])]"), "phone": grouped, "iban": F.lit(True), "secret": m.rlike("[0-9]") & m.rlike("[A-Fa-f]")}[kind]
+            context = {"email": in_words & before.rlike(_MAIL), "phone": number_of_call, "iban": F.lit(False), "secret": F.lit(False), "ssn": F.lit(False)}[kind]
+            ambiguous = {"email": in_words | m.rlike(r"[\[(](?:at|dot)[\])]"), "phone": grouped, "iban": F.lit(True), "secret": m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), "ssn": F.lit(False)}[kind]
             rule = rule | context
             overlaps = F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
             label = F.when(overlaps | rule, 1.0).when(~ambiguous, 0.0)
             return F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), overlaps.alias("known"), rule.alias("rule"), label.alias("label"), *(values[f].cast("double").alias(f) for f in FEATURES))
 
-        return F.transform(located(text, pattern, needs[kind]), described)
+        proposed = located(text, pattern, needs[kind])
+        return F.transform(F.filter(proposed, lambda x: ~x["m"].rlike(_NO_PHONE)) if kind == "phone" else proposed, described)
 
     return rows.withColumn("candidates", F.concat(*(candidates(kind, pattern) for kind, pattern in GENERATORS.items())))
 
@@ -230,9 +236,13 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of ``text_col`` replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
+    """``docs`` with every span of ``text_col`` replaced by its kind in brackets; overlapping spans become one, of the first's kind.
+
+    Null texts stay null. Other columns stay as they are, whatever their names; repeated rows give a row each; an
+    empty table gives no rows. A text of any length is one pass; of spans that begin together the longer one's end holds.
+    """
     names = F.array(*map(F.lit, KINDS))
-    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("text"))
+    inner = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[text_col].alias("text"))
     model = fit(docs.select(F.col("doc_id"), docs[text_col].alias("text")))
     found = with_spans(inner, model)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
