@@ -10,20 +10,21 @@ are streamed; the rest of a text is looked up and skipped.
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import id_and_text
+from netweave.llm.common import id_and_text, stored
 
 WINDOW = 13
 #: A document is contaminated when COVERAGE times its hit words are at least its words.
 COVERAGE = 20
-#: Words of items that one automaton holds. More items make more automata, each streamed after the other.
-BLOCK_WORDS = 500_000
+#: Words of items that one automaton holds (about 130 MB in a worker), or one longer item. More items make more
+#: automata, and texts are streamed through one after the other, each in a pass of its own.
+BLOCK_WORDS = 100_000
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -44,7 +45,7 @@ class Automaton:
         self.shortest = window
         owners: dict[int, set[int]] = {}
         whole: list[tuple[int, list[int]]] = []
-        self.item_ids = [str(i) for i, _ in items]
+        self.item_ids = [None if i is None else str(i) for i, _ in items]
         for item, (_, text) in enumerate(items):
             ids = [self.vocab.setdefault(w, len(self.vocab)) for w in text]
             last = 0
@@ -100,6 +101,11 @@ class Automaton:
             if s in holds and self.length[self.link[s]] >= self.window:
                 holds.setdefault(self.link[s], set()).update(holds[s])
         self.items = {s: frozenset(x) for s, x in holds.items() if self.length[s] >= self.window}
+        #: The shortest context along the links that still holds a window: the state that a match's last window ends in.
+        self.base = list(range(len(self.next)))
+        for s in reversed(order):
+            if self.length[self.link[s]] >= self.window:
+                self.base[s] = self.base[self.link[s]]
         #: state in which a whole short item ends -> (its length, the items)
         short: dict[int, tuple[int, set[int]]] = {}
         for item, ids in whole:
@@ -115,7 +121,7 @@ class Automaton:
         for s in reversed(order):  # by ascending length: what ends at the link also ends here
             self.short[s] = (*by_state.get(s, ()), *self.short[self.link[s]])
 
-    def hits(self, text: list[bytes], mask: np.ndarray, found: set[str]) -> None:
+    def hits(self, text: list[bytes], mask: np.ndarray, found: set[str | None]) -> None:
         """Mark the hit words of a document in ``mask``, and add the ids of items with occurring windows to ``found``."""
         if len(text) < self.shortest:
             return
@@ -138,10 +144,8 @@ class Automaton:
             state = nxt[state].get(c, 0)
             matched = matched + 1 if state else 0
             if matched >= window:
-                mask[k - matched : k] = True
-                s = state
-                while length[link[s]] >= window:
-                    s = link[s]
+                mask[k - window : k] = True  # a longer match's other words were marked a word ago
+                s = self.base[state]
                 if s in self.items:
                     seen |= self.items[s]
             for n, items in self.short[state]:
@@ -150,85 +154,154 @@ class Automaton:
                     seen |= items
 
 
-def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Automaton]:
-    """Automata over all items that have words, each of at most ``block_words`` words (or a single longer item).
-
-    Items are read block by block through an iterator, so the driver holds one partition of them at a time.
-    """
-    blocks, held = [[]], 0
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
+    """Automata over all items that have words, one after the other: the driver holds one block of items at a time."""
+    block, held = [], 0
     for row in benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").toLocalIterator():
         own = words(row["text"])
         if own:
-            if held + len(own) > block_words and blocks[-1]:
-                blocks.append([])
-                held = 0
-            blocks[-1].append((row["id"], own))
+            if held + len(own) > block_words and block:
+                yield Automaton(block, window)
+                block, held = [], 0
+            block.append((row["id"], own))
             held += len(own)
-    return [Automaton(block, window) for block in blocks if block]
+    if block:
+        yield Automaton(block, window)
+
+
+def automata(benchmark: DataFrame, **settings) -> list[Automaton]:
+    """All ``blocks`` at once, for few items."""
+    return list(blocks(benchmark, **settings))
+
 
+def spans_of(mask: np.ndarray) -> np.ndarray:
+    """(start, end, start, end, ...) of a mask's runs."""
+    return np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8))).astype(np.int32)
 
-def _broadcast(spark: SparkSession, built: list[Automaton]) -> list:
-    return [spark.sparkContext.broadcast(a) for a in built]
 
+def in_order(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda i: (i is None, i or ""))
 
-def contamination(text: Column, shared: list, coverage: int = COVERAGE) -> Column:
-    """struct(n_words, n_hit, n_items, items_sha256, contaminated, spans) of each text against the broadcast automata."""
 
-    @F.pandas_udf("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>")
-    def judged(texts: pd.Series) -> pd.DataFrame:
+def hits(text: Column, shared) -> Column:
+    """struct(n_words, spans, items): what one automaton, broadcast, finds in each text."""
+
+    @F.pandas_udf("n_words long, spans array<int>, items array<string>")
+    def found(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            own = words(t)
-            mask, found = np.zeros(len(own), bool), set()
-            for a in shared:
-                a.value.hits(own, mask, found)
-            n = int(mask.sum())
-            spans = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8))).astype(np.int32)
-            rows.append((len(own), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0 and coverage * n >= len(own), spans))
-        return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+            own, items = words(t), set()
+            mask = np.zeros(len(own), bool)
+            if shared.value is not None:
+                shared.value.hits(own, mask, items)
+            rows.append((len(own), spans_of(mask), in_order(items)))
+        return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+
+    return found.asNondeterministic()(text)  # so that a filter on what it finds does not run it once more
+
+
+def joined_hits(spans: Column, items: Column) -> Column:
+    """struct(spans, items) of several automata's."""
+
+    @F.pandas_udf("spans array<int>, items array<string>")
+    def merged(many: pd.Series, found: pd.Series) -> pd.DataFrame:
+        rows = []
+        for own, names in zip(many, found, strict=True):
+            mask = np.zeros(max((int(x[-1]) for x in own if len(x)), default=0), bool)
+            for x in own:
+                for begin, end in np.asarray(x).reshape(-1, 2).tolist():
+                    mask[begin:end] = True
+            rows.append((spans_of(mask), in_order({i for x in names for i in x})))
+        return pd.DataFrame(rows, columns=["spans", "items"])
+
+    return merged(spans, items)
 
-    return judged(text)
 
+def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` as (_row, _hit): a struct of all columns, and struct(n_words, spans, items).
 
-def hit_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    One automaton is a narrow pass. Of several, each has a pass that stores what it hits, by the texts' two hashes; the
+    last one joins that with the texts again. No more than one is ever with the driver or a worker.
+    """
+    context, text = docs.sparkSession.sparkContext, docs[f"`{text_col}`"]
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), text.alias("_text"))
+    key = [F.xxhash64("_text").alias("_k1"), F.xxhash64(F.reverse("_text"), F.lit(1)).alias("_k2")]
+    found, shared = None, context.broadcast(None)
+    waiting = None
+    for automaton in blocks(benchmark, block_words=block_words):
+        if waiting is not None:  # there is another one after it
+            texts = rows.where("_text is not null").select("_text", *key).dropDuplicates(["_k1", "_k2"])
+            part = stored(texts.select("_k1", "_k2", hits(F.col("_text"), waiting).alias("h")).where("size(h.spans) > 0").select("_k1", "_k2", "h.spans", "h.items"))
+            found = part if found is None else found.unionByName(part)
+            waiting.unpersist()
+        waiting = context.broadcast(automaton)
+    last = hits(F.col("_text"), waiting or shared)
+    if found is None:
+        return rows.select("_row", last.alias("_hit"))
+    other = found.groupBy("_k1", "_k2").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    both = rows.select("_row", *key, last.alias("h")).join(other, ["_k1", "_k2"], "left")
+    more = lambda old, new: F.concat(F.coalesce(old, F.array().cast(f"array<{new}>")), F.array(F.col(f"h.{'spans' if 'int' in new else 'items'}")))
+    merged = joined_hits(more(F.col("spans"), "array<int>"), more(F.col("items"), "array<string>"))
+    return both.select("_row", "h.n_words", merged.alias("m")).select("_row", F.struct("n_words", F.col("m.spans").alias("spans"), F.col("m.items").alias("items")).alias("_hit"))
+
+
+def n_hit(spans: Column) -> Column:
+    """The sum of ends less that of starts."""
+    return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def is_contaminated(hit: Column, coverage: int = COVERAGE) -> Column:
+    return (n_hit(hit["spans"]) > 0) & (coverage * n_hit(hit["spans"]) >= hit["n_words"])
+
+
+def hit_words(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hit word spans (start, end, start, ...).
 
-    Null and empty texts have no words and no hits; null or wordless items have no windows; repeated items with
-    different ids count each. An empty benchmark hits nothing. No shuffle; the automata are broadcast, a bounded
-    number of words in each.
+    Null and empty texts have no words and no hits; items without text or words have no windows; repeated items
+    with different ids count each, and all without id as one, which the digest leaves out. An empty benchmark hits nothing. A very long text is one run over its words.
+    Repeated rows give a row each, an empty table none; other columns are not read, whatever they are called. No
+    shuffle while the items' words fit one automaton.
     """
-    shared = _broadcast(docs.sparkSession, automata(benchmark))
-    return id_and_text(docs).select("doc_id", contamination(F.col("text"), shared).alias("r")).select("doc_id", "r.*")
+    found = with_hits(id_and_text(docs), benchmark, block_words=block_words)
+    hit = F.col("_hit")
+    digest = F.sha2(F.array_join(hit["items"], ",").cast("binary"), 256)
+    return found.select(F.col("_row.doc_id").alias("doc_id"), hit["n_words"].alias("n_words"), n_hit(hit["spans"]).alias("n_hit"), F.size(hit["items"]).cast("long").alias("n_items"), digest.alias("items_sha256"), is_contaminated(hit).alias("contaminated"), hit["spans"].alias("spans"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that are not contaminated, whole and with all their columns."""
-    shared = _broadcast(docs.sparkSession, automata(benchmark))
-    return docs.where(~contamination(docs[text_col], shared)["contaminated"])
+def _cut(texts: Column, spans: Column, longest: int) -> Column:
+    @F.pandas_udf("string")
+    def cut(own: pd.Series, hit: pd.Series) -> pd.Series:
+        return pd.Series([without_spans(t, x, longest) for t, x in zip(own, hit, strict=True)], dtype=object)
 
+    return cut(texts, spans)
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", longest: int = WINDOW) -> DataFrame:
-    """Documents with every hit span of at least ``longest`` words cut from ``text_col``; all else stays byte for byte."""
-    shared = _broadcast(docs.sparkSession, automata(benchmark))
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _cut(t, [a.value for a in shared], longest))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", longest: int = WINDOW) -> DataFrame:
+    """The documents that are not contaminated, with all their columns; hit spans of at least ``longest`` words are cut from their texts.
+
+    Null and empty texts stay as they are. Repeated rows stay each, an empty table stays empty, and columns may have any name.
+    """
+    kept = with_hits(docs, benchmark, text_col).where(~is_contaminated(F.col("_hit")))
+    text = F.col("_row")[text_col]
+    cut = F.when(F.size("_hit.spans") > 0, _cut(text, F.col("_hit.spans"), longest)).otherwise(text)
+    return kept.select("_row", cut.alias("_text")).select(*[(F.col("_text") if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
 
-    return docs.withColumn(text_col, cut(docs[text_col]))
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", longest: int = WINDOW) -> DataFrame:
+    """All documents, with every hit span of at least ``longest`` words cut from ``text_col``; all else stays byte for byte. See drop_contaminated."""
+    found = with_hits(docs, benchmark, text_col)
+    cut = _cut(F.col("_row")[text_col], F.col("_hit.spans"), longest)
+    return found.select("_row", cut.alias("_text")).select(*[(F.col("_text") if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
-def _cut(text: str | None, own: list[Automaton], longest: int) -> str | None:
+def without_spans(text: str | None, spans: np.ndarray, longest: int) -> str | None:
     if not text:
         return text
     raw = text.encode()
     plain = np.frombuffer(raw.translate(_TABLE), np.uint8) != 32
     bounds = np.flatnonzero(np.diff(np.concatenate(([False], plain, [False])).astype(np.int8))).reshape(-1, 2)
-    found, mask = words(text), np.zeros(len(bounds), bool)
-    for a in own:
-        a.hits(found, mask, set())
     kept, at = [], 0
-    for begin, end in np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8))).reshape(-1, 2).tolist():
+    for begin, end in np.asarray(spans).reshape(-1, 2).tolist():
         if end - begin >= longest:
             kept.append(raw[at : bounds[begin][0]])
             at = bounds[end - 1][1]

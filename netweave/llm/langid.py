@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -31,12 +32,18 @@ EPOCHS, RATE, BATCH, SEED = 6, 2.0, 32, 7
 ACCEPT = 0.9
 #: Bytes of a text whose n-grams are held at once.
 CHUNK = 1 << 20
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+@cache
+def _not_letters() -> re.Pattern:
+    """Runs of characters that are no letters; numbers such as ² and Ⅷ, which count as word characters, are none."""
+    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
+    return re.compile(f"[\\W\\d_{numbers}]+")
 
 
 def subwords(text: str | None) -> Iterator[np.ndarray]:
     """The buckets of a whole text's n-grams, in pieces of bounded size; nothing where it is null or has no letter."""
-    plain = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    plain = _not_letters().sub(" ", text.lower()).strip() if text else ""
     if not plain:
         return
     raw = np.frombuffer(f" {plain} ".encode(), np.uint8)
@@ -140,7 +147,7 @@ def is_held_out(id_col: Column, folds: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Train on at most ``sample_rows`` documents with text and lang outside the held-out fold."""
+    """Train on at most ``sample_rows`` documents with id, text and lang outside the held-out fold, those whose ids hash least."""
 
     @F.pandas_udf("buckets array<int>, times array<int>")
     def sparse(texts: pd.Series) -> pd.DataFrame:
@@ -151,9 +158,10 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
             rows.append((b, b if total is None else total[b].astype(np.int32)))
         return pd.DataFrame(rows, columns=["buckets", "times"])
 
-    named = docs.select(F.col("doc_id"), F.col("text"), F.col("lang")).where("text is not null and lang is not null").where(~is_held_out(F.col("doc_id")))
-    picked = named.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_rows).select("doc_id").distinct()
-    sample = named.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "lang", sparse("text").alias("s")).limit(2 * sample_rows)
+    named = docs.select(F.col("doc_id"), F.col("text"), F.col("lang")).where("text is not null and lang is not null and doc_id is not null").where(~is_held_out(F.col("doc_id")))
+    picked = named.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    one = F.min(F.struct(F.xxhash64("text", "lang").alias("h"), "lang", "text")).alias("one")  # of rows with one id, always the same
+    sample = named.join(F.broadcast(picked), "doc_id", "left_semi").groupBy("doc_id").agg(one).select("doc_id", "one.lang", sparse("one.text").alias("s"))
     rows = [(np.array(r["s"]["buckets"], np.int64), np.array(r["s"]["times"], np.float32), r["lang"]) for r in sorted(sample.collect(), key=lambda r: (r["doc_id"], r["lang"])) if r["s"]["buckets"]]
     return train(rows)
 
@@ -179,8 +187,9 @@ def predict(text: Column, shared) -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, rejected; learned from the documents outside the held-out fold.
 
-    Null texts and texts without a letter are ``und``. Without any labelled text everything is ``und``. Repeated
-    rows give a row each; other columns than doc_id, text and lang are not read, and lang only to learn. One
+    Null texts and texts without a letter are ``und``. Without any labelled text everything is ``und``; of languages
+    with equal probabilities the first in the alphabet is given. Very long texts are read in pieces of CHUNK bytes.
+    Repeated rows give a row each, an empty table none; other columns than doc_id, text and lang are not read, and lang only to learn. One
     narrow pass predicts; training takes a bounded sample to the driver.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
