@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netweave.llm.common import id_and_text, stored
-from netweave.llm.shingles import identities, shingle_sets
+from netweave.llm.shingles import identities, in_parts, shingle_sets
 from netweave.operators.components import component_labels, salted_join
 
 #: The threshold as a fraction, and one in how many shingles a screening prefix is longer than it must be.
@@ -46,7 +46,7 @@ BROADCAST_IDS = 2_000_000
 #: Pivots of a prefix shingle in the first round, and how many times more each later round has.
 PIVOTS, MORE = 16, 4
 #: Entries that a task gathers before it hands them on, and that a range of hashes holds on average; ranges at least.
-FLUSH, RANGE_ENTRIES, LEAST_RANGES = 1 << 20, 500_000, 64
+FLUSH, RANGE_ENTRIES, LEAST_RANGES = 1 << 18, 250_000, 64
 #: Bytes of text for each entry of the screening, about.
 BYTES_ENTRY = 18
 #: Ranges of the suffix filter.
@@ -110,7 +110,7 @@ def scan(rows: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held, classes, size = [], [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole)):
             own, places = shingle_sets(batch.column("text"))
             n, (f, g) = np.diff(places), identities(own, places)
             yield batch_of(doc_id=batch.column("doc_id"), n=n, f=f, g=g)
@@ -164,7 +164,7 @@ def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, g, n, own): the shingle hashes of the documents of ``ids`` (doc_id), by fingerprint; a null among them stands for all rows without id."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole)):
             own, places = shingle_sets(batch.column("text"))
             f, g = identities(own, places)
             yield pa.RecordBatch.from_pydict({"node": f, "g": g, "n": np.diff(places), "own": pa.array(cut(own, places), pa.binary())})

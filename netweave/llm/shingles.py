@@ -6,7 +6,7 @@ texts become Python objects. A shingle's hash is a linear form of its words' mix
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 WORDS = 5
 #: Bytes, and shingles, that a pass over a batch handles at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _K, _R, _SHORT = np.uint64(0x9E3779B97F4A7C15), 0xD1342543DE82EF95, np.uint64(0xA0761D6478BD642F)
 _INVERSE = pow(_R, -1, 1 << 64)
 
@@ -56,6 +56,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about CHUNK bytes of text, or one longer text, so that a worker's memory stays small."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(sizes):
+        done = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, done + CHUNK, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word of all texts, the first word of each text and the end of the last one's)."""
     space = _SPACE[raw]
