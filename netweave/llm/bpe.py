@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from netweave.llm.common import id_and_text
 
 #: Entries of a worker's word cache; a full cache is emptied, which costs time but changes no result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _SHIFT = 20
 
 
@@ -139,7 +139,7 @@ class Codec:
         """Ids of a whole text, packed; null is empty. Special tokens' strings in a text become their ids."""
         if not text:
             return b""
-        if self.split_special and "<" in text:
+        if self.split_special and any(s in text for s in self.special):
             parts = self.split_special.split(text)
             if len(parts) > 1:
                 return b"".join(np.array([self.special[p]], "<u4").tobytes() if i % 2 else self._plain(p) for i, p in enumerate(parts))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import id_and_text, stored
+from netweave.llm.common import hand_back, id_and_text, stored
 from netweave.llm.shingles import identities, in_parts, shingle_sets
 from netweave.operators.components import component_labels, salted_join
 
@@ -126,6 +126,7 @@ def scan(rows: DataFrame, bits: int) -> DataFrame:
                 seen.clear()
         if size:
             yield from packed(held, classes)
+        hand_back()
 
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCANNED)
 
@@ -155,6 +156,7 @@ def screened(packs: DataFrame) -> DataFrame:
         every = np.concatenate([cls[shared], _joined(settled, "cls", "<i8")])
         weight = np.concatenate([np.ones(int(shared.sum())), _joined(settled, "times", "<i4")])
         f, place = np.unique(every, return_inverse=True)
+        hand_back()
         return pa.table({"f": f, "shared": np.bincount(place, weight, len(f)).astype(np.int64)})
 
     return packs.groupBy("part").applyInArrow(met, "f long, shared long").groupBy("f").agg(F.sum("shared").alias("shared"))
@@ -168,6 +170,7 @@ def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
             own, places = shingle_sets(batch.column("text"))
             f, g = identities(own, places)
             yield pa.RecordBatch.from_pydict({"node": f, "g": g, "n": np.diff(places), "own": pa.array(cut(own, places), pa.binary())})
+        hand_back()
 
     wanted = ids.where("doc_id is not null").select(F.col("doc_id").alias("of")).distinct()
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
@@ -200,6 +203,7 @@ def frequencies(sets: DataFrame) -> DataFrame:
                 held, nodes, size = [], [], 0
         if size:
             yield packed()
+        hand_back()
 
     def counted(table: pa.Table) -> pa.Table:
         h, node = _joined(table, "h", "<i8"), _joined(table, "node", "<i8")
@@ -210,6 +214,7 @@ def frequencies(sets: DataFrame) -> DataFrame:
         starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         df = np.repeat(np.diff(np.append(starts, len(h))), np.diff(np.append(starts, len(h))))
         common = df > 1
+        hand_back()
         return pa.table({"node": node[common], "h": h[common], "df": df[common]})
 
     packs = sets.where("n > 0").select("node", "own").mapInArrow(dealt, "part int, h binary, node binary")
