@@ -130,10 +130,20 @@ def supra_adjacency(matrices: DataFrame, measure: str, epsilon: float = 0, param
     return layers.unionByName(couplings)
 
 
+def random_weights(nodes: DataFrame, seed: int = 0) -> DataFrame:
+    """A symmetric network of all pairs of ``nodes`` (node), with weights in [0, 1) that a hash of the pair and the seed gives, and no loops.
+
+    The result has all pairs, so that its size is that of a dense matrix; the weights are the same on any cluster.
+    """
+    one, other = nodes.select(F.col("node").alias("src")), nodes.select(F.col("node").alias("dst"))
+    code = F.md5(F.concat_ws("-", F.col("src").cast("string"), F.col("dst").cast("string"), F.lit(str(seed))).cast("binary"))
+    weight = F.conv(F.substring(code, 1, 8), 16, 10).cast("double") / 4294967296.0
+    return mirrored(one.join(other, F.col("src") < F.col("dst")).select("src", "dst", weight.alias("weight")))
+
+
 def random_graph(spark: SparkSession, nodes: int, seed: int = 0) -> DataFrame:
-    """A symmetric network with uniform weights in [0, 1) and no loops."""
-    one, other = spark.range(nodes).withColumnRenamed("id", "src"), spark.range(nodes).withColumnRenamed("id", "dst")
-    return mirrored(one.join(other, F.col("src") < F.col("dst")).withColumn("weight", F.rand(seed)))
+    """random_weights of the nodes from 0."""
+    return random_weights(spark.range(nodes).withColumnRenamed("id", "node"), seed)
 
 
 def hashed_graph(nodes: DataFrame, edges: int) -> DataFrame:

@@ -58,7 +58,7 @@ on_matrix("corr_signed", lambda m: networks.correlation(m, negative=True), "weig
 on_matrix("corr_epsilon", lambda m: networks.correlation(m, epsilon=0.05), "weight")
 on_matrix("heatkernel_adjacency", lambda m: networks.adjacency(m, "heatkernel", parameter=500), "weight")
 on_matrix("heatkernel_l1", lambda m: networks.heat_kernel(m, parameter=200000, order=1), "weight")
-on_matrix("zobs_adjacency", lambda m: networks.fisher_difference(m.where("label in (0, 1)")), "weight")
+QUERIES["zobs_adjacency"] = lambda spark, sf_dir: rounded(networks.fisher_difference(inputs.two_classes(spark, sf_dir)), "weight")
 on_matrix("tom_similarity", lambda m: networks.topological_overlap(networks.correlation(m)), "weight")
 on_matrix("sim2dist", lambda m: networks.similarity_to_distance(networks.correlation(m)), "weight")
 on_matrix("coded_edges_directed", lambda m: networks.coded_network(inputs.coded_edges(m)))
@@ -164,7 +164,7 @@ def graph_display_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def er_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return networks.hashed_graph(inputs.flow_nodes(spark, sf_dir), 60)
+    return networks.hashed_graph(inputs.suppliers(spark, sf_dir), 60)
 
 
 @query
@@ -226,8 +226,8 @@ rows_only("module_report", lambda m: modules.report(module_tree(m, "zobs"), m),
 
 @query
 def random_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many nodes as there are nations."""
-    return rounded(networks.random_graph(spark, inputs.flow_nodes(spark, sf_dir).count(), seed=1), "weight")
+    """A dense network of all suppliers."""
+    return rounded(networks.random_weights(inputs.suppliers(spark, sf_dir), seed=1), "weight")
 
 
 def queries() -> dict[str, Query]:

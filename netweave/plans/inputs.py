@@ -18,7 +18,8 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix(spark, sf_dir).where("label in (0, 1)")
+    """All subjects in two classes: labels below 5, and the others."""
+    return matrix(spark, sf_dir).withColumn("label", (F.col("label") >= 5).cast("int"))
 
 
 def features(m: DataFrame) -> DataFrame:
@@ -57,6 +58,10 @@ def flow_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
+
+
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, subject, feature, value): each user's sum of values by week and event type."""
     rows = read(spark, sf_dir, "events").select(F.date_trunc("week", F.col("ts").cast("timestamp_ntz")).alias("week"), F.col("user_id").alias("subject"), F.col("event_type").alias("feature"), "value")
@@ -66,8 +71,8 @@ def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, weight) from customers to suppliers of large first lines; suppliers are numbered below zero."""
-    line = read(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity >= 48").select("l_orderkey", "l_suppkey")
+    """(src, dst, weight) from customers to the suppliers of all their order lines; suppliers are numbered below zero."""
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return line.join(orders, line.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst"), F.lit(1.0).alias("weight")).distinct()
 

@@ -24,7 +24,7 @@ TABLES = {
     "lnorm": "SELECT t, f1 AS f, CASE WHEN dot = 0 THEN 1 ELSE sqrt(dot) END AS norm FROM ldots WHERE f1 = f2",
     "lcells": "SELECT d.t, f1 AS src, f2 AS dst, least(abs(dot / (x.norm * y.norm)), 1::DOUBLE) AS weight FROM ldots d JOIN lnorm x ON x.t = d.t AND x.f = f1 JOIN lnorm y ON y.t = d.t AND y.f = f2 WHERE f1 <> f2",
     "supra": "SELECT t AS src_t, src, t AS dst_t, dst, weight FROM lcells UNION ALL SELECT t, feature, t - 1, feature, (SELECT sum(weight) FROM lcells) / (SELECT count(DISTINCT t) * count(DISTINCT feature) * count(DISTINCT feature) FROM lay) FROM (SELECT DISTINCT t, feature FROM lay) WHERE t > (SELECT min(t) FROM lay)",
-    "trade": "SELECT DISTINCT o_custkey AS src, -1 - l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_quantity >= 48",
+    "trade": "SELECT DISTINCT o_custkey AS src, -1 - l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 }
 NEEDS = {
     "mem": "m", "w": "m mem", "dots": "m", "norms": "m dots", "cosines": "m dots norms", "adj": "m dots norms cosines", "pe": "m mem", "net": "m mem pe", "und": "m mem pe net",
@@ -64,6 +64,36 @@ def page_rank(source: str, target: str, steps: int, rescale: bool = True) -> str
     return with_tables(query, "flow", recursive=tables)
 
 
+def stochastic_rank(steps: int) -> str:
+    """The plain recurrence over the flow network, after the first step of length 1e-3 or less."""
+    own = page_rank("src", "dst", steps, rescale=False)
+    moved = "far AS (SELECT b.it, sqrt(sum(pow(b.v - a.v, 2))) AS moved FROM pr a JOIN pr b ON b.it = a.it + 1 AND b.node = a.node GROUP BY 1) SELECT n_nationkey"
+    return own.replace(" SELECT n_nationkey", f", {moved}", 1).replace("(SELECT max(it) FROM pr)", "(SELECT min(it) FROM far WHERE moved <= 1e-3)")
+
+
+def group_page_rank(steps: int) -> str:
+    """Power iteration in each group's coded network, against its edges; normalised."""
+    tables = (
+        "live AS MATERIALIZED (SELECT pathway, dst AS node, count(*) OVER (PARTITION BY pathway) AS n FROM net GROUP BY pathway, dst HAVING sum(weight) <> 0), "
+        "sh AS MATERIALIZED (SELECT net.pathway, net.dst AS s, net.src AS t, net.weight / sum(net.weight) OVER (PARTITION BY net.pathway, net.dst) AS share FROM net JOIN live a ON a.pathway = net.pathway AND a.node = net.src JOIN live b ON b.pathway = net.pathway AND b.node = net.dst UNION ALL SELECT pathway, node, node, 0 FROM live), "
+        "pr AS (SELECT 0 AS it, pathway, node, 1::DOUBLE / n AS v FROM live WHERE n > 1 UNION ALL SELECT it, pathway, node, raw / sum(raw) OVER (PARTITION BY pathway) AS v FROM "
+        f"(SELECT it + 1 AS it, live.pathway, live.node, 0.85::DOUBLE * sum(share * v) + 0.15::DOUBLE / live.n AS raw FROM live JOIN sh ON sh.pathway = live.pathway AND sh.t = live.node JOIN pr ON pr.pathway = sh.pathway AND pr.node = sh.s WHERE it < {steps} GROUP BY it, live.pathway, live.node, live.n))"
+    )
+    query = f"SELECT pathway, feature, {r('CASE WHEN sum(v) OVER (PARTITION BY pathway) <> 0 THEN v / sum(v) OVER (PARTITION BY pathway) ELSE v END')} AS weight FROM (SELECT mem.pathway, mem.feature, coalesce(v, 0) AS v FROM mem LEFT JOIN (SELECT * FROM pr WHERE it = {steps}) x ON x.pathway = mem.pathway AND x.node = mem.feature)"
+    return with_tables(query, "mem", "net", recursive=tables)
+
+
+def leading_vectors(edges: str, query: str, steps: int, *names: str) -> str:
+    """ev(it, g, node, v): power iteration in each network of ``edges`` (g, src, dst, weight), with half its largest degree on every loop."""
+    tables = (
+        f"ge AS MATERIALIZED ({edges}), half AS MATERIALIZED (SELECT g, max(k) / 2 AS shift FROM (SELECT g, dst, sum(weight) AS k FROM ge GROUP BY 1, 2) GROUP BY 1), "
+        "lo AS MATERIALIZED (SELECT g, src, dst, weight FROM ge UNION ALL SELECT g, node, node, shift FROM (SELECT DISTINCT g, src AS node FROM ge) JOIN half USING (g)), "
+        "ev AS (SELECT DISTINCT 0 AS it, g, src AS node, 1::DOUBLE AS v FROM lo UNION ALL SELECT it, g, node, raw / sqrt(sum(raw * raw) OVER (PARTITION BY g)) AS v FROM "
+        f"(SELECT it + 1 AS it, lo.g, lo.dst AS node, sum(weight * v) AS raw FROM lo JOIN ev ON ev.g = lo.g AND ev.node = lo.src WHERE it < {steps} GROUP BY it, lo.g, lo.dst))"
+    )
+    return with_tables(query, *names, recursive=tables)
+
+
 def heat(parameter: float, order: int) -> str:
     return with_tables(f"SELECT src, dst, {r(f'exp(-pow(pow(d, 1::DOUBLE / {order}), 2) / (2 * {parameter}::DOUBLE))')} AS weight FROM (SELECT a.feature AS src, b.feature AS dst, sum(pow(abs(a.value - b.value), {order})) AS d FROM m a JOIN m b USING (subject) WHERE a.feature <> b.feature GROUP BY ALL)", "m")
 
@@ -89,9 +119,9 @@ CENTERS = "inside AS MATERIALIZED (SELECT adj.dst AS node, sum(adj.weight) AS k
 
 
 def oracles() -> dict[str, str]:
-    class_dots = "cd AS MATERIALIZED (SELECT label, a.feature AS f1, b.feature AS f2, sum(a.value * b.value) AS dot FROM m a JOIN m b USING (subject, label) WHERE label IN (0, 1) GROUP BY ALL)"
+    class_dots = "cd AS MATERIALIZED (SELECT CAST(a.label >= 5 AS INT) AS label, a.feature AS f1, b.feature AS f2, sum(a.value * b.value) AS dot FROM m a JOIN m b USING (subject) GROUP BY ALL)"
     z = "atanh(greatest(least(d.dot / ((CASE WHEN x.dot = 0 THEN 1 ELSE sqrt(x.dot) END) * (CASE WHEN y.dot = 0 THEN 1 ELSE sqrt(y.dot) END)), 0.99999999::DOUBLE), -0.99999999::DOUBLE))"
-    n = "(SELECT count(DISTINCT subject) FROM m WHERE label = {})"
+    n = "(SELECT count(DISTINCT subject) FROM m WHERE CAST(label >= 5 AS INT) = {})"
     scaled = "(value - avg(value) OVER (PARTITION BY feature)) / (CASE WHEN stddev_pop(value) OVER (PARTITION BY feature) = 0 THEN 1 ELSE stddev_pop(value) OVER (PARTITION BY feature) END)"
     cells = "(SELECT count(DISTINCT feature) FROM m)"
     path = "reach AS (SELECT node, node AS r FROM vs UNION SELECT e.b, reach.r FROM reach JOIN es e ON e.a = reach.node)"
@@ -120,6 +150,15 @@ def oracles() -> dict[str, str]:
         "clpe_heatkernel_weights": centrality(HEAT[500], "mem"),
         "pagerank_flow": page_rank("src", "dst", 60),
         "pagerank_in_rank": page_rank("dst", "src", 60),
+        "pagerank_stochastic": stochastic_rank(60),
+        "clpe_pagerank_weights": group_page_rank(150),
+        "eigenvector_centrality": leading_vectors("SELECT 0 AS g, src, dst, weight FROM adj", f"SELECT feature AS node, {r('coalesce(v, 0)')} AS score FROM (SELECT DISTINCT feature FROM m) LEFT JOIN (SELECT * FROM ev WHERE it = 200) ON node = feature", 200, "adj"),
+        "clpe_large_evec": leading_vectors(
+            "SELECT x.pathway AS g, adj.src, adj.dst, adj.weight FROM mem x JOIN mem y USING (pathway) JOIN adj ON adj.src = x.feature AND adj.dst = y.feature",
+            f"SELECT pathway, feature, {r('CASE WHEN sum(v) OVER (PARTITION BY pathway) <> 0 THEN v / sum(v) OVER (PARTITION BY pathway) ELSE v END')} AS weight FROM (SELECT mem.pathway, mem.feature, coalesce(v, 0) AS v FROM mem LEFT JOIN (SELECT * FROM ev WHERE it = 300) ON g = mem.pathway AND node = mem.feature)",
+            300, "mem", "adj",
+        ),
+        "random_graph": f"SELECT src, dst, {r('weight')} AS weight FROM (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, CAST(('0x' || substr(md5(least(a.s_suppkey, b.s_suppkey)::VARCHAR || '-' || greatest(a.s_suppkey, b.s_suppkey)::VARCHAR || '-1'), 1, 8)) AS BIGINT) / 4294967296::DOUBLE AS weight FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey)",
         "pathway_centrality_score": with_tables(f"SELECT pathway, {r(f'sum(CASE WHEN feature IN {SET} THEN weight ELSE 0 END)')} AS score FROM cw GROUP BY 1", "cw"),
         "simple_transform_ranking": with_tables(f"SELECT o.pathway, {r('o.score')} AS score, {r('avg(CASE WHEN o.score < z.score - 1e-12 THEN 1::DOUBLE ELSE 0::DOUBLE END)')} AS p_val FROM (SELECT pathway, sum(CASE WHEN feature IN {SET} THEN weight ELSE 0 END) AS score FROM w GROUP BY 1) o JOIN (SELECT p.pathway, t.trial, coalesce(sum(w.weight), 0) AS score FROM (SELECT DISTINCT pathway FROM mem) p CROSS JOIN (SELECT DISTINCT trial FROM (VALUES {null_values(list(range(64)), len(SET), 20)}) v(trial, feature)) t LEFT JOIN (VALUES {null_values(list(range(64)), len(SET), 20)}) v(trial, feature) ON v.trial = t.trial LEFT JOIN w ON w.feature = v.feature AND w.pathway = p.pathway GROUP BY ALL) z ON z.pathway = o.pathway GROUP BY ALL", "w"),
         "supra_adjacency": with_tables(f"SELECT src_t, src, dst_t, dst, {r('weight')} AS weight FROM supra", "supra"),
@@ -129,7 +168,7 @@ def oracles() -> dict[str, str]:
         "cluster_center_edges": with_tables(f"SELECT src, dst, {r('weight')} AS weight FROM adj WHERE src IN (SELECT node FROM cen) AND dst IN (SELECT node FROM cen)", "adj", recursive=f"{HALVES}, {CENTERS}"),
         "graph_display_nodes": with_tables(f"SELECT n_nationkey AS node, {r('coalesce(k, 0) / max(coalesce(k, 0)) OVER ()')} AS size FROM nation LEFT JOIN (SELECT dst, sum(weight) AS k FROM flow GROUP BY 1) ON dst = n_nationkey", "flow"),
         "graph_display_edges": with_tables(f"SELECT src, dst, round_even(weight, 2) AS weight FROM adj WHERE weight >= (SELECT median(c) FROM (SELECT weight AS c FROM adj UNION ALL SELECT 0::DOUBLE FROM range(0, CAST({cells} * {cells} - (SELECT count(*) FROM adj) AS BIGINT)))) AND round_even(weight, 2) <> 0", "adj"),
-        "er_graph": "WITH g AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey ORDER BY md5(a.n_nationkey::VARCHAR || '-' || b.n_nationkey::VARCHAR), 1, 2 LIMIT 60) SELECT src, dst, 1::DOUBLE AS weight FROM g UNION ALL SELECT dst, src, 1::DOUBLE FROM g",
+        "er_graph": "WITH g AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey ORDER BY md5(a.s_suppkey::VARCHAR || '-' || b.s_suppkey::VARCHAR), 1, 2 LIMIT 60) SELECT src, dst, 1::DOUBLE AS weight FROM g UNION ALL SELECT dst, src, 1::DOUBLE FROM g",
         "metadata_cases": "SELECT c_custkey AS subject, n_name AS nation, c_mktsegment <> 'BUILDING' AS is_case FROM customer JOIN nation ON c_nationkey = n_nationkey",
         "restrict_features": with_tables(f"SELECT subject, feature, {r('value')} AS value FROM m WHERE feature IN (SELECT feature FROM mem WHERE pathway = 7)", "mem"),
         "svm_rates_fixed": f"SELECT {r('avg(share)')} AS bsr FROM (SELECT vec_id % 3 AS guess, avg(CASE WHEN label % 3 = vec_id % 3 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS share FROM embeddings GROUP BY 1)",
