@@ -112,16 +112,22 @@ def coded_network(edges: DataFrame, directed: bool = True) -> DataFrame:
 def supra_adjacency(matrices: DataFrame, measure: str, epsilon: float = 0, parameter: float = 2) -> DataFrame:
     """(src_t, src, dst_t, dst, weight) of a network for each ``t``, and of couplings from a layer's nodes to themselves one layer earlier.
 
+    ``measure``: correlation, or heatkernel with its ``parameter`` (distances of the columns over the layer's subjects).
     A coupling's weight is the mean of all cells of all layers, zeros included. Layers are numbered without gaps.
     """
-    if measure != "correlation":
-        raise ValueError("layers are built by correlation")
+    if measure.replace("_", "") not in MEASURES:
+        raise ValueError(f"measure {measure!r} is none of {MEASURES}")
     left = matrices.select("t", "subject", F.col("feature").alias("src"), F.col("value").alias("a"))
     right = matrices.select("t", "subject", F.col("feature").alias("dst"), F.col("value").alias("b"))
     dots = left.join(right, ["t", "subject"]).where("src <= dst").groupBy("t", "src", "dst").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    norm = dots.where("src = dst").select("t", F.col("src").alias("f"), F.when(F.col("dot") == 0, 1.0).otherwise(F.sqrt("dot")).alias("norm"))
-    n1, n2 = norm.select("t", F.col("f").alias("src"), F.col("norm").alias("n1")), norm.select("t", F.col("f").alias("dst"), F.col("norm").alias("n2"))
-    cells = dots.where("src <> dst").join(n1, ["t", "src"]).join(n2, ["t", "dst"]).select("t", "src", "dst", thresholded(F.least(F.abs(F.col("dot") / (F.col("n1") * F.col("n2"))), F.lit(1.0)), epsilon).alias("weight"))
+    own = dots.where("src = dst").select("t", F.col("src").alias("f"), F.col("dot").alias("square"))
+    names = own.select("t", F.col("f").alias("src"), F.col("square").alias("s1")).join(own.select("t", F.col("f").alias("dst"), F.col("square").alias("s2")), "t").where("src < dst")
+    pairs = names.join(dots, ["t", "src", "dst"], "left")  # columns without a common subject have product 0
+    dot = F.coalesce("dot", F.lit(0.0))
+    norm = lambda s: F.when(F.col(s) == 0, 1.0).otherwise(F.sqrt(s))
+    cosine = F.least(F.abs(dot / (norm("s1") * norm("s2"))), F.lit(1.0))
+    heat = F.exp(-F.greatest(F.col("s1") + F.col("s2") - 2 * dot, F.lit(0.0)) / (2.0 * parameter))
+    cells = (pairs.where("dot is not null").select("t", "src", "dst", thresholded(cosine, epsilon).alias("weight")) if measure == "correlation" else pairs.select("t", "src", "dst", thresholded(heat, epsilon).alias("weight")))
     layers = cells.select("t", F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"), "weight").select(F.col("t").alias("src_t"), "e.src", F.col("t").alias("dst_t"), "e.dst", "weight")
     size = matrices.agg(F.count_distinct("t").alias("layers"), F.count_distinct("feature").alias("nodes"), F.min("t").alias("first"))
     mean = layers.agg(F.sum("weight").alias("total")).crossJoin(size).select((F.col("total") / (F.col("layers") * F.col("nodes") * F.col("nodes"))).alias("weight"), "first")

@@ -135,6 +135,11 @@ def supra_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(networks.supra_adjacency(inputs.layers(spark, sf_dir), "correlation"), "weight")
 
 
+@query
+def supra_heatkernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(networks.supra_adjacency(inputs.layers(spark, sf_dir), "heatkernel", parameter=1e6), "weight")
+
+
 @query
 def supra_scores_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = inputs.layers(spark, sf_dir)

@@ -118,6 +118,10 @@ HALVES = "half AS MATERIALIZED (SELECT feature AS node, feature % 5 AS cluster F
 CENTERS = "inside AS MATERIALIZED (SELECT adj.dst AS node, sum(adj.weight) AS k FROM adj JOIN half g ON g.node = adj.src JOIN half h ON h.node = adj.dst AND h.cluster = g.cluster GROUP BY 1), cen AS MATERIALIZED (SELECT cluster, node FROM (SELECT h.cluster, h.node, row_number() OVER (PARTITION BY h.cluster ORDER BY coalesce(k, 0) DESC, h.node) AS place FROM half h LEFT JOIN inside USING (node)) WHERE place = 1)"
 
 
+HEAT_CELLS = "sq AS (SELECT t, f1 AS f, dot FROM ldots WHERE f1 = f2), hcells AS MATERIALIZED (SELECT x.t, x.f AS src, y.f AS dst, exp(-greatest(x.dot + y.dot - 2 * coalesce(d.dot, 0), 0) / 2e6) AS weight FROM sq x JOIN sq y ON x.t = y.t AND x.f <> y.f LEFT JOIN ldots d ON d.t = x.t AND d.f1 = x.f AND d.f2 = y.f)"
+HEAT_SUPRA = "hsupra AS (SELECT t AS src_t, src, t AS dst_t, dst, weight FROM hcells UNION ALL SELECT t, feature, t - 1, feature, (SELECT sum(weight) FROM hcells) / (SELECT count(DISTINCT t) * count(DISTINCT feature) * count(DISTINCT feature) FROM lay) FROM (SELECT DISTINCT t, feature FROM lay) WHERE t > (SELECT min(t) FROM lay))"
+
+
 def oracles() -> dict[str, str]:
     class_dots = "cd AS MATERIALIZED (SELECT CAST(a.label >= 5 AS INT) AS label, a.feature AS f1, b.feature AS f2, sum(a.value * b.value) AS dot FROM m a JOIN m b USING (subject) GROUP BY ALL)"
     z = "atanh(greatest(least(d.dot / ((CASE WHEN x.dot = 0 THEN 1 ELSE sqrt(x.dot) END) * (CASE WHEN y.dot = 0 THEN 1 ELSE sqrt(y.dot) END)), 0.99999999::DOUBLE), -0.99999999::DOUBLE))"
@@ -162,6 +166,7 @@ def oracles() -> dict[str, str]:
         "pathway_centrality_score": with_tables(f"SELECT pathway, {r(f'sum(CASE WHEN feature IN {SET} THEN weight ELSE 0 END)')} AS score FROM cw GROUP BY 1", "cw"),
         "simple_transform_ranking": with_tables(f"SELECT o.pathway, {r('o.score')} AS score, {r('avg(CASE WHEN o.score < z.score - 1e-12 THEN 1::DOUBLE ELSE 0::DOUBLE END)')} AS p_val FROM (SELECT pathway, sum(CASE WHEN feature IN {SET} THEN weight ELSE 0 END) AS score FROM w GROUP BY 1) o JOIN (SELECT p.pathway, t.trial, coalesce(sum(w.weight), 0) AS score FROM (SELECT DISTINCT pathway FROM mem) p CROSS JOIN (SELECT DISTINCT trial FROM (VALUES {null_values(list(range(64)), len(SET), 20)}) v(trial, feature)) t LEFT JOIN (VALUES {null_values(list(range(64)), len(SET), 20)}) v(trial, feature) ON v.trial = t.trial LEFT JOIN w ON w.feature = v.feature AND w.pathway = p.pathway GROUP BY ALL) z ON z.pathway = o.pathway GROUP BY ALL", "w"),
         "supra_adjacency": with_tables(f"SELECT src_t, src, dst_t, dst, {r('weight')} AS weight FROM supra", "supra"),
+        "supra_heatkernel": with_tables(f"SELECT src_t, src, dst_t, dst, {r('weight')} AS weight FROM hsupra", "ldots", recursive=f"{HEAT_CELLS}, {HEAT_SUPRA}"),
         "supra_scores_degree": with_tables(f"SELECT dst AS node, {r('sum(weight)')} AS score FROM supra GROUP BY 1", "supra"),
         "connected_components": with_tables("SELECT component, count(*) AS nodes FROM (SELECT node, min(r) AS component FROM reach GROUP BY 1) GROUP BY 1", "trade", recursive=f"{graph}, {path}"),
         "cluster_centers": with_tables("SELECT cluster, node FROM cen", "adj", recursive=f"{HALVES}, {CENTERS}"),

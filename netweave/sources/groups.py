@@ -80,3 +80,23 @@ def read_groups(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame |
 
 def group_names(members: DataFrame) -> DataFrame:
     return members.select("pathway").distinct().orderBy("pathway")
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(subject, feature, value) of CSV files with a subject a row: its name in the first column, features in the header.
+
+    The header is read from the files, and every row becomes its cells in the task that reads it. Empty cells are
+    left out, so that ``matrix.validate`` and joins see them as absent.
+    """
+    wide = spark.read.option("header", True).csv(path)
+    key, *names = wide.columns
+    values = F.array(*[F.struct(F.lit(p).alias("feature"), F.col(f"`{n}`").cast("double").alias("value")) for n, p in zip(names, plain_labels(names), strict=True)])
+    return wide.select(F.col(f"`{key}`").alias("subject"), F.inline(values)).where("value is not null").select("subject", "feature", "value")
+
+
+def read_metadata(spark: SparkSession, path: str, column: str, control: str = "control") -> DataFrame:
+    """(subject, label): 1 for cases and 0 for subjects whose ``column`` is ``control``; the first column names the subject."""
+    wide = spark.read.option("header", True).csv(path)
+    if column not in wide.columns:
+        raise KeyError(f"no column {column}")
+    return wide.select(F.col(f"`{wide.columns[0]}`").alias("subject"), (F.col(f"`{column}`") != control).cast("int").alias("label"))

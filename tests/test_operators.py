@@ -228,3 +228,15 @@ def test_stream_of_layers_equals_batch(spark, sf_dir, tmp_path):
     key = lambda r: (str(r.start), r.subject, r.feature, round(r.value, 6))
     assert sorted(map(key, spark.table("layers").collect())) == sorted(map(key, batch.collect()))
     assert numbered(batch).agg(F.min("t")).first()[0] == 0
+
+
+def test_matrix_and_metadata_files(spark, tmp_path):
+    from netweave.sources.groups import read_matrix, read_metadata
+
+    (tmp_path / "m.csv").write_text("SampleID,a_at,b/x,c\ns1,1.5,,3\ns2,0,2,-1e3\n")
+    (tmp_path / "meta.csv").write_text(",class\ns1,control\ns2,late\n")
+    cells = sorted(map(tuple, read_matrix(spark, f"{tmp_path}/m.csv").collect()))
+    assert cells == [("s1", "a_at", 1.5), ("s1", "c", 3.0), ("s2", "a_at", 0.0), ("s2", "b/x", 2.0), ("s2", "c", -1000.0)]
+    assert sorted(map(tuple, read_metadata(spark, f"{tmp_path}/meta.csv", "class").collect())) == [("s1", 0), ("s2", 1)]
+    with pytest.raises(KeyError):
+        read_metadata(spark, f"{tmp_path}/meta.csv", "other")
