@@ -309,8 +309,10 @@ def _collected(scores: DataFrame, order: int = ORDER) -> tuple[np.ndarray, np.nd
 
 
 def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bool = True, order: int = ORDER) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
+    ``score`` is of the text as its words in lower case with one space between them, as the base score's tokens are;
+    ``bits_per_byte`` is its code length over that text's bytes, the end byte among them. A very long text is one pass.
     Null and empty texts have the end token alone. Repeated rows are scored and counted each. A null id counts as
     training. An empty table gives no rows. Only doc_id and text are read. ``broadcast`` False takes the joins for
     the gram table whatever its size. ``order``: bytes of the deepest contexts, ORDER to MOST.
@@ -331,7 +333,7 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
     model = context.broadcast(table)
 
     end_score = float(np.log10(ends + 0.1)) - whole
-    shape = "n_tokens long, known long, base double, model double, tail array<binary>, tail_n array<long>, grams array<long>, grams_n array<long>"
+    shape = "n_tokens long, size long, known long, base double, model double, tail array<binary>, tail_n array<long>, grams array<long>, grams_n array<long>"
 
     @F.pandas_udf(shape)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -355,14 +357,14 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
                     found = np.unique(grams(own, order), return_counts=True)
                 else:
                     score = own_table.score(own)
-                out.append((len(own) + 1, known, base, score, tail, tail_n, *found))
-            yield pd.DataFrame(out, columns=["n_tokens", "known", "base", "model", "tail", "tail_n", "grams", "grams_n"])
+                out.append((len(own) + 1, sum(map(len, own)) + max(len(own), 1), known, base, score, tail, tail_n, *found))
+            yield pd.DataFrame(out, columns=["n_tokens", "size", "known", "base", "model", "tail", "tail_n", "grams", "grams_n"])
 
     first = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", scored("text").alias("r")).select("row", "doc_id", "held_out", "r.*"))
     rare = first.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("k"))
     each = rare.join(vocabulary, "word", "left").select("row", (F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - whole)).alias("s"), F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("known"))
     sums = each.groupBy("row").agg(F.sum("s").alias("tail_base"), F.sum("known").alias("tail_known"))
-    done = first.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "model").join(sums, "row", "left")
+    done = first.select("row", "doc_id", "held_out", "n_tokens", "size", "known", "base", "model").join(sums, "row", "left")
     extra = F.lit(0.0)
     if table is None:
         pairs = first.select("row", F.explode(F.arrays_zip("grams", "grams_n")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.grams_n").alias("k"))
@@ -371,4 +373,5 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
     return done.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"), (F.col("model") + extra).alias("score"),
+        (-(F.col("model") + extra) * float(np.log2(10)) / F.col("size")).alias("bits_per_byte"),
     )

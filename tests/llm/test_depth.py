@@ -61,3 +61,10 @@ def test_held_out_texts_beat_the_base_score(spark):
 def test_orders(spark, sf_dir):
     with pytest.raises(ValueError):
         lm.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=7)
+
+
+def test_code_length_of_a_byte(spark):
+    rows = [(k, "the same words again " * 5) for k in range(30)] + [(100, None), (101, "zq")]
+    for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        size = len(b" ".join(lm.words(dict(rows)[r.doc_id])) + b"\n")
+        assert math.isclose(r.bits_per_byte, -r.score * math.log2(10) / size, rel_tol=1e-9)
