@@ -1,7 +1,8 @@
 """Discriminative modules: spectral bisection that goes on where a support vector machine tells the classes better.
 
 A cluster's rate is the mean, over predicted classes, of the share of its subjects that are of that class. The
-machine is fitted on all subjects and judged on the same ones, or leaves each subject out in turn.
+machine is fitted on all subjects and judged on the same ones, or leaves each subject out in turn. Clusters of few
+cells are fitted in a task each, others by sums over partitions; the machine is the same.
 """
 
 from __future__ import annotations
@@ -12,18 +13,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweave.functions import kernels
+from netweave.operators import machines
 from netweave.operators.networks import adjacency, fisher_difference
 from netweave.operators.spectral import dense, grouped, whole
 from netweave.sources.scratch import stored
 
 #: Tasks that share the left-out subjects of one cluster.
 BLOCKS = 16
+#: Values of a cluster's subjects up to which one task fits its machine (32 MB).
+DENSE_CELLS = 4_000_000
+RATES = ("precision", "recall")
 
 
-def predictions(matrix: DataFrame, members: DataFrame, loo: bool = False) -> DataFrame:
+def predictions(matrix: DataFrame, members: DataFrame, loo: bool = False, dense_cells: int = DENSE_CELLS) -> DataFrame:
     """(path, subject, label, predicted) of every cluster of (path, node) and subject of (subject, feature, value, label)."""
     own = matrix.join(members.select("path", F.col("node").alias("feature")), "feature")
     packed = own.groupBy("path", "subject", "label").agg(F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("row")).select("path", "subject", "label", F.col("row.value").alias("values"))
+    if (own.groupBy("path").count().agg(F.max("count")).first()[0] or 0) > dense_cells:
+        return machines.judged(packed, loo)
     blocks = BLOCKS if loo else 1
     dealt = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     kind = matrix.schema["subject"].dataType.simpleString()
@@ -40,9 +47,11 @@ def predictions(matrix: DataFrame, members: DataFrame, loo: bool = False) -> Dat
     return dealt.groupBy("path", "block").applyInPandas(judged, f"path string, subject {kind}, label int, predicted int")
 
 
-def rates(predicted: DataFrame) -> DataFrame:
-    """(path, bsr)."""
-    each = predicted.groupBy("path", "predicted").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("share"))
+def rates(predicted: DataFrame, bsr: str = "precision") -> DataFrame:
+    """(path, bsr): over predicted classes (``precision``), or over the subjects' own (``recall``)."""
+    if bsr not in RATES:
+        raise ValueError(f"bsr {bsr!r} is none of {RATES}")
+    each = predicted.groupBy("path", "predicted" if bsr == "precision" else "label").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("share"))
     return each.groupBy("path").agg(F.avg("share").alias("bsr"))
 
 
@@ -50,18 +59,19 @@ def module_network(matrix: DataFrame, similarity: str) -> DataFrame:
     return fisher_difference(matrix) if similarity == "zobs" else adjacency(matrix, similarity)
 
 
-def find_modules(matrix: DataFrame, edges: DataFrame, loo: bool = False, fiedler: bool = True) -> tuple[DataFrame, DataFrame]:
+def find_modules(matrix: DataFrame, edges: DataFrame, loo: bool = False, fiedler: bool = True, bsr: str = "precision", propagate: bool = False) -> tuple[DataFrame, DataFrame]:
     """(leaves(path, node), tree(path, size, bsr, mean_edge, is_leaf)); labels are 0 and 1.
 
     A cluster with a side whose rate is not below its own is cut; the descent goes to the better side, or to both if
-    they are equal. It ends where both are worse, at single nodes, and where a cut leaves a side empty.
+    they are equal. It ends where both are worse, at single nodes, and where a cut leaves a side empty. ``fiedler`` holds
+    for the first cut alone, and the plain Laplacian for all others, unless ``propagate``.
     """
     kind = matrix.schema["feature"].dataType.simpleString()
     members = stored(whole(matrix.select(F.col("feature").alias("node")).distinct()))
-    tree = stored(rates(predictions(matrix, members, loo)).join(mean_edges(edges, members), "path", "left"))
+    tree = stored(rates(predictions(matrix, members, loo), bsr).join(mean_edges(edges, members), "path", "left"))
     done_tree, leaves, depth = None, None, 0
     while True:
-        own_fiedler = fiedler if not depth else True
+        own_fiedler = fiedler if propagate or not depth else True
 
         def cut(group: pd.DataFrame, own_fiedler: bool = own_fiedler) -> pd.DataFrame:
             names, a = dense(group)
@@ -71,7 +81,7 @@ def find_modules(matrix: DataFrame, edges: DataFrame, loo: bool = False, fiedler
         sides = stored(grouped(edges, members).groupBy("path").applyInPandas(lambda g: cut(g), f"parent string, node {kind}, path string"))
         sizes = sides.groupBy("parent", "path").agg(F.count("*").alias("size"))
         large = sides.join(sizes.where("size > 1"), ["parent", "path"]).select("path", "node")
-        judged = sizes.join(rates(predictions(matrix, large, loo)), "path", "left").withColumn("bsr", F.coalesce("bsr", F.lit(0.0)))
+        judged = sizes.join(rates(predictions(matrix, large, loo), bsr), "path", "left").withColumn("bsr", F.coalesce("bsr", F.lit(0.0)))
         per = judged.groupBy("parent").agg(*[F.max(F.when(F.col("path").endswith(s), F.col(c))).alias(f"{c}_{s}") for s in "AB" for c in ("bsr", "size")]).join(tree.select(F.col("path").alias("parent"), F.col("bsr").alias("own")), "parent")
         both = F.col("bsr_A").isNotNull() & F.col("bsr_B").isNotNull()
         worse = (F.col("bsr_A") < F.col("own")) & (F.col("bsr_B") < F.col("own"))

@@ -208,6 +208,34 @@ def test_modules_find_the_telling_features(spark):
     assert modules.report(tree, m).count() == sum(r.is_leaf for r in told.values())
 
 
+@pytest.mark.parametrize("loo", [False, True])
+def test_machines_by_sums_equal_those_of_one_task(spark, loo):
+    rng = random.Random(3)
+    rows = [(s, f, rng.gauss(0, 1) + (0.8 * (s % 2) if f < 2 else 0), s % 2) for s in range(60) for f in range(6)]
+    rows += [(s, f, float(s), int(s == 101)) for s in range(100, 104) for f in range(6, 8)]  # one subject of a class
+    rows += [(200, 8, 1.0, 1), (201, 9, 1.0, 1), (202, 9, 2.0, 1)]  # a subject alone, and one class alone
+    m = spark.createDataFrame(rows, "subject long, feature long, value double, label int").repartition(5)
+    paths = ["A"] * 3 + ["B"] * 3 + ["C"] * 2 + ["D", "E"]
+    members = spark.createDataFrame([(p, k) for k, p in enumerate(paths)], "path string, node long")
+    told = [sorted(map(tuple, modules.predictions(m, members, loo, dense_cells=n).select("path", "subject", "label", "predicted").collect())) for n in (10**6, 1)]
+    assert told[0] == told[1] and len(told[0]) == 2 * 60 + 4 + 1 + 2
+
+
+def test_machines_left_out_in_blocks(spark):
+    from netweave.operators import machines
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(40, 3)), np.arange(40) % 2
+    packed = spark.createDataFrame([("", i, int(y[i]), x[i].tolist()) for i in range(40)], "path string, subject long, label int, values array<double>")
+    got = {r.subject: r.predicted for r in machines.judged(packed, loo=True, together=7).collect()}
+    assert got == {i: int(kernels.predict(np.delete(x, i, 0), np.delete(y, i), x[i : i + 1])[0]) for i in range(40)}
+    whole = machines.Machine("", np.zeros(4))
+    machines.fit(packed, [whole])
+    assert np.allclose(whole.weights, kernels.support_vector(x, np.where(y == 1, 1.0, -1.0)), atol=1e-8)
+    with pytest.raises(ValueError):
+        modules.rates(packed, "f1")
+
+
 def test_order_of_rows_does_not_matter(spark):
     rows = [(s, f, float((s * f + s) % 7)) for s in range(12) for f in range(5)]
     one, two = (spark.createDataFrame(random.Random(k).sample(rows, len(rows)), "subject long, feature long, value double").repartition(k + 1) for k in (1, 2))
