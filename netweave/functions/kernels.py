@@ -13,6 +13,11 @@ def check_size(n: int) -> None:
         raise ValueError(f"a dense kernel takes at most {DENSE_NODES} nodes, not {n}")
 
 
+def check_symmetric(a: np.ndarray) -> None:
+    if not np.allclose(a, a.T, rtol=1e-9, atol=1e-12, equal_nan=True):
+        raise ValueError("a Laplacian needs a symmetric network")
+
+
 def canonical(vector: np.ndarray) -> np.ndarray:
     """The sign in which the largest entry (the first of several) is positive."""
     peak = np.abs(vector).round(9).argmax()
@@ -20,7 +25,11 @@ def canonical(vector: np.ndarray) -> np.ndarray:
 
 
 def laplacian(a: np.ndarray, fiedler: bool = True) -> np.ndarray:
-    """Degree matrix (column sums) less ``a``; without ``fiedler`` scaled on both sides by the degrees' roots, 0 for isolated nodes."""
+    """Degree matrix (column sums) less ``a``; without ``fiedler`` scaled on both sides by the degrees' roots, 0 for isolated nodes.
+
+    A network that is not symmetric raises ValueError.
+    """
+    check_symmetric(a)
     d = a.sum(axis=0)
     l = np.diag(d) - a  # noqa: E741
     if fiedler:
@@ -128,6 +137,27 @@ def leaf_order(z: np.ndarray) -> list[int]:
     return order
 
 
+def circle(n: int) -> np.ndarray:
+    turn = 2 * np.pi * np.arange(n) / max(n, 1)
+    return np.column_stack([np.cos(turn), np.sin(turn)])
+
+
+def spring(a: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Places by springs of ``a``'s weights against a push between all nodes, from a circle; the moves shrink to none."""
+    n = len(a)
+    at, near = circle(n), 1 / np.sqrt(max(n, 1))
+    pull = np.abs(a) * (1 - np.eye(n))
+    for k in range(steps):
+        square = (at**2).sum(axis=1)
+        far = np.maximum(np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * at @ at.T, 0)), 0.01)
+        force = near**2 / far**2 - pull * far / near
+        move = at * force.sum(axis=1)[:, None] - force @ at
+        length = np.maximum(np.sqrt((move**2).sum(axis=1)), 0.01)
+        at = at + move / length[:, None] * (0.1 * (1 - k / steps))
+    at = at - at.mean(axis=0)
+    return at / max(np.abs(at).max(), 1e-12)
+
+
 def support_vector(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 60) -> np.ndarray:
     """Weights, and last the intercept, of the linear machine with squared hinge loss; the intercept is penalised like a weight.
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweave.operators.components import component_labels
+from netweave.operators.expression import CENTRALITIES, dense_centralities
 from netweave.operators.matrix import ranked
 from netweave.sources.scratch import stored
 
@@ -86,10 +87,21 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def cluster_centers(edges: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((cluster, node) of highest degree inside each cluster, lowest node on ties; edges among these nodes)."""
+def cluster_centers(edges: DataFrame, clusters: DataFrame, centrality: str = "degree") -> tuple[DataFrame, DataFrame]:
+    """((cluster, node) of highest centrality inside each cluster, lowest node on ties; edges among these nodes).
+
+    The degree takes clusters of any size; ``page_rank`` and ``large_evec`` take each cluster in one task, up to kernels.DENSE_NODES nodes.
+    Scores are compared to twelve places.
+    """
+    if centrality not in CENTRALITIES:
+        raise ValueError(f"centrality {centrality!r} is none of {CENTRALITIES}")
     inside = edges.join(clusters.select(F.col("node").alias("src"), F.col("cluster").alias("c1")), "src").join(clusters.select(F.col("node").alias("dst"), F.col("cluster").alias("c2")), "dst").where("c1 = c2")
-    sums = inside.groupBy(F.col("dst").alias("node")).agg(F.sum("weight").alias("score"))
+    if centrality == "degree":
+        sums = inside.groupBy(F.col("dst").alias("node")).agg(F.sum("weight").alias("score"))
+    else:
+        own = clusters.select(F.col("cluster").alias("pathway"), F.col("node").alias("feature"))
+        scored = dense_centralities(inside.select(F.col("c1").alias("pathway"), "src", "dst", "weight"), own, centrality, in_rank=False)
+        sums = scored.select(F.col("feature").alias("node"), F.round("weight", 12).alias("score"))
     centers = ranked(clusters.join(sums, "node", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "cluster", F.desc("score"), "node").select("cluster", "node")
     among = edges.join(centers.select(F.col("node").alias("src")), "src", "left_semi").join(centers.select(F.col("node").alias("dst")), "dst", "left_semi")
     return centers, among.select("src", "dst", "weight")
@@ -104,3 +116,24 @@ def supra_degree(supra: DataFrame, nodes: DataFrame) -> DataFrame:
     """(t, node, score): degrees in a layered network; ``nodes``: (t, node)."""
     sums = supra.groupBy(F.col("dst_t").alias("t"), F.col("dst").alias("node")).agg(F.sum("weight").alias("score"))
     return nodes.join(sums, ["t", "node"], "left").select("t", "node", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def supra_scores(supra: DataFrame, nodes: DataFrame, centrality: str = "degree") -> DataFrame:
+    """(node, score): centralities in a layered network, absolute, summed over layers; ``nodes``: (t, node).
+
+    ``page_rank`` takes networks of any size; ``large_evec`` up to kernels.DENSE_NODES nodes of all layers, since couplings have one direction.
+    """
+    if centrality == "degree":
+        return layer_scores(supra_degree(supra, nodes))
+    if centrality not in CENTRALITIES:
+        raise ValueError(f"centrality {centrality!r} is none of {CENTRALITIES}")
+    place = lambda t, node, name: F.struct(F.col(t).cast("long").alias("t"), F.col(node).alias("node")).alias(name)
+    own, edges = nodes.select(place("t", "node", "node")), supra.select(place("src_t", "src", "src"), place("dst_t", "dst", "dst"), "weight")
+    if centrality == "page_rank":
+        scored = page_rank(edges, own)
+        return layer_scores(scored.select("node.t", "node.node", "score"))
+    text = lambda column, name: F.to_json(column).alias(name)
+    small = edges.select(F.lit(0).alias("pathway"), text("src", "src"), text("dst", "dst"), "weight")
+    scored = dense_centralities(small, own.select(F.lit(0).alias("pathway"), text("node", "feature")), "large_evec", in_rank=False)
+    named = own.select(text("node", "feature"), "node.t", "node.node")
+    return layer_scores(named.join(scored, "feature").select("t", "node", F.col("weight").alias("score")))

@@ -75,8 +75,8 @@ def centrality_weights(networks: DataFrame, members: DataFrame, features: DataFr
     return normalised(weights) if normalize else weights
 
 
-def dense_centralities(networks: DataFrame, members: DataFrame, centrality: str) -> DataFrame:
-    """One small graph a group, each in one task; a group has at most kernels.DENSE_NODES members."""
+def dense_centralities(networks: DataFrame, members: DataFrame, centrality: str, in_rank: bool = True) -> DataFrame:
+    """(pathway, feature, weight) of one small graph a group, each in one task; a group has at most kernels.DENSE_NODES members."""
     rows = members.select("pathway", "feature", F.lit(None).cast(members.schema["feature"].dataType).alias("other"), F.lit(0.0).alias("weight")).unionByName(networks.select("pathway", F.col("src").alias("feature"), F.col("dst").alias("other"), "weight"))
 
     def scores(group: pd.DataFrame) -> pd.DataFrame:
@@ -86,7 +86,7 @@ def dense_centralities(networks: DataFrame, members: DataFrame, centrality: str)
         a = np.zeros((len(names), len(names)))
         cells = group[group["other"].notna()]
         a[cells["feature"].map(place), cells["other"].map(place)] = cells["weight"]
-        v = (kernels.page_rank(a, in_rank=True) if centrality == "page_rank" else kernels.leading_vector(a)) if len(names) > 1 else np.zeros(len(names))
+        v = (kernels.page_rank(a, in_rank) if centrality == "page_rank" else kernels.leading_vector(a)) if len(names) > 1 else np.zeros(len(names))
         return pd.DataFrame({"pathway": group["pathway"].iloc[0], "feature": names, "weight": v})
 
     kinds = {f.name: f.dataType.simpleString() for f in members.schema}

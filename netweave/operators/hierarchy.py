@@ -56,6 +56,15 @@ def cut_tree(z: DataFrame, n_clusters: int | None = None, height: float | None =
     return _whole_linkage(z, lambda rows: pd.DataFrame({"item": np.arange(len(rows) + 1), "cluster": kernels.cut(rows, n_clusters, height)}), "item long, cluster int")
 
 
+def cut_trees(z: DataFrame, n_clusters: list[int] | None = None, heights: list[float] | None = None) -> DataFrame:
+    """(item, cut, cluster) of several cuts at once, each with its number of clusters or its height as ``cut``."""
+    asked = [(float(k), {"n_clusters": k}) for k in n_clusters or []] + [(float(h), {"height": h}) for h in heights or []]
+    if not asked:
+        raise ValueError("cut_trees needs numbers of clusters or heights")
+    cuts = lambda rows: pd.concat([pd.DataFrame({"item": np.arange(len(rows) + 1), "cut": name, "cluster": kernels.cut(rows, **how)}) for name, how in asked])
+    return _whole_linkage(z, cuts, "item long, cut double, cluster int")
+
+
 def dendrogram_order(z: DataFrame) -> DataFrame:
     """(place, item): the items from left to right."""
     return _whole_linkage(z, lambda rows: pd.DataFrame({"place": np.arange(len(rows) + 1), "item": kernels.leaf_order(rows)}), "place int, item long")

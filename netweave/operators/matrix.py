@@ -35,6 +35,12 @@ def standard_scale(matrix: DataFrame) -> DataFrame:
     return matrix.join(told, "feature").withColumn("value", scaled).select(*matrix.columns)
 
 
+def centred(matrix: DataFrame) -> DataFrame:
+    """Each feature less its mean."""
+    means = matrix.groupBy("feature").agg(F.avg("value").alias("mean"))
+    return matrix.join(means, "feature").withColumn("value", F.col("value") - F.col("mean")).select(*matrix.columns)
+
+
 def restrict(matrix: DataFrame, features: DataFrame) -> DataFrame:
     return matrix.join(features.select("feature"), "feature", "left_semi").select(*matrix.columns)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.operators.matrix import column_products
+from netweave.operators.matrix import centred, column_products
 
 MEASURES = ("correlation", "heatkernel")
 
@@ -27,10 +27,10 @@ def _cosines(dots: DataFrame) -> DataFrame:
     return dots.where("f1 <> f2").join(first, "f1").join(second, "f2").select(F.col("f1").alias("src"), F.col("f2").alias("dst"), (F.col("dot") / (F.col("n1") * F.col("n2"))).alias("r"))
 
 
-def correlation(matrix: DataFrame, epsilon: float = 0, negative: bool = False) -> DataFrame:
-    """Cosines of columns (Pearson's correlation of a scaled matrix), absolute unless ``negative``, at most 1, without loops."""
+def correlation(matrix: DataFrame, epsilon: float = 0, negative: bool = False, center: bool = False) -> DataFrame:
+    """Cosines of columns (with ``center``, or of a scaled matrix, Pearson's correlation), absolute unless ``negative``, at most 1, without loops."""
     r = F.col("r") if negative else F.abs("r")
-    cosines = _cosines(column_products(matrix))
+    cosines = _cosines(column_products(centred(matrix) if center else matrix))
     return mirrored(cosines.select("src", "dst", thresholded(F.least(r, F.lit(1.0)), epsilon).alias("weight")))
 
 

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from netweave.functions import kernels
 from netweave.operators.centrality import degree
-from netweave.operators.matrix import column_products
+from netweave.operators.hierarchy import cluster_linkage, dendrogram_order
+from netweave.operators.matrix import centred, column_products
+from netweave.operators.spectral import dense, grouped, whole
+from netweave.sources.scratch import stored
 
 
 def display_edges(edges: DataFrame, nodes: DataFrame, remove: bool = True) -> DataFrame:
@@ -38,6 +41,45 @@ def display_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return scored.select("node", F.when(top != 0, F.col("score") / top).otherwise(0.0).alias("size"), F.cos(turn).alias("x"), F.sin(turn).alias("y"))
 
 
+LAYOUTS = ("circular", "shell", "spectral", "spring")
+
+
+def display_layout(edges: DataFrame, nodes: DataFrame, layout: str = "spring", labels: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """(node, label, size, x, y): a node's place, its label of (node, label), or its id, and its score of (node, score) or its degree over the largest.
+
+    ``circular`` and ``shell`` (of one shell) are the circle; ``spectral`` places by the Laplacian's second and third
+    eigenvectors; ``spring`` by springs from the circle. A picture has at most kernels.DENSE_NODES nodes.
+    """
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout {layout!r} is none of {LAYOUTS}")
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def placed(group: pd.DataFrame) -> pd.DataFrame:
+        names, a = dense(group)
+        if layout == "spectral":
+            _, v = np.linalg.eigh(kernels.laplacian(a))
+            at = np.column_stack([kernels.canonical(v[:, k]) if k < len(names) else np.zeros(len(names)) for k in (1, 2)])
+            at = at / max(np.abs(at).max(), 1e-12)
+        else:
+            at = kernels.spring(np.maximum(a, a.T)) if layout == "spring" else kernels.circle(len(names))
+        return pd.DataFrame({"node": names, "x": at[:, 0], "y": at[:, 1]})
+
+    places = grouped(edges, whole(nodes)).groupBy("path").applyInPandas(placed, f"node {kind}, x double, y double")
+    sized = scores if scores is not None else degree(edges, nodes)
+    top = sized.agg(F.max("score").alias("top"))
+    size = F.coalesce(F.when(F.col("top") != 0, F.col("score") / F.col("top")), F.lit(0.0))
+    sized = sized.crossJoin(F.broadcast(top)).select("node", (F.col("score") if scores is not None else size).alias("size"))  # top is one row
+    named = labels.select("node", "label") if labels is not None else nodes.select("node", F.lit(None).cast("string").alias("label"))
+    return places.join(sized, "node", "left").join(named, "node", "left").select("node", F.coalesce(F.col("label").cast("string"), F.col("node").cast("string")).alias("label"), "size", "x", "y")
+
+
+def dendrogram(clusters: DataFrame, edges: DataFrame, matrix: DataFrame, distance: str = "dumb") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(linkage of a full hierarchy (path, node), (place, item) of its leaves, (place, subject, value) of the matrix in that order)."""
+    z = stored(cluster_linkage(clusters, edges, distance))
+    order = stored(dendrogram_order(z))
+    return z, order, matrix.join(order.select("place", F.col("item").alias("feature")), "feature").select("place", "subject", "value")
+
+
 def heat_map(edges: DataFrame, order: DataFrame) -> DataFrame:
     """(row, col, value): the network in the order of (place, item); nodes are the items."""
     row, col = order.select(F.col("place").alias("row"), F.col("item").alias("src")), order.select(F.col("place").alias("col"), F.col("item").alias("dst"))
@@ -49,8 +91,7 @@ def principal_components(matrix: DataFrame, count: int = 2) -> tuple[DataFrame,
 
     The features' covariances are small whatever the number of subjects; scores are one join and aggregation.
     """
-    means = matrix.groupBy("feature").agg(F.avg("value").alias("mean"))
-    centred = matrix.join(means, "feature").select("subject", "feature", (F.col("value") - F.col("mean")).alias("value"))
+    own = centred(matrix.select("subject", "feature", "value"))
     kind = matrix.schema["feature"].dataType.simpleString()
 
     def axes(group: pd.DataFrame) -> pd.DataFrame:
@@ -67,6 +108,6 @@ def principal_components(matrix: DataFrame, count: int = 2) -> tuple[DataFrame,
             out.append(pd.DataFrame({"component": c, "ratio": values[-1 - c] / values.sum() if values.sum() else 0.0, "feature": names, "weight": v}))
         return pd.concat(out)
 
-    loadings = column_products(centred).groupBy(F.lit(0).alias("all")).applyInPandas(axes, f"component int, ratio double, feature {kind}, weight double")
-    scores = centred.join(loadings, "feature").groupBy("subject", "component").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
+    loadings = column_products(own).groupBy(F.lit(0).alias("all")).applyInPandas(axes, f"component int, ratio double, feature {kind}, weight double")
+    scores = own.join(loadings, "feature").groupBy("subject", "component").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
     return scores, loadings.select("component", "ratio").distinct()

@@ -55,6 +55,7 @@ on_matrix("glpe_transform_precomputed", lambda m: expression.Expression(given_we
 on_matrix("standard_scale", lambda m: matrices.standard_scale(m).drop("label"), "value")
 on_matrix("corr_adjacency", networks.correlation, "weight")
 on_matrix("corr_signed", lambda m: networks.correlation(m, negative=True), "weight")
+on_matrix("corr_centred", lambda m: networks.correlation(m, center=True), "weight")
 on_matrix("corr_epsilon", lambda m: networks.correlation(m, epsilon=0.05), "weight")
 on_matrix("heatkernel_adjacency", lambda m: networks.adjacency(m, "heatkernel", parameter=500), "weight")
 on_matrix("heatkernel_l1", lambda m: networks.heat_kernel(m, parameter=200000, order=1), "weight")
@@ -147,6 +148,13 @@ def supra_scores_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(centrality.layer_scores(centrality.supra_degree(networks.supra_adjacency(layers, "correlation"), nodes)), "score")
 
 
+@query
+def supra_scores_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = inputs.layers(spark, sf_dir)
+    nodes = layers.select("t", F.col("feature").alias("node")).distinct()
+    return rounded(centrality.supra_scores(spectral.stored(networks.supra_adjacency(layers, "correlation")), nodes, "page_rank"), "score")
+
+
 @query
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centrality.connected_components(inputs.trade(spark, sf_dir), inputs.trade_nodes(spark, sf_dir))
@@ -214,6 +222,11 @@ rows_only("linkage_matrix_avg_cut", lambda m: (lambda e, c: hierarchy.cluster_li
 rows_only("subset_parents", lambda m: hierarchy.subset_parents(hierarchy_of(m)[1]))
 rows_only("wgcna_linkage", lambda m: hierarchy.overlap_linkage(m)[1], "height")
 rows_only("cut_tree", lambda m: hierarchy.cut_tree(hierarchy.overlap_linkage(m)[1], n_clusters=6))
+rows_only("cut_trees", lambda m: hierarchy.cut_trees(hierarchy.overlap_linkage(m)[1], [2, 6], [0.9]))
+rows_only("cluster_centers_pagerank", lambda m: centrality.cluster_centers(networks.correlation(m), fifths(m), "page_rank")[0])
+rows_only("graph_layout_spectral", lambda m: plotdata.display_layout(networks.correlation(m), inputs.nodes(m), "spectral"), "size", "x", "y")
+rows_only("graph_layout_spring", lambda m: plotdata.display_layout(networks.correlation(m), inputs.nodes(m), "spring"), "size", "x", "y")
+rows_only("dendrogram", lambda m: (lambda e, c: plotdata.dendrogram(c, e, m.drop("label"))[2])(*hierarchy_of(m)), "value")
 rows_only("dendrogram_order", lambda m: hierarchy.dendrogram_order(hierarchy.overlap_linkage(m)[1]))
 rows_only("dendrogram_heat_map", lambda m: plotdata.heat_map(networks.correlation(m), hierarchy.dendrogram_order(hierarchy.overlap_linkage(m)[1])), "value")
 rows_only("eigengenes", lambda m: hierarchy.eigengenes(m, hierarchy.cut_tree(hierarchy.overlap_linkage(m)[1], n_clusters=6).select(F.col("item").alias("feature"), "cluster")), "value")

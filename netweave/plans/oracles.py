@@ -24,11 +24,12 @@ TABLES = {
     "lnorm": "SELECT t, f1 AS f, CASE WHEN dot = 0 THEN 1 ELSE sqrt(dot) END AS norm FROM ldots WHERE f1 = f2",
     "lcells": "SELECT d.t, f1 AS src, f2 AS dst, least(abs(dot / (x.norm * y.norm)), 1::DOUBLE) AS weight FROM ldots d JOIN lnorm x ON x.t = d.t AND x.f = f1 JOIN lnorm y ON y.t = d.t AND y.f = f2 WHERE f1 <> f2",
     "supra": "SELECT t AS src_t, src, t AS dst_t, dst, weight FROM lcells UNION ALL SELECT t, feature, t - 1, feature, (SELECT sum(weight) FROM lcells) / (SELECT count(DISTINCT t) * count(DISTINCT feature) * count(DISTINCT feature) FROM lay) FROM (SELECT DISTINCT t, feature FROM lay) WHERE t > (SELECT min(t) FROM lay)",
+    "supraflow": "SELECT src_t || '/' || src AS src, dst_t || '/' || dst AS dst, weight FROM supra",
     "trade": "SELECT DISTINCT o_custkey AS src, -1 - l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 }
 NEEDS = {
     "mem": "m", "w": "m mem", "dots": "m", "norms": "m dots", "cosines": "m dots norms", "adj": "m dots norms cosines", "pe": "m mem", "net": "m mem pe", "und": "m mem pe net",
-    "deg": "m mem pe net", "top": "m mem pe net deg", "cw": "m mem pe net deg top", "ldots": "lay", "lnorm": "lay ldots", "lcells": "lay ldots lnorm", "supra": "lay ldots lnorm lcells",
+    "deg": "m mem pe net", "top": "m mem pe net deg", "cw": "m mem pe net deg top", "ldots": "lay", "lnorm": "lay ldots", "lcells": "lay ldots lnorm", "supra": "lay ldots lnorm lcells", "supraflow": "lay ldots lnorm lcells supra",
 }
 R = "round({}, 6) + 0.0::DOUBLE"
 
@@ -51,17 +52,17 @@ def expression(weights: str) -> str:
     return f"SELECT s.subject, p.pathway, {r('coalesce(v, 0)')} AS value FROM {GRID} LEFT JOIN (SELECT subject, pathway, sum(value * weight) AS v FROM m JOIN {weights} USING (feature) GROUP BY ALL) x USING (subject, pathway)"
 
 
-def page_rank(source: str, target: str, steps: int, rescale: bool = True) -> str:
-    """Power iteration over the flow network; rank goes from ``source`` to ``target``."""
+def page_rank(source: str, target: str, steps: int, rescale: bool = True, network: str = "flow", query: str = "") -> str:
+    """Power iteration over a network, the flow if none is named; rank goes from ``source`` to ``target``."""
     value = "raw / sum(raw) OVER ()" if rescale else "raw"
     tables = (
-        f"live AS MATERIALIZED (SELECT {source} AS node FROM flow GROUP BY 1 HAVING sum(weight) <> 0), "
-        f"sh AS MATERIALIZED (SELECT {source} AS s, {target} AS t, weight / sum(weight) OVER (PARTITION BY {source}) AS share FROM flow WHERE src IN (FROM live) AND dst IN (FROM live) UNION ALL SELECT node, node, 0 FROM live), "
+        f"live AS MATERIALIZED (SELECT {source} AS node FROM {network} GROUP BY 1 HAVING sum(weight) <> 0), "
+        f"sh AS MATERIALIZED (SELECT {source} AS s, {target} AS t, weight / sum(weight) OVER (PARTITION BY {source}) AS share FROM {network} WHERE src IN (FROM live) AND dst IN (FROM live) UNION ALL SELECT node, node, 0 FROM live), "
         "pr AS (SELECT 0 AS it, node, 1::DOUBLE / (SELECT count(*) FROM live) AS v FROM live UNION ALL "
         f"SELECT it, node, {value} AS v FROM (SELECT it + 1 AS it, live.node, 0.85::DOUBLE * coalesce(sum(share * v), 0) + 0.15::DOUBLE / (SELECT count(*) FROM live) AS raw FROM live LEFT JOIN sh ON sh.t = live.node LEFT JOIN pr ON pr.node = sh.s WHERE it < {steps} GROUP BY it, live.node))"
     )
-    query = f"SELECT n_nationkey AS node, {r('coalesce(v, 0)')} AS score FROM nation LEFT JOIN (SELECT node, v FROM pr WHERE it = (SELECT max(it) FROM pr)) x ON node = n_nationkey"
-    return with_tables(query, "flow", recursive=tables)
+    query = query or f"SELECT n_nationkey AS node, {r('coalesce(v, 0)')} AS score FROM nation LEFT JOIN (SELECT node, v FROM pr WHERE it = (SELECT max(it) FROM pr)) x ON node = n_nationkey"
+    return with_tables(query, network, recursive=tables)
 
 
 def stochastic_rank(steps: int) -> str:
@@ -137,6 +138,7 @@ def oracles() -> dict[str, str]:
         "pathway_membership_unpivot": "SELECT c_mktsegment AS pathway, unnest(['acct_high', 'acct_low', 'nation_even', 'nation_odd']) AS feature, unnest([sum((c_acctbal > 9000)::INT), sum((c_acctbal < -900)::INT), sum((c_nationkey % 2 = 0)::INT), sum((c_nationkey % 2 = 1)::INT)]) <> 0 AS kept FROM customer GROUP BY 1",
         "standard_scale": with_tables(f"SELECT subject, feature, {r(scaled)} AS value FROM m", "m"),
         "corr_adjacency": with_tables(f"SELECT src, dst, {r('weight')} AS weight FROM adj", "adj"),
+        "corr_centred": with_tables(f"SELECT a.feature AS src, b.feature AS dst, {r('least(abs(corr(a.value, b.value)), 1::DOUBLE)')} AS weight FROM m a JOIN m b USING (subject) WHERE a.feature <> b.feature GROUP BY 1, 2", "m"),
         "corr_signed": with_tables(f"SELECT src, dst, {r('least(r, 1::DOUBLE)')} AS weight FROM cosines", "cosines"),
         "corr_epsilon": with_tables(f"SELECT src, dst, {r('CASE WHEN weight < 0.05 THEN 0 ELSE weight END')} AS weight FROM adj", "adj"),
         "heatkernel_adjacency": heat(500, 2),
@@ -169,6 +171,7 @@ def oracles() -> dict[str, str]:
         "supra_heatkernel": with_tables(f"SELECT src_t, src, dst_t, dst, {r('weight')} AS weight FROM hsupra", "ldots", recursive=f"{HEAT_CELLS}, {HEAT_SUPRA}"),
         "supra_scores_degree": with_tables(f"SELECT dst AS node, {r('sum(weight)')} AS score FROM supra GROUP BY 1", "supra"),
         "connected_components": with_tables("SELECT component, count(*) AS nodes FROM (SELECT node, min(r) AS component FROM reach GROUP BY 1) GROUP BY 1", "trade", recursive=f"{graph}, {path}"),
+        "supra_scores_pagerank": page_rank("src", "dst", 120, network="supraflow", query=f"SELECT feature AS node, {r('sum(coalesce(v, 0))')} AS score FROM (SELECT DISTINCT t, feature FROM lay) LEFT JOIN (SELECT node, v FROM pr WHERE it = (SELECT max(it) FROM pr)) x ON x.node = t || '/' || feature GROUP BY 1"),
         "cluster_centers": with_tables("SELECT cluster, node FROM cen", "adj", recursive=f"{HALVES}, {CENTERS}"),
         "cluster_center_edges": with_tables(f"SELECT src, dst, {r('weight')} AS weight FROM adj WHERE src IN (SELECT node FROM cen) AND dst IN (SELECT node FROM cen)", "adj", recursive=f"{HALVES}, {CENTERS}"),
         "graph_display_nodes": with_tables(f"SELECT n_nationkey AS node, {r('coalesce(k, 0) / max(coalesce(k, 0)) OVER ()')} AS size FROM nation LEFT JOIN (SELECT dst, sum(weight) AS k FROM flow GROUP BY 1) ON dst = n_nationkey", "flow"),

@@ -11,7 +11,7 @@ from netweave.plans import catalogue
 
 SQL = catalogue.oracle_sql()
 #: Kernels that SQL cannot express, one of each kind; test_operators.py holds them against numpy.
-KERNELS = ["clpe_pagerank_weights", "clpe_large_evec", "cluster_laplace_weight", "linkage_matrix_avg_cut", "cut_tree", "eigengenes", "pca2", "module_report", "random_graph"]
+KERNELS = ["clpe_pagerank_weights", "clpe_large_evec", "cluster_laplace_weight", "linkage_matrix_avg_cut", "cut_tree", "cut_trees", "cluster_centers_pagerank", "dendrogram", "eigengenes", "pca2", "module_report", "random_graph"]
 
 
 @pytest.fixture(scope="module")

@@ -221,6 +221,60 @@ def test_machines_by_sums_equal_those_of_one_task(spark, loo):
     assert told[0] == told[1] and len(told[0]) == 2 * 60 + 4 + 1 + 2
 
 
+def test_layouts_cuts_and_centres(spark):
+    a = symmetric(9, 5)
+    e, n = edges_of(spark, cells(a)), nodes_of(spark, 9)
+    labels = spark.createDataFrame([(k, f"n{k}") for k in range(8)], "node long, label string")
+    for layout in plotdata.LAYOUTS:
+        got = plotdata.display_layout(e, n, layout, labels).orderBy("node").collect()
+        assert [r.label for r in got] == [f"n{k}" for k in range(8)] + ["8"] and max(r.size for r in got) == 1.0
+        assert all(abs(r.x) <= 1.001 and abs(r.y) <= 1.001 for r in got) and len({(r.x, r.y) for r in got}) == 9
+    pair = edges_of(spark, cells(np.kron(np.eye(2), np.ones((4, 4)) - np.eye(4))))
+    at = np.array([(r.x, r.y) for r in plotdata.display_layout(pair, nodes_of(spark, 8), "spring").orderBy("node").collect()])
+    far = np.linalg.norm(at[:, None] - at[None], axis=2)
+    assert far[:4, 4:].min() > far[:4, :4].max()
+    with pytest.raises(ValueError):
+        plotdata.display_layout(e, n, "random")
+    z = hierarchy.linkage(e, n)
+    many = hierarchy.cut_trees(z, [2, 4], [0.5])
+    for cut, how in ((2.0, {"n_clusters": 2}), (4.0, {"n_clusters": 4}), (0.5, {"height": 0.5})):
+        assert sorted((r.item, r.cluster) for r in many.where(F.col("cut") == cut).collect()) == sorted(map(tuple, hierarchy.cut_tree(z, **how).collect()))
+    clusters = nodes_of(spark, 9).select("node", (F.col("node") % 2).alias("cluster"))
+    for name, kernel in (("page_rank", kernels.page_rank), ("large_evec", kernels.leading_vector)):
+        got = {r.cluster: r.node for r in centrality.cluster_centers(e, clusters, name)[0].collect()}
+        assert got == {k: k + 2 * int(np.argmax(kernel(a[k::2, k::2]))) for k in (0, 1)}
+    lopsided = edges_of(spark, [(0, 1, 1.0)])
+    with pytest.raises(Exception, match="symmetric"):
+        spectral.laplace_partition(lopsided, nodes_of(spark, 2)).collect()
+
+
+def test_layered_scores(spark):
+    layers = spark.createDataFrame([(t, s, f, float((t + 2 * s + 3 * f * s) % 5)) for t in range(3) for s in range(6) for f in range(4)], "t int, subject int, feature int, value double")
+    nodes = layers.select("t", F.col("feature").alias("node")).distinct()
+    supra = spectral.stored(networks.supra_adjacency(layers, "correlation"))
+    a = np.zeros((12, 12))
+    for r in supra.collect():
+        a[r.src_t * 4 + r.src, r.dst_t * 4 + r.dst] = r.weight
+    for name, kernel in (("page_rank", kernels.page_rank), ("large_evec", kernels.leading_vector)):
+        got = [r.score for r in centrality.supra_scores(supra, nodes, name).orderBy("node").collect()]
+        assert np.allclose(got, np.abs(kernel(a)).reshape(3, 4).sum(axis=0), atol=1e-6), name
+    with pytest.raises(ValueError):
+        centrality.supra_scores(supra, nodes, "closeness")
+
+
+def test_pipeline_of_stages(spark):
+    from pyspark.ml import Pipeline
+
+    from netweave.operators import stages
+
+    m = spark.createDataFrame([(s, f, float(s * f % 5)) for s in range(6) for f in range(4)], "subject long, feature long, value double")
+    members = spark.createDataFrame([("p", 0), ("p", 1), ("q", 2), ("q", 3)], "pathway string, feature long")
+    settings = expression.LinearExpression(members, m.select("feature").distinct())
+    piped = Pipeline(stages=[stages.scaling(), stages.ExpressionEstimator(settings)]).fit(m).transform(m)
+    plain = settings.fit().transform(matrix.standard_scale(m))
+    assert sorted(map(tuple, piped.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_machines_left_out_in_blocks(spark):
     from netweave.operators import machines
 
