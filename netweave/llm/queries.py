@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netweave.llm import bpe, decontaminate, html, langid, lm, media, ngram_join, pii, tokenfiles, toxicity
+from netweave.llm import bpe, decontaminate, html, langid, lm, media, ngram_join, permutation, pii, prefix_trie, spelling, tokenfiles, toxicity
 from netweave.llm.common import prepare, table
-from netweave.llm.oracles import OP1, OP9
+from netweave.llm.oracles import OP1, OP9, OP12, OP13
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,18 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(prepare(spark), sf_dir, "documents"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.nearest_neighbours(table(prepare(spark), sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(prepare(spark), sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(prepare(spark), sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,9 +74,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_decontamination, op2_bpe, op3_language_model, op4_media, op5_token_files, op6_personal_data, op7_html, op8_language, op9_ngram_join, op10_toxicity, pipeline)
+    found = (op1_decontamination, op2_bpe, op3_language_model, op4_media, op5_token_files, op6_personal_data, op7_html, op8_language, op9_ngram_join, op10_toxicity, op11_nearest, op12_spelling, op13_prefix_trie, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op9_ngram_join": OP9}
+    return {"op1_decontamination": OP1, "op9_ngram_join": OP9, "op12_spelling": OP12, "op13_prefix_trie": OP13}
