@@ -34,16 +34,27 @@ ACCEPT = 0.9
 CHUNK = 1 << 20
 
 
+#: Runs of characters that are no letters, but for numbers such as ² and Ⅷ, which count as word characters.
+_GAPS = re.compile(r"[\W\d_]+")
+
+
 @cache
-def _not_letters() -> re.Pattern:
-    """Runs of characters that are no letters; numbers such as ² and Ⅷ, which count as word characters, are none."""
-    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
-    return re.compile(f"[\\W\\d_{numbers}]+")
+def _numbers() -> dict[str, str]:
+    """Those numbers, as blanks."""
+    return {c: " " for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
+
+
+def letters_only(text: str) -> str:
+    """The lower-cased letters of a text, with one blank for each run of other characters. Few texts have numbers beside digits; only these are looked at twice."""
+    lowered = text.lower()
+    if not _numbers().keys().isdisjoint(lowered):
+        lowered = lowered.translate(str.maketrans(_numbers()))
+    return _GAPS.sub(" ", lowered).strip()
 
 
 def subwords(text: str | None) -> Iterator[np.ndarray]:
     """The buckets of a whole text's n-grams, in pieces of bounded size; nothing where it is null or has no letter."""
-    plain = _not_letters().sub(" ", text.lower()).strip() if text else ""
+    plain = letters_only(text) if text else ""
     if not plain:
         return
     raw = np.frombuffer(f" {plain} ".encode(), np.uint8)
