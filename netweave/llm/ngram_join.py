@@ -347,7 +347,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"n": np.diff(places), "f": f, "g": g})
 
     side = bounded(shared)
-    told = docs["doc_id"].eqNullSafe(F.col("_shared"))
+    told = docs["doc_id"].eqNullSafe(side["_shared"])
     rows = docs.join(side, told, "left_semi").select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_id"), signature(docs["text"]).alias("_set"))
     own = chosen.select(F.struct("doc_id", "f", "g").alias("_key"))
     same = F.col("_id").eqNullSafe(F.col("_key.doc_id")) & (F.col("_set.f") == F.col("_key.f")) & (F.col("_set.g") == F.col("_key.g"))
