@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netweave.operators.products import column_pairs
+
 #: Features up to which column products are summed as dense blocks in tasks; beyond, rows are joined.
 DENSE_FEATURES = 2048
 
@@ -58,17 +60,17 @@ def is_case(label: Column, control: str = "control") -> Column:
 
 
 def column_products(matrix: DataFrame, where: Column | None = None, dense_features: int = DENSE_FEATURES) -> DataFrame:
-    """(f1, f2, dot), f1 <= f2: sums over subjects of the products of two features' values, without zeros of absent pairs.
+    """(f1, f2, dot), f1 <= f2: sums over subjects of the products of two features' values; a row for every pair of the
+    matrix's features, absent cells being 0, whichever subjects ``where`` takes.
 
     Up to ``dense_features`` features, a task packs its subjects into rows and adds their outer products; only
-    its matrix of sums is shuffled, whatever the number of subjects. Beyond, pairs are joined by subject.
+    its matrix of sums is shuffled, whatever the number of subjects. Beyond, tiles of columns are multiplied.
     """
     own = matrix.where(where) if where is not None else matrix
-    names = [r[0] for r in own.select("feature").distinct().orderBy("feature").limit(dense_features + 1).collect()]
+    features = matrix.select("feature").distinct()
+    names = [r[0] for r in features.orderBy("feature").limit(dense_features + 1).collect()]
     if len(names) > dense_features:
-        left = own.select("subject", F.col("feature").alias("f1"), F.col("value").alias("a"))
-        right = own.select("subject", F.col("feature").alias("f2"), F.col("value").alias("b"))
-        return left.join(right, "subject").where("f1 <= f2").groupBy("f1", "f2").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+        return column_pairs(own.select("subject", "feature", "value"), features=features)
     place = {name: k for k, name in enumerate(names)}
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.operators.matrix import centred, column_products
+from netweave.operators.products import column_pairs, largest, powers
 
 MEASURES = ("correlation", "heatkernel")
+#: A network is multiplied as tiles where one in so many of its cells has an edge, and joined by its middle nodes where fewer have.
+SPARSE = 16
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -35,18 +38,17 @@ def correlation(matrix: DataFrame, epsilon: float = 0, negative: bool = False, c
 
 
 def heat_kernel(matrix: DataFrame, parameter: float = 2, order: float = 2, epsilon: float = 0) -> DataFrame:
-    """exp(-d^2 / (2 parameter)) of the columns' distances of Minkowski ``order`` (inf: the largest difference)."""
+    """exp(-d^2 / (2 parameter)) of the columns' distances of Minkowski ``order`` (inf: the largest difference); absent cells are 0."""
     if order == 2:
         dots = column_products(matrix)
         own = dots.where("f1 = f2")
         first, second = own.select("f1", F.col("dot").alias("d1")), own.select("f2", F.col("dot").alias("d2"))
         far = dots.where("f1 <> f2").join(first, "f1").join(second, "f2").select(F.col("f1").alias("src"), F.col("f2").alias("dst"), F.greatest(F.col("d1") + F.col("d2") - 2 * F.col("dot"), F.lit(0.0)).alias("square"))
     else:
-        left = matrix.select("subject", F.col("feature").alias("src"), F.col("value").alias("a"))
-        right = matrix.select("subject", F.col("feature").alias("dst"), F.col("value").alias("b"))
-        gap = F.abs(F.col("a") - F.col("b"))
-        distance = F.max(gap) if order == float("inf") else F.pow(F.sum(F.pow(gap, F.lit(float(order)))), F.lit(1.0 / order))
-        far = left.join(right, "subject").where("src < dst").groupBy("src", "dst").agg(F.pow(distance, F.lit(2.0)).alias("square"))
+        top = order == float("inf")
+        gaps = column_pairs(matrix.select("subject", "feature", "value"), largest if top else powers(order), maximum=top).where("f1 <> f2")
+        distance = F.col("dot") if top else F.pow("dot", F.lit(1.0 / order))
+        far = gaps.select(F.col("f1").alias("src"), F.col("f2").alias("dst"), F.pow(distance, F.lit(2.0)).alias("square"))
     return mirrored(far.select("src", "dst", thresholded(F.exp(-F.col("square") / (2.0 * parameter)), epsilon).alias("weight")))
 
 
@@ -78,9 +80,14 @@ def fisher_difference(matrix: DataFrame, label: str = "label", negative: bool =
 
 def topological_overlap(edges: DataFrame) -> DataFrame:
     """Overlap of two nodes' neighbourhoods, (shared + a) / (least degree + 1 - a), of a symmetric network without loops; 1 on the diagonal is left out."""
-    left = edges.select("src", F.col("dst").alias("mid"), F.col("weight").alias("a"))
-    right = edges.select(F.col("src").alias("mid"), "dst", F.col("weight").alias("b"))
-    shared = left.join(right, "mid").where("src < dst").groupBy("src", "dst").agg(F.sum(F.col("a") * F.col("b")).alias("shared"))
+    size = edges.agg(F.count("*").alias("cells"), F.count_distinct("dst").alias("nodes")).first()
+    if size.cells * SPARSE >= size.nodes**2:  # as products of columns; zeros are no common neighbours
+        products = column_products(edges.select(F.col("src").alias("subject"), F.col("dst").alias("feature"), F.col("weight").alias("value")))
+        shared = products.where("f1 <> f2 and dot <> 0").select(F.col("f1").alias("src"), F.col("f2").alias("dst"), F.col("dot").alias("shared"))
+    else:
+        left = edges.select("src", F.col("dst").alias("mid"), F.col("weight").alias("a"))
+        right = edges.select(F.col("src").alias("mid"), "dst", F.col("weight").alias("b"))
+        shared = left.join(right, "mid").where("src < dst").groupBy("src", "dst").agg(F.sum(F.col("a") * F.col("b")).alias("shared")).where("shared <> 0")
     degree = edges.groupBy("dst").agg(F.sum("weight").alias("k"))
     direct = edges.where("src < dst").select("src", "dst", F.col("weight").alias("w"))
     pairs = shared.join(direct, ["src", "dst"], "full")
