@@ -1,8 +1,8 @@
 """Spectral bisection of networks, and the hierarchies that repeated bisection gives.
 
 A cluster is named by its path from the whole network: "" and then A or B for the side at each cut, so that the
-order of names is the order in which a descent visits them. A level's clusters are cut in parallel, each in one
-task; a cluster has at most kernels.DENSE_NODES nodes.
+order of names is the order in which a descent visits them. A level's clusters of up to kernels.DENSE_NODES nodes are cut
+in parallel, each in one task; larger ones have their vectors from the table of edges, by Lanczos steps (``eigen``).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweave.functions import kernels
+from netweave.operators import eigen
 from netweave.sources.scratch import stored
 
 
@@ -39,9 +40,16 @@ def whole(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.lit("").alias("path"), "node")
 
 
-def laplace_partition(edges: DataFrame, nodes: DataFrame, fiedler: bool = True) -> DataFrame:
+def second_vector(edges: DataFrame, nodes: DataFrame, fiedler: bool = True) -> DataFrame:
+    """(node, value): the Laplacian's second eigenvector, of a network of any size."""
+    return eigen.signed(eigen.lowest(edges, nodes, 2, fiedler).vectors, [1]).select("node", F.col("v0").alias("value"))
+
+
+def laplace_partition(edges: DataFrame, nodes: DataFrame, fiedler: bool = True, dense_nodes: int = kernels.DENSE_NODES) -> DataFrame:
     """(node, side, value): the sides of the Laplacian's second eigenvector; entries of 0 are on side A."""
     kind = nodes.schema["node"].dataType.simpleString()
+    if nodes.count() > dense_nodes:
+        return second_vector(edges, nodes, fiedler).select("node", F.when(F.col("value") < 0, "B").otherwise("A").alias("side"), "value")
 
     def cut(group: pd.DataFrame) -> pd.DataFrame:
         names, a = dense(group)
@@ -56,7 +64,26 @@ def off_diagonal_mean(a: np.ndarray) -> float:
     return float((a.sum() - np.trace(a)) / (n * (n - 1))) if n > 1 else float(a.mean()) if n else float("nan")
 
 
-def cluster_laplace(edges: DataFrame, nodes: DataFrame, min_size: int = 1, stop: str = "size", fiedler: bool = True, propagate: bool = False) -> DataFrame:
+def cut_large(edges: DataFrame, own: DataFrame, path: str, min_size: int, stop: str, fiedler: bool) -> DataFrame:
+    """(path, node, goes, is_leaf) of one cluster's nodes (node), cut by its second vector; rules as in ``cluster_laplace``."""
+    inside = stored(edges.join(own.select(F.col("node").alias("src")), "src", "left_semi").join(own.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "weight"))
+    sides = stored(second_vector(inside, own, fiedler).select("node", F.when(F.round("value", 12) < 0, "B").otherwise("A").alias("side")))
+    sizes = {r.side: r["count"] for r in sides.groupBy("side").count().collect()}
+    if len(sizes) < 2:
+        on = ""
+    elif stop == "size":
+        on = "AB" if min(sizes.values()) >= min_size else ""
+    else:
+        first, second = sides.select(F.col("node").alias("src"), F.col("side").alias("from")), sides.select(F.col("node").alias("dst"), F.col("side").alias("to"))
+        apart = {(r["from"], r["to"]): r.weight for r in inside.where("src <> dst").join(first, "src").join(second, "dst").groupBy("from", "to").agg(F.sum("weight").alias("weight")).collect()}
+        mean = lambda total, n: total / (n * (n - 1)) if n > 1 else 0.0
+        every = mean(sum(apart.values()), sum(sizes.values()))
+        on = next((s for s in "AB" if every < mean(apart.get((s, s), 0.0), sizes[s])), "")
+    goes = F.when(F.col("side").isin(list(on)), F.concat(F.lit(path), "side")) if on else F.lit(None).cast("string")
+    return sides.select(F.lit(path).alias("path"), "node", goes.alias("goes"), F.lit(not on).alias("is_leaf"))
+
+
+def cluster_laplace(edges: DataFrame, nodes: DataFrame, min_size: int = 1, stop: str = "size", fiedler: bool = True, propagate: bool = False, dense_nodes: int = kernels.DENSE_NODES) -> DataFrame:
     """(path, depth, node, is_leaf) of every cluster that repeated bisection visits.
 
     ``size``: a cluster is cut while both sides have ``min_size`` nodes (and any). ``weight``: only the first side
@@ -85,7 +112,12 @@ def cluster_laplace(edges: DataFrame, nodes: DataFrame, min_size: int = 1, stop:
             path = group["path"].iloc[0]
             return pd.DataFrame({"path": path, "node": names, "goes": [path + s if s in on else None for s in side], "is_leaf": not on})
 
-        level = stored(grouped(edges, members).groupBy("path").applyInPandas(lambda g: cut(g), f"path string, node {kind}, goes string, is_leaf boolean"))
+        large = [r.path for r in members.groupBy("path").count().where(F.col("count") > dense_nodes).orderBy("path").collect()]  # as many as fit into all nodes
+        small = members.where(~F.col("path").isin(large)) if large else members
+        level = grouped(edges, small).groupBy("path").applyInPandas(lambda g: cut(g), f"path string, node {kind}, goes string, is_leaf boolean")
+        for path in large:
+            level = level.unionByName(cut_large(edges, stored(members.where(F.col("path") == path).select("node")), path, min_size, own_stop, own_fiedler))
+        level = stored(level)
         own = level.select("path", F.lit(depth).alias("depth"), "node", "is_leaf")
         visited = own if visited is None else visited.unionByName(own)
         members = level.where("goes is not null").select(F.col("goes").alias("path"), "node")
@@ -94,20 +126,25 @@ def cluster_laplace(edges: DataFrame, nodes: DataFrame, min_size: int = 1, stop:
         depth += 1
 
 
-def spectrum(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(rank, eigenvalue) of the Laplacian of a symmetric network, ascending."""
+def spectrum(edges: DataFrame, nodes: DataFrame, count: int | None = None, dense_nodes: int = kernels.DENSE_NODES) -> DataFrame:
+    """(rank, eigenvalue) of the Laplacian of a symmetric network, ascending: all, or the lowest ``count``, which takes networks of any size."""
+    if count is not None and nodes.count() > dense_nodes:
+        values = eigen.lowest(edges, nodes, count).values
+        return edges.sparkSession.createDataFrame([(k, float(x)) for k, x in enumerate(values)], "rank int, eigenvalue double")
 
     def values(group: pd.DataFrame) -> pd.DataFrame:
         _, a = dense(group)
-        w = np.linalg.eigvalsh(kernels.laplacian(a))
+        w = np.linalg.eigvalsh(kernels.laplacian(a))[:count]
         return pd.DataFrame({"rank": np.arange(len(w)), "eigenvalue": w})
 
     return grouped(edges, whole(nodes)).groupBy("path").applyInPandas(values, "rank int, eigenvalue double")
 
 
-def embedding(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def embedding(edges: DataFrame, nodes: DataFrame, dense_nodes: int = kernels.DENSE_NODES) -> DataFrame:
     """(node, x, y): the Laplacian's second and third eigenvectors."""
     kind = nodes.schema["node"].dataType.simpleString()
+    if nodes.count() > dense_nodes:
+        return eigen.signed(eigen.lowest(edges, nodes, 3).vectors, [1, 2]).select("node", F.col("v0").alias("x"), F.col("v1").alias("y"))
 
     def placed(group: pd.DataFrame) -> pd.DataFrame:
         names, a = dense(group)
