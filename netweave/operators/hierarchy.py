@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave.functions import kernels
-from netweave.operators.matrix import column_products
+from netweave.operators.matrix import column_products, followed, numbered
 from netweave.operators.networks import correlation, topological_overlap
 from netweave.operators.spectral import dense, grouped, whole
+from netweave.sources.scratch import stored
 
 LINKAGE = "step int, left long, right long, height double, size long"
 
@@ -43,17 +44,24 @@ def module_representatives(edges: DataFrame, nodes: DataFrame, threshold: float
     return z, cut_tree(z, height=threshold)
 
 
-def _whole_linkage(z: DataFrame, kernel, schema: str) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("step")
-        return kernel(rows[["left", "right", "height", "size"]].to_numpy(float))
-
-    return z.groupBy(F.lit(0).alias("all")).applyInPandas(run, schema)
+def _links(z: DataFrame, n: int) -> DataFrame:
+    """(node, to, add): each cluster's link to the one it merges into, with the number of items that stand left of it there."""
+    sizes = z.select((F.col("step") + n).alias("left"), F.col("size").alias("under"))
+    right = z.join(sizes, "left", "left").select(F.col("right").alias("node"), (F.col("step") + n).cast("long").alias("to"), F.coalesce("under", F.lit(1)).alias("add"))
+    return right.unionByName(z.select(F.col("left").alias("node"), (F.col("step") + n).cast("long").alias("to"), F.lit(0).cast("long").alias("add")))
 
 
 def cut_tree(z: DataFrame, n_clusters: int | None = None, height: float | None = None) -> DataFrame:
-    """(item, cluster) after the merges up to ``height``, or until ``n_clusters`` are left. A linkage is a bounded table, of one row a node."""
-    return _whole_linkage(z, lambda rows: pd.DataFrame({"item": np.arange(len(rows) + 1), "cluster": kernels.cut(rows, n_clusters, height)}), "item long, cluster int")
+    """(item, cluster) after the merges up to ``height``, or until ``n_clusters`` are left; clusters are numbered by their first item.
+
+    Links of the merges that stay are followed to their roots, twice as far each round.
+    """
+    n = z.count() + 1
+    steps = z.where(F.col("height") <= height).count() if height is not None else max(0, n - (n_clusters or 1))
+    roots = followed(_links(z, n).where(F.col("to") < n + steps)).select(F.col("node").alias("item"), "to")
+    items = z.sparkSession.range(n).withColumnRenamed("id", "item").join(roots, "item", "left").select("item", F.coalesce("to", "item").alias("root"))
+    names = numbered(items.groupBy("root").agg(F.min("item").alias("first")), "first", name="cluster")
+    return items.join(names, "root").select("item", F.col("cluster").cast("int").alias("cluster"))
 
 
 def cut_trees(z: DataFrame, n_clusters: list[int] | None = None, heights: list[float] | None = None) -> DataFrame:
@@ -61,13 +69,20 @@ def cut_trees(z: DataFrame, n_clusters: list[int] | None = None, heights: list[f
     asked = [(float(k), {"n_clusters": k}) for k in n_clusters or []] + [(float(h), {"height": h}) for h in heights or []]
     if not asked:
         raise ValueError("cut_trees needs numbers of clusters or heights")
-    cuts = lambda rows: pd.concat([pd.DataFrame({"item": np.arange(len(rows) + 1), "cut": name, "cluster": kernels.cut(rows, **how)}) for name, how in asked])
-    return _whole_linkage(z, cuts, "item long, cut double, cluster int")
+    z, found = stored(z), None
+    for name, how in asked:
+        own = cut_tree(z, **how).select("item", F.lit(name).alias("cut"), "cluster")
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
 def dendrogram_order(z: DataFrame) -> DataFrame:
-    """(place, item): the items from left to right."""
-    return _whole_linkage(z, lambda rows: pd.DataFrame({"place": np.arange(len(rows) + 1), "item": kernels.leaf_order(rows)}), "place int, item long")
+    """(place, item): the items from left to right. An item's place is the number of items left of it at all merges above it."""
+    z = stored(z)
+    n = z.count() + 1
+    places = followed(_links(z, n)).select(F.col("node").alias("item"), F.col("add").alias("place"))
+    items = z.sparkSession.range(n).withColumnRenamed("id", "item")
+    return items.join(places, "item", "left").select(F.coalesce("place", F.lit(0)).cast("int").alias("place"), "item")
 
 
 def eigengenes(matrix: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -98,16 +113,20 @@ def eigengenes(matrix: DataFrame, clusters: DataFrame) -> DataFrame:
 def ranked_clusters(clusters: DataFrame) -> DataFrame:
     """(path, rank, size): the clusters of (path, node) by size, and then in the order of their visit."""
     sizes = clusters.groupBy("path").agg(F.count("*").alias("size"))
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy("size", "path")) - 1)  # one row a cluster
+    return numbered(sizes, "size", "path", name="rank")
 
 
 def subset_parents(clusters: DataFrame) -> DataFrame:
-    """(rank, parent, size): for each cluster the first larger one, by rank, that holds all its nodes."""
-    order = ranked_clusters(clusters)
-    own = clusters.select("path", "node").join(order, "path").select("node", "rank", "size")
-    other = own.select("node", F.col("rank").alias("parent"))
-    common = own.join(other, "node").where("rank < parent").groupBy("rank", "size", "parent").agg(F.count("*").alias("common"))
-    return common.where("common = size").groupBy("rank", "size").agg(F.min("parent").alias("parent"))
+    """(rank, parent, size): for each cluster of a hierarchy (path, node) the first larger one, by rank, that holds all its nodes.
+
+    Clusters are nested, so that the next larger one of any node is the next larger one of its cluster: each node's own clusters are
+    put in order, and no two clusters are compared. Clusters that overlap without one holding the other raise an error.
+    """
+    own = clusters.select("path", "node").join(ranked_clusters(clusters), "path").select("node", "rank", "size")
+    above = own.withColumn("parent", F.lead("rank").over(Window.partitionBy("node").orderBy("rank")))
+    told = above.groupBy("rank", "size").agg(F.min("parent").alias("parent"), F.max("parent").alias("other"), F.count("parent").alias("held")).where("held > 0")
+    nested = (F.col("parent") == F.col("other")) & (F.col("held") == F.col("size"))
+    return told.select("rank", "size", F.when(nested, F.col("parent")).otherwise(F.raise_error(F.lit("clusters are not nested"))).alias("parent"))
 
 
 def cluster_linkage(clusters: DataFrame, edges: DataFrame | None = None, distance: str = "dumb") -> DataFrame:
@@ -118,7 +137,7 @@ def cluster_linkage(clusters: DataFrame, edges: DataFrame | None = None, distanc
     """
     if distance not in ("dumb", "avg_cut"):
         raise ValueError(f"distance {distance!r} is neither dumb nor avg_cut")
-    order = ranked_clusters(clusters)
+    order = stored(ranked_clusters(clusters))
     n = clusters.select("node").distinct().count()
     if order.count() != 2 * n - 1:
         raise ValueError("a linkage needs every cluster of a full hierarchy: 2 n - 1 for n nodes")

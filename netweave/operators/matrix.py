@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave.operators.products import column_pairs
+from netweave.sources.scratch import stored
 
 #: Features up to which column products are summed as dense blocks in tasks; beyond, rows are joined.
 DENSE_FEATURES = 2048
@@ -91,3 +92,22 @@ def column_products(matrix: DataFrame, where: Column | None = None, dense_featur
 def ranked(rows: DataFrame, by: str, *order: Column | str) -> DataFrame:
     """The first row of each ``by``."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_rank = 1").drop("_rank")
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """``rows`` with their place from 0 in ``order``: sorted by ranges, each range's rows counted on from those before it."""
+    dealt = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    return dealt.join(F.broadcast(offsets), "_part").select(*rows.columns, (F.col("_at") + F.col("_offset")).alias(name))  # a row a task
+
+
+def followed(links: DataFrame) -> DataFrame:
+    """(node, to, add) of a forest's links (node, to, add): the root above each node, and the sum of ``add`` on the way. Links jump twice as far each round."""
+    rows = stored(links.select("node", "to", "add"))
+    while True:
+        further = rows.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("add").alias("far_add"))
+        step = stored(rows.join(further, "to", "left").select("node", F.coalesce("far", "to").alias("to"), (F.col("add") + F.coalesce("far_add", F.lit(0))).alias("add"), F.col("far").isNotNull().alias("moved")))
+        rows = step.drop("moved")
+        if not step.where("moved").limit(1).count():
+            return rows

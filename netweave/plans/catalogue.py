@@ -242,6 +242,18 @@ rows_only("spectral_modules_zobs", lambda m: module_tree(m, "zobs"), "bsr", clas
 rows_only("module_report", lambda m: modules.report(module_tree(m, "zobs"), m), classes=True)
 
 
+def given_linkage(m: DataFrame) -> DataFrame:
+    return hierarchy.cluster_linkage(inputs.given_clusters(m), networks.correlation(m), "avg_cut")
+
+
+on_matrix("subset_parents_given", lambda m: hierarchy.subset_parents(inputs.given_clusters(m)))
+on_matrix("linkage_dumb_given", lambda m: hierarchy.cluster_linkage(inputs.given_clusters(m)), "height")
+on_matrix("linkage_avg_cut_given", given_linkage, "height")
+on_matrix("cut_tree_given", lambda m: hierarchy.cut_tree(spectral.stored(given_linkage(m)), height=11))
+on_matrix("cut_trees_given", lambda m: hierarchy.cut_trees(given_linkage(m), [2, 6], [11]))
+on_matrix("dendrogram_order_given", lambda m: hierarchy.dendrogram_order(given_linkage(m)))
+
+
 @query
 def random_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dense network of all suppliers."""

@@ -79,3 +79,10 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node")).union(read(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("node")))
+
+
+def given_clusters(m: DataFrame) -> DataFrame:
+    """(path, node): the 64 features in nested halves, down to single ones, by the bits of a number that mixes their ids."""
+    code = F.lpad(F.bin((F.col("node") * 37 + 11) % 64), 6, "0")
+    depth = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("depth")
+    return nodes(m).select("node", code.alias("code"), depth).select(F.translate(F.substring("code", F.lit(1), F.col("depth")), "01", "AB").alias("path"), "node")

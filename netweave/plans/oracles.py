@@ -122,6 +122,33 @@ CENTERS = "inside AS MATERIALIZED (SELECT adj.dst AS node, sum(adj.weight) AS k
 HEAT_CELLS = "sq AS (SELECT t, f1 AS f, dot FROM ldots WHERE f1 = f2), hcells AS MATERIALIZED (SELECT x.t, x.f AS src, y.f AS dst, exp(-greatest(x.dot + y.dot - 2 * coalesce(d.dot, 0), 0) / 2e6) AS weight FROM sq x JOIN sq y ON x.t = y.t AND x.f <> y.f LEFT JOIN ldots d ON d.t = x.t AND d.f1 = x.f AND d.f2 = y.f)"
 HEAT_SUPRA = "hsupra AS (SELECT t AS src_t, src, t AS dst_t, dst, weight FROM hcells UNION ALL SELECT t, feature, t - 1, feature, (SELECT sum(weight) FROM hcells) / (SELECT count(DISTINCT t) * count(DISTINCT feature) * count(DISTINCT feature) FROM lay) FROM (SELECT DISTINCT t, feature FROM lay) WHERE t > (SELECT min(t) FROM lay))"
 
+#: The given clusters, their ranks and parents, and the linkage of them: hc(path, node), rk(path, size, rank), par(rank, size, parent), lk(step, l, r, s1, s2, height).
+GIVEN = (
+    "hc AS MATERIALIZED (SELECT feature AS node, translate(substr(lpad(bin((feature * 37 + 11) % 64), 6, '0'), 1, d), '01', 'AB') AS path FROM (SELECT DISTINCT feature FROM m) f, range(0, 7) t(d)), "
+    "rk AS MATERIALIZED (SELECT path, count(*) AS size, row_number() OVER (ORDER BY count(*), path) - 1 AS rank FROM hc GROUP BY 1), own AS MATERIALIZED (SELECT rank, size, node FROM hc JOIN rk USING (path)), "
+    "par AS MATERIALIZED (SELECT rank, size, min(parent) AS parent FROM (SELECT a.rank, a.size, b.rank AS parent FROM own a JOIN own b USING (node) WHERE a.rank < b.rank GROUP BY ALL HAVING count(*) = a.size) GROUP BY 1, 2), "
+    "kid AS MATERIALIZED (SELECT par.*, coalesce(CASE WHEN par.size = 1 THEN own.node END, par.rank) AS item, row_number() OVER (PARTITION BY parent ORDER BY par.rank) AS side FROM par LEFT JOIN own ON own.rank = par.rank AND par.size = 1), "
+    "pair AS MATERIALIZED (SELECT x.parent, x.rank AS r1, y.rank AS r2, x.item AS l, y.item AS r, x.size AS s1, y.size AS s2 FROM kid x JOIN kid y ON x.parent = y.parent AND x.side = 1 AND y.side = 2), "
+    "lk AS MATERIALIZED (SELECT CAST(parent - 64 AS INT) AS step, l, r, s1, s2, sum(sqrt(2 * (1 - coalesce(weight, 0)))) * (1::DOUBLE / s1 + 1::DOUBLE / s2) AS height FROM pair JOIN own a ON a.rank = r1 JOIN own b ON b.rank = r2 LEFT JOIN adj ON adj.src = a.node AND adj.dst = b.node GROUP BY parent, l, r, s1, s2), "
+    "link AS MATERIALIZED (SELECT l AS node, step + 64 AS above, 0 AS more, step FROM lk UNION ALL SELECT r, step + 64, s1, step FROM lk)"
+)
+
+
+def given(query: str, more: str = "") -> str:
+    return with_tables(query, "adj", recursive=f"{GIVEN}{', ' if more else ''}{more}")
+
+
+def cut(steps: str) -> str:
+    """(item, cluster) after so many merges of the given linkage."""
+    return (
+        f"(SELECT item, CAST(dense_rank() OVER (ORDER BY first) - 1 AS INT) AS cluster FROM (SELECT item, min(item) OVER (PARTITION BY root) AS first FROM (SELECT item, max(node) FILTER (step < {steps}) AS high, coalesce(high, item) AS root FROM "
+        "(SELECT item, above AS node, step FROM up) GROUP BY item)))"
+    )
+
+
+UP = "up AS (SELECT node AS item, above, more, step FROM link WHERE node < 64 UNION ALL SELECT up.item, link.above, link.more, link.step FROM up JOIN link ON link.node = up.above)"
+HIGH = "(SELECT count(*) FROM lk WHERE height <= 11)"
+
 
 def oracles() -> dict[str, str]:
     class_dots = "cd AS MATERIALIZED (SELECT CAST(a.label >= 5 AS INT) AS label, a.feature AS f1, b.feature AS f2, sum(a.value * b.value) AS dot FROM m a JOIN m b USING (subject) GROUP BY ALL)"
@@ -178,6 +205,12 @@ def oracles() -> dict[str, str]:
         "graph_display_edges": with_tables(f"SELECT src, dst, round_even(weight, 2) AS weight FROM adj WHERE weight >= (SELECT median(c) FROM (SELECT weight AS c FROM adj UNION ALL SELECT 0::DOUBLE FROM range(0, CAST({cells} * {cells} - (SELECT count(*) FROM adj) AS BIGINT)))) AND round_even(weight, 2) <> 0", "adj"),
         "er_graph": "WITH g AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey ORDER BY md5(a.s_suppkey::VARCHAR || '-' || b.s_suppkey::VARCHAR), 1, 2 LIMIT 60) SELECT src, dst, 1::DOUBLE AS weight FROM g UNION ALL SELECT dst, src, 1::DOUBLE FROM g",
         "metadata_cases": "SELECT c_custkey AS subject, n_name AS nation, c_mktsegment <> 'BUILDING' AS is_case FROM customer JOIN nation ON c_nationkey = n_nationkey",
+        "subset_parents_given": given("SELECT rank, parent, size FROM par"),
+        "linkage_dumb_given": given('SELECT step, l AS "left", r AS "right", CAST(s1 + s2 AS DOUBLE) AS height, s1 + s2 AS size FROM lk'),
+        "linkage_avg_cut_given": given(f'SELECT step, l AS "left", r AS "right", {r("height")} AS height, s1 + s2 AS size FROM lk'),
+        "cut_tree_given": given(f"SELECT * FROM {cut(HIGH)}", UP),
+        "cut_trees_given": given(f"SELECT item, 2::DOUBLE AS cut, cluster FROM {cut('62')} UNION ALL SELECT item, 6, cluster FROM {cut('58')} UNION ALL SELECT item, 11, cluster FROM {cut(HIGH)}", UP),
+        "dendrogram_order_given": given("SELECT CAST(sum(more) AS INT) AS place, item FROM up GROUP BY item", UP),
         "restrict_features": with_tables(f"SELECT subject, feature, {r('value')} AS value FROM m WHERE feature IN (SELECT feature FROM mem WHERE pathway = 7)", "mem"),
         "svm_rates_fixed": f"SELECT {r('avg(share)')} AS bsr FROM (SELECT vec_id % 3 AS guess, avg(CASE WHEN label % 3 = vec_id % 3 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS share FROM embeddings GROUP BY 1)",
     }
