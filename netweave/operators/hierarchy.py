@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave.functions import kernels
+from netweave.operators.agglomeration import linkage_in_rounds
 from netweave.operators.matrix import column_products, followed, numbered
 from netweave.operators.networks import correlation, topological_overlap
 from netweave.operators.spectral import dense, grouped, whole
@@ -19,8 +20,13 @@ from netweave.sources.scratch import stored
 LINKAGE = "step int, left long, right long, height double, size long"
 
 
-def linkage(edges: DataFrame, nodes: DataFrame, method: str = "average", absent: float = 1.0) -> DataFrame:
-    """Agglomeration by similarities: a pair's distance is 1 - weight, ``absent`` where there is no edge."""
+def linkage(edges: DataFrame, nodes: DataFrame, method: str = "average", absent: float = 1.0, dense_nodes: int = kernels.DENSE_NODES) -> DataFrame:
+    """Agglomeration by similarities: a pair's distance is 1 - weight, ``absent`` where there is no edge.
+
+    Networks of more than ``dense_nodes`` nodes are merged in rounds (``agglomeration``).
+    """
+    if nodes.count() > dense_nodes:
+        return linkage_in_rounds(edges, nodes, method, absent)
 
     def agglomerated(group: pd.DataFrame) -> pd.DataFrame:
         _, a = dense(group)
