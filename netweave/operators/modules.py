@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from netweave.functions import kernels
 from netweave.operators import machines
 from netweave.operators.networks import adjacency, fisher_difference
-from netweave.operators.spectral import dense, grouped, whole
+from netweave.operators.spectral import grouped, sides_of, whole
 from netweave.sources.scratch import stored
 
 #: Tasks that share the left-out subjects of one cluster.
@@ -59,26 +59,19 @@ def module_network(matrix: DataFrame, similarity: str) -> DataFrame:
     return fisher_difference(matrix) if similarity == "zobs" else adjacency(matrix, similarity)
 
 
-def find_modules(matrix: DataFrame, edges: DataFrame, loo: bool = False, fiedler: bool = True, bsr: str = "precision", propagate: bool = False) -> tuple[DataFrame, DataFrame]:
+def find_modules(matrix: DataFrame, edges: DataFrame, loo: bool = False, fiedler: bool = True, bsr: str = "precision", propagate: bool = False, dense_nodes: int = kernels.DENSE_NODES) -> tuple[DataFrame, DataFrame]:
     """(leaves(path, node), tree(path, size, bsr, mean_edge, is_leaf)); labels are 0 and 1.
 
     A cluster with a side whose rate is not below its own is cut; the descent goes to the better side, or to both if
     they are equal. It ends where both are worse, at single nodes, and where a cut leaves a side empty. ``fiedler`` holds
     for the first cut alone, and the plain Laplacian for all others, unless ``propagate``.
     """
-    kind = matrix.schema["feature"].dataType.simpleString()
     members = stored(whole(matrix.select(F.col("feature").alias("node")).distinct()))
     tree = stored(rates(predictions(matrix, members, loo), bsr).join(mean_edges(edges, members), "path", "left"))
     done_tree, leaves, depth = None, None, 0
     while True:
         own_fiedler = fiedler if propagate or not depth else True
-
-        def cut(group: pd.DataFrame, own_fiedler: bool = own_fiedler) -> pd.DataFrame:
-            names, a = dense(group)
-            v = kernels.second_vector(a, own_fiedler)
-            return pd.DataFrame({"parent": group["path"].iloc[0], "node": names, "path": [group["path"].iloc[0] + s for s in np.where(v < 0, "B", "A")]})
-
-        sides = stored(grouped(edges, members).groupBy("path").applyInPandas(lambda g: cut(g), f"parent string, node {kind}, path string"))
+        sides = stored(sides_of(edges, members, own_fiedler, dense_nodes).select(F.col("path").alias("parent"), "node", F.concat("path", "side").alias("path")))
         sizes = sides.groupBy("parent", "path").agg(F.count("*").alias("size"))
         large = sides.join(sizes.where("size > 1"), ["parent", "path"]).select("path", "node")
         judged = sizes.join(rates(predictions(matrix, large, loo), bsr), "path", "left").withColumn("bsr", F.coalesce("bsr", F.lit(0.0)))

@@ -6,13 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweave.functions import kernels
 from netweave.operators.centrality import degree
 from netweave.operators.hierarchy import cluster_linkage, dendrogram_order
-from netweave.operators.matrix import centred, column_products
+from netweave.operators.matrix import centred, column_products, numbered
 from netweave.operators.spectral import dense, grouped, whole
 from netweave.sources.scratch import stored
 
@@ -23,7 +23,7 @@ def display_edges(edges: DataFrame, nodes: DataFrame, remove: bool = True) -> Da
     if remove:
         cells = nodes.agg((F.count("*") * F.count("*")).alias("cells"))
         held = own.agg(F.count("*").alias("held")).crossJoin(cells).select("held", "cells")
-        placed = own.select("weight", (F.row_number().over(Window.orderBy("weight")) - 1).alias("place"))  # a picture's edges are few
+        placed = numbered(own.select("weight"), "weight")
         absent = F.col("cells") - F.col("held")
         at = placed.crossJoin(F.broadcast(held)).select("weight", F.when(F.col("weight") > 0, F.col("place") + absent).otherwise(F.col("place")).alias("place"), "cells")
         low, high = F.floor((F.col("cells") - 1) / 2), F.ceil((F.col("cells") - 1) / 2)
@@ -34,11 +34,11 @@ def display_edges(edges: DataFrame, nodes: DataFrame, remove: bool = True) -> Da
 
 def display_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, size, x, y): degree over the largest, and the node's place on a circle, in the order of ids."""
-    scored = degree(edges, nodes)
-    every = Window.partitionBy()
-    turn = 2 * math.pi * (F.row_number().over(Window.orderBy("node")) - 1) / F.count("*").over(every)  # a picture's nodes are few
-    top = F.max("score").over(every)
-    return scored.select("node", F.when(top != 0, F.col("score") / top).otherwise(0.0).alias("size"), F.cos(turn).alias("x"), F.sin(turn).alias("y"))
+    scored = numbered(degree(edges, nodes), "node")
+    told = scored.agg(F.max("score").alias("top"), F.count("*").alias("nodes"))
+    turn = 2 * math.pi * F.col("place") / F.col("nodes")
+    sized = scored.crossJoin(F.broadcast(told))  # told is one row
+    return sized.select("node", F.when(F.col("top") != 0, F.col("score") / F.col("top")).otherwise(0.0).alias("size"), F.cos(turn).alias("x"), F.sin(turn).alias("y"))
 
 
 LAYOUTS = ("circular", "shell", "spectral", "spring")

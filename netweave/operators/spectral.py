@@ -59,6 +59,29 @@ def laplace_partition(edges: DataFrame, nodes: DataFrame, fiedler: bool = True,
     return grouped(edges, whole(nodes)).groupBy("path").applyInPandas(cut, f"node {kind}, side string, value double")
 
 
+def sides_of(edges: DataFrame, members: DataFrame, fiedler: bool = True, dense_nodes: int = kernels.DENSE_NODES) -> DataFrame:
+    """(path, node, side) of every cluster of (path, node), cut by the second vector of its own network."""
+    kind = members.schema["node"].dataType.simpleString()
+    large = [r.path for r in members.groupBy("path").count().where(F.col("count") > dense_nodes).orderBy("path").collect()]  # as many as fit into all nodes
+
+    def cut(group: pd.DataFrame) -> pd.DataFrame:
+        names, a = dense(group)
+        return pd.DataFrame({"path": group["path"].iloc[0], "node": names, "side": np.where(kernels.second_vector(a, fiedler) < 0, "B", "A")})
+
+    small = members.where(~F.col("path").isin(large)) if large else members
+    found = grouped(edges, small).groupBy("path").applyInPandas(cut, f"path string, node {kind}, side string")
+    for path in large:
+        own = stored(members.where(F.col("path") == path).select("node"))
+        inside = stored(within(edges, own))
+        found = found.unionByName(second_vector(inside, own, fiedler).select(F.lit(path).alias("path"), "node", F.when(F.round("value", 12) < 0, "B").otherwise("A").alias("side")))
+    return found
+
+
+def within(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """The edges between nodes of (node)."""
+    return edges.join(own.select(F.col("node").alias("src")), "src", "left_semi").join(own.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "weight")
+
+
 def off_diagonal_mean(a: np.ndarray) -> float:
     n = len(a)
     return float((a.sum() - np.trace(a)) / (n * (n - 1))) if n > 1 else float(a.mean()) if n else float("nan")
@@ -66,7 +89,7 @@ def off_diagonal_mean(a: np.ndarray) -> float:
 
 def cut_large(edges: DataFrame, own: DataFrame, path: str, min_size: int, stop: str, fiedler: bool) -> DataFrame:
     """(path, node, goes, is_leaf) of one cluster's nodes (node), cut by its second vector; rules as in ``cluster_laplace``."""
-    inside = stored(edges.join(own.select(F.col("node").alias("src")), "src", "left_semi").join(own.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "weight"))
+    inside = stored(within(edges, own))
     sides = stored(second_vector(inside, own, fiedler).select("node", F.when(F.round("value", 12) < 0, "B").otherwise("A").alias("side")))
     sizes = {r.side: r["count"] for r in sides.groupBy("side").count().collect()}
     if len(sizes) < 2:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.operators import centrality, expression, hierarchy, modules, networks, plotdata, spectral
+from netweave.operators import centrality, expression, hierarchy, modules, networks, plotdata, spectral, stages
 from netweave.operators import matrix as matrices
 from netweave.plans import inputs
 from netweave.plans.oracles import SET, oracles
@@ -239,6 +240,7 @@ rows_only("svm_bsr_loo", lambda m: bare_rates(m, True), "bsr", classes=True)
 rows_only("spectral_modules_insample", lambda m: module_tree(m, "correlation"), "bsr", classes=True)
 rows_only("spectral_modules_loo", lambda m: module_tree(m, "correlation", True), "bsr", classes=True)
 rows_only("spectral_modules_zobs", lambda m: module_tree(m, "zobs"), "bsr", classes=True)
+rows_only("spectral_pipeline", lambda m: Pipeline(stages=[stages.scaling(), stages.SpectralClustering(similarity="correlation")]).fit(m).transform(m), "bsr", classes=True)
 rows_only("module_report", lambda m: modules.report(module_tree(m, "zobs"), m), classes=True)
 
 
