@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset (tests), under a temporary folder that is then set."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, under a temporary folder that is then set, in local mode alone.
+
+    A cluster without the setting raises ValueError: its executors share no folder of the driver's.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="netweave-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/netweave-{uuid.uuid4().hex}"
