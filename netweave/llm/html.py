@@ -5,10 +5,11 @@ left out, and like siblings in a row are one. Spark counts, for each host, the p
 that recur across pages are the host's template and are deleted.
 
 Elements that a page itself names as no article text (navigation, footers, adverts, comments, by tag, class, id or
-role), and lists of links, are known by their shape alone, since their words change from page to page; they are
-template on MIN_PAGES pages. All others are known by shape and words, and are template where they stand beside
-MIN_BODIES different texts: the page's blocks outside the element tell these apart, so that an article that a
-site shows at several addresses stays. Articles quote and repeat passages as well (one line stands in two fifths of
+role) go on every page. They, and lists of links, are known by their shape alone, since their words change from page
+to page; they are template on MIN_PAGES pages. All others are known by shape and words, and are template where they
+stand beside MIN_BODIES different texts: the page's blocks outside the element tell these apart, so that an article
+that a site shows at several addresses stays. Where articles hold half of a page's text or more, what stands outside
+them is known by its shape as well, which finds parts without a telling name whose words change. Articles quote and repeat passages as well (one line stands in two fifths of
 some hosts' articles), so inside an article, or where a page has none, they have to be on MIN_SHARE of the host's pages.
 
 A host of fewer than MIN_PAGES pages has no counts to go by. There the names decide, and articles are preferred to
@@ -23,7 +24,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pandas as pd
 import xxhash
@@ -37,8 +38,8 @@ from netweave.operators.components import salted_join
 MIN_PAGES, MIN_BODIES = 3, 3
 #: Share of a host's pages that also have to have it where it may be an article's own.
 MIN_SHARE = 0.5
-#: What the lowest bits of a subtree's key say of it: named or a list of links; outside its page's articles; perhaps an article's.
-BY_SHAPE, BESIDE, PERHAPS = 0, 1, 3
+#: What the lowest bits of a subtree's key say of it: named or a list of links; outside its page's articles; so, by its shape alone; perhaps an article's.
+BY_SHAPE, BESIDE, OUTLINE, PERHAPS = 0, 1, 2, 3
 #: Template hashes up to this number are broadcast (16 bytes each); more are joined to the pages that have them.
 BROADCAST_HASHES = 1_000_000
 #: Characters of link text to all text from which a subtree is a list of links.
@@ -191,11 +192,28 @@ def keys(page: Page) -> list[int | None]:
             h = n.shape & ~3 | BY_SHAPE
         else:
             h = n.content & ~3 | (BESIDE if articles and not n.article else PERHAPS)
-        h = h or 4
-        found.append(h - (1 << 64) if h >> 63 else h)
+        found.append(_signed(h))
     return found
 
 
+def _signed(h: int) -> int:
+    h = h or 4
+    return h - (1 << 64) if h >> 63 else h
+
+
+def outlines(page: Page) -> list[int | None]:
+    """The shape of each unnamed subtree that shows text beside the page's articles, where these hold half of its text or more."""
+    nodes = page.nodes
+    shown = [(nodes[k].article, end - begin) for k, begin, end in page.events if k >= 0 and not (nodes[k].drop or nodes[k].named)]
+    inside = sum(n for article, n in shown if article)
+    if not inside or 2 * inside < sum(n for _, n in shown):
+        return [None] * len(nodes)
+    around = [n.article for n in nodes]
+    for k in range(len(nodes) - 1, 0, -1):
+        around[nodes[k].parent] |= around[k]
+    return [None if a or n.drop or n.named or not n.text or not n.tag or n.tag in BODIES else _signed(n.shape & ~3 | OUTLINE) for n, a in zip(nodes, around, strict=True)]
+
+
 def block_texts(page: Page, dropped: list[bool]) -> Iterator[tuple[int, str]]:
     """(place of the first character, text) of the page's blocks, without what is dropped."""
     parts, first = [], -1
@@ -226,7 +244,7 @@ def subtree_hashes(page: Page) -> list[tuple[int, int]]:
     places = [at for at, _ in blocks]
     total = [0, *accumulate(xxhash.xxh64_intdigest(text) for _, text in blocks)]
     found = {0: own}
-    for n, h in zip(page.nodes, keys(page), strict=True):
+    for n, h in chain(zip(page.nodes, keys(page), strict=True), zip(page.nodes, outlines(page), strict=True)):
         if h is None or h in found:
             continue
         if h & 3 == BY_SHAPE:
@@ -238,11 +256,11 @@ def subtree_hashes(page: Page) -> list[tuple[int, int]]:
     return list(found.items())
 
 
-def main_text(page: Page, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's blocks without those of the template, one line each; without counts of the host, without those that are named."""
+def main_text(page: Page, template: frozenset[int] | set[int] = frozenset(), named: bool = False) -> str:
+    """The page's blocks without those of the template, one line each, and, if ``named`` or without counts of the host, without those that are named."""
     counted = 0 in template
     if counted:
-        dropped = [n.drop or h in template for n, h in zip(page.nodes, keys(page), strict=True)]
+        dropped = [n.drop or (named and n.named) or h in template or o in template for n, h, o in zip(page.nodes, keys(page), outlines(page), strict=True)]
     else:
         parts = [n.article and bool(OUTSIDE.search(n.names)) and (n.links >= LINK_SHARE * max(n.text, 1) or n.controls > 0) and n.tag not in BODIES for n in page.nodes]
         dropped = [n.drop or n.named or part for n, part in zip(page.nodes, parts, strict=True)]
@@ -298,7 +316,7 @@ def extract(pages: DataFrame) -> DataFrame:
         @F.pandas_udf("string")
         def cleaned(hosts: pd.Series, sources: pd.Series) -> pd.Series:
             own = shared.value
-            return pd.Series([main_text(parse(s), own.get(h, frozenset())) if s else "" for h, s in zip(hosts, sources, strict=True)], dtype=object)
+            return pd.Series([main_text(parse(s), own.get(h, frozenset()), True) if s else "" for h, s in zip(hosts, sources, strict=True)], dtype=object)
 
         done = rows.select("page_id", "url", cleaned("host", "html").alias("text"))
     else:
@@ -312,7 +330,7 @@ def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def cleaned(own: pd.Series, sources: pd.Series) -> pd.Series:
-        return pd.Series([main_text(parse(s), frozenset(x if x is not None else ())) if s else "" for x, s in zip(own, sources, strict=True)], dtype=object)
+        return pd.Series([main_text(parse(s), frozenset(x if x is not None else ()), True) if s else "" for x, s in zip(own, sources, strict=True)], dtype=object)
 
     exploded = rows.select(page.alias("key"), F.col("host"), F.explode(hashes(F.col("html"))).alias("h")).select("key", "host", "h.hash")
     marks = exploded.join(known, ["host", "hash"], "left_semi").groupBy("key").agg(F.collect_set("hash").alias("own"))

@@ -13,6 +13,7 @@ scores are one JVM stage.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -34,7 +35,7 @@ BASE = {
 GENERATORS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|[\[(]at[\])]| at ) ?[A-Za-z0-9-]++(?:\.| ?[\[(]dot[\])] ?| dot )[A-Za-z]{2,}+",
     "phone": r"(?<![0-9])[+(]?[0-9](?:[ ().-]{0,2}+[0-9]){6,18}+",
-    "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+",
+    "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[0-9]{1,3}(?![A-Za-z0-9]))?+",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{24,}+(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
 }
@@ -43,6 +44,8 @@ _NO_PHONE = r"^(?:(?:19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|[0-9]{1,2}[-
 #: Numbers of that form that are never given out. Fixed values.
 _NO_SSN = r"^(?:000|666|9)|-00-|-0000$"
 CONTEXT = 24
+#: Code points of the parts into which a text is cut to be put together again without its spans.
+CUT = 1024
 _CALL = r"(?i)\b(?:phone|tel|telephone|call|fax|mobile|cell|whatsapp|contact)\b"
 _MAIL = r"(?i)\b(?:e-?mail|mail|contact|write)\b"
 _KEY = r"(?i)(?:token|secret|key|password|passwd|pwd|auth|bearer)\W{0,5}$"
@@ -52,23 +55,59 @@ SAMPLE_CANDIDATES, PRECISION, BINS = 500, 0.95, 1000
 TREES, DEPTH, SEED = 8, 3, 11
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(items: Column, start: Column, out: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """array<out>: what each item of a not empty array adds, from left to right.
+
+    ``step(state, item)`` gives the next state and an array to add. An array that grows item by item would be
+    copied each time, so items are folded in as many blocks as a block has items.
+    """
+    empty, nested = F.array().cast(f"array<{out}>"), F.array().cast(f"array<array<{out}>>")
+
+    def folded(whole: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(whole))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(whole), width), lambda i: F.slice(whole, i, width))
+
+        def one(a: Column, x: Column) -> Column:
+            state, added = step(a["state"], x)
+            return F.struct(state.alias("state"), F.concat(a["out"], added).alias("out"))
+
+        def block(a: Column, own: Column) -> Column:
+            return F.aggregate(own, F.struct(a["state"].alias("state"), empty.alias("out")), one, lambda r: F.struct(r["state"].alias("state"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+        return F.aggregate(blocks, F.struct(start.alias("state"), nested.alias("out")), block, lambda a: F.flatten(a["out"]))
+
+    return once(items, folded)
+
+
+SPAN = "struct<s:int,e:int,m:string,b:string,f:string>"
+
+
 def located(text: Column, pattern: str, needs: str) -> Column:
-    """array<struct(s, e, m)>: the pattern's matches from left to right, in code points, end exclusive.
+    """array<struct(s, e, m, b, f)>: the pattern's matches from left to right, in code points, end exclusive, with
+    the CONTEXT characters before and the one after.
 
-    The matches and the gaps between them, laid end to end, give the places. ``needs``: a pattern without which
-    a text has no match, so that most texts are only searched once.
+    The matches and the gaps between them, laid end to end, give the places and what stands around them, so that
+    no match looks into the whole text. ``needs``: a pattern without which a text has no match, so that most texts
+    are only searched once.
     """
-    at = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
-    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    start = F.lit(None).cast("struct<at:int,s:int,e:int,m:string,b:string,tail:string>")
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["gap"])
+    def step(a: Column, x: Column) -> tuple[Column, Column]:
+        at, before = F.coalesce(a["at"], F.lit(0)), F.right(F.concat(F.coalesce(a["tail"], F.lit("")), x["gap"]), F.lit(CONTEXT))
+        begin = at + F.length(x["gap"])
         end = begin + F.length(x["match"])
-        return F.struct(end.alias("at"), (a["i"] + 1).alias("i"), F.when(x["match"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(begin.alias("s"), end.alias("e"), x["match"].alias("m"))))).alias("out"))
+        state = F.struct(end.alias("at"), begin.alias("s"), end.alias("e"), x["match"].alias("m"), before.alias("b"), F.right(F.concat(before, x["match"]), F.lit(CONTEXT)).alias("tail"))
+        after = F.substring(F.concat(x["gap"], F.coalesce(x["match"], F.lit(""))), 1, 1)
+        done = F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"), a["m"].alias("m"), a["b"].alias("b"), after.alias("f")))
+        return state, F.when(a["m"].isNotNull(), done).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    zipped = F.arrays_zip(gaps.alias("gap"), matches.alias("match"))
-    found = F.aggregate(zipped, at, step, lambda a: a["out"])
-    return F.when(text.rlike(needs), found).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    return F.when(text.rlike(needs), running(zipped, start, SPAN, step)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def digits(m: Column) -> Column:
@@ -87,6 +126,32 @@ def luhn(number: Column) -> Column:
     return F.when(n.between(13, 19), F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(19))), F.lit(0), add) % 10 == 0).otherwise(False)
 
 
+def account(m: Column) -> Column:
+    """Whether an account number, spaces aside, leaves 1 when divided by 97, its first four characters last and letters as 10 to 35."""
+
+    def holds(moved: Column) -> Column:
+        def add(rest: Column, i: Column) -> Column:
+            c = F.substring(moved, i, F.lit(1))
+            return F.when(c.between("0", "9"), (rest * 10 + c.try_cast("int")) % 97).otherwise((rest * 100 + F.ascii(c) - 55) % 97)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), add) == 1
+
+    own = F.regexp_replace(m, " ", "")
+    return once(F.concat(F.substring(own, 5, 1 << 20), F.left(own, F.lit(4))), holds)
+
+
+def overlapped(own: Column, x: Column) -> Column:
+    """Whether a span has a common character with one of ``own``, spans of one kind in order: by halving, the last that begins before its end."""
+    n = F.size(own)
+
+    def look(low: Column, k: Column) -> Column:
+        at = low + F.call_function("shiftleft", F.lit(1), k)
+        return F.when((at <= n) & (F.get(own, at - 1)["s"] < x["e"]), at).otherwise(low)
+
+    last = F.aggregate(F.sequence(F.length(F.bin(n)) - 1, F.lit(0), F.lit(-1)), F.lit(0), look)
+    return F.coalesce(F.get(own, last - 1)["e"] > x["s"], F.lit(False))
+
+
 def valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(m, r"\."), lambda p: F.coalesce(p.try_cast("int") <= 255, F.lit(False)))
@@ -98,14 +163,21 @@ def valid(kind: str, m: Column) -> Column:
 
 
 def with_base(rows: DataFrame) -> DataFrame:
-    """Add ``base``: array<struct(k, s, e)> of all base spans of ``text``, by kind and start."""
+    """Add ``base``: array<struct(k, s, e)> of all base spans of ``text``, by kind and start; ``bases``: the same, an array for each kind."""
     needs = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 
     def spans(k: int, kind: str) -> Column:
         kept = F.filter(located(F.col("text"), BASE[kind], needs[kind]), lambda x: valid(kind, x["m"]))
         return F.transform(kept, lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
 
-    return rows.withColumn("base", F.concat(*(spans(k, kind) for k, kind in enumerate(BASE))))
+    return rows.withColumn("bases", F.array(*(spans(k, kind) for k, kind in enumerate(BASE)))).withColumn("base", F.flatten("bases"))
+
+
+def without_count(x: Column) -> Column:
+    """An account number without the number of up to three digits after it, if only so its check holds."""
+    short = F.regexp_replace(x["m"], " [0-9]{1,3}$", "")
+    cut = F.struct(x["s"].alias("s"), (x["s"] + F.length(short)).alias("e"), short.alias("m"), x["b"].alias("b"), F.lit(" ").alias("f"))
+    return F.when((short != x["m"]) & ~account(x["m"]) & account(short), cut).otherwise(x)
 
 
 FEATURES = ("digits", "length", "separators", "groups", "letters", "plus", "luhn", "at", "distinct", "call", "mail", "key", "bank", "word_before", "word_after", "kind")
@@ -120,28 +192,33 @@ def with_candidates(rows: DataFrame) -> DataFrame:
         k = KINDS.index(kind)
 
         def described(x: Column) -> Column:
-            m, number = x["m"], digits(x["m"])
-            before = F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
+            m, before, number = x["m"], x["b"], digits(x["m"])
             values = {
                 "digits": F.length(number), "length": F.length(m), "separators": F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), "groups": F.size(F.split(m, "[^A-Za-z0-9]+")),
                 "letters": F.length(F.regexp_replace(m, "[^A-Za-z]", "")), "plus": m.startswith("+"), "luhn": luhn(number), "at": m.contains("@"),
                 "distinct": F.size(F.array_distinct(F.split(F.lower(m), ""))), "call": before.rlike(_CALL), "mail": before.rlike(_MAIL), "key": before.rlike(_KEY), "bank": before.rlike(_BANK),
-                "word_before": before.rlike("[A-Za-z0-9]$"), "word_after": F.substring(text, x["e"] + 1, F.lit(1)).rlike("[A-Za-z0-9]"), "kind": F.lit(k),
+                "word_before": before.rlike("[A-Za-z0-9]$"), "word_after": x["f"].rlike("[A-Za-z0-9]"), "kind": F.lit(k),
             }
-            rule = {"email": m.rlike(r"[\[(]at[\])].*[\[(]dot[\])]"), "phone": F.lit(False), "iban": before.rlike(_BANK), "secret": before.rlike(_KEY), "ssn": ~m.rlike(_NO_SSN)}[kind]
+            rule = {"email": m.rlike(r"[\[(]at[\])].*[\[(]dot[\])]"), "phone": F.lit(False), "iban": account(m), "secret": before.rlike(_KEY), "ssn": ~m.rlike(_NO_SSN)}[kind]
             in_words = m.rlike(r"(?i) at .* dot ")
             number_of_call = F.length(number).between(7, 15) & before.rlike(_CALL) & ~before.rlike("[A-Za-z0-9]$")
             grouped = F.length(number).between(7, 15) & m.rlike(r"^[+(]?[0-9]{2,5}\)?(?:[ .-]{1,2}[0-9]{2,5}){1,4}$")
             # By its context a candidate is of the kind as well, or its label is open: not trained on, not judged by.
             context = {"email": in_words & before.rlike(_MAIL), "phone": number_of_call, "iban": F.lit(False), "secret": F.lit(False), "ssn": F.lit(False)}[kind]
-            ambiguous = {"email": in_words | m.rlike(r"[\[(](?:at|dot)[\])]"), "phone": grouped, "iban": F.lit(True), "secret": m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), "ssn": F.lit(False)}[kind]
+            ambiguous = {"email": in_words | m.rlike(r"[\[(](?:at|dot)[\])]"), "phone": grouped, "iban": before.rlike(_BANK), "secret": m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), "ssn": F.lit(False)}[kind]
             rule = rule | context
-            overlaps = F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+            overlaps = F.exists("bases", lambda own: overlapped(own, x))
             label = F.when(overlaps | rule, 1.0).when(~ambiguous, 0.0)
+            if kind == "iban":
+                rule = rule | before.rlike(_BANK)  # stands without its check as well, but nothing is learned from that
             return F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), overlaps.alias("known"), rule.alias("rule"), label.alias("label"), *(values[f].cast("double").alias(f) for f in FEATURES))
 
         proposed = located(text, pattern, needs[kind])
-        return F.transform(F.filter(proposed, lambda x: ~x["m"].rlike(_NO_PHONE)) if kind == "phone" else proposed, described)
+        if kind == "phone":
+            proposed = F.filter(proposed, lambda x: ~x["m"].rlike(_NO_PHONE))
+        if kind == "iban":
+            proposed = F.transform(proposed, without_count)
+        return F.transform(proposed, described)
 
     return rows.withColumn("candidates", F.concat(*(candidates(kind, pattern) for kind, pattern in GENERATORS.items())))
 
@@ -167,7 +244,8 @@ def fit(docs: DataFrame) -> tuple[str, dict[int, float]] | None:
     The trees see about SAMPLE_CANDIDATES of each kind and class, of four fifths of the documents. Thresholds come
     from the candidates of all documents but these, each class in its share of all candidates of the kind.
     """
-    found = with_candidates(with_base(docs.where("text is not null"))).select("doc_id", F.explode("candidates").alias("c"))
+    # Outer, for Spark would put a filter on the size of the candidates before a plain one, with the base spans made anew for each candidate.
+    found = with_candidates(with_base(docs.where("text is not null"))).select("doc_id", F.explode_outer("candidates").alias("c"))
     every = stored(found.select("c.*", (F.xxhash64("doc_id") % 5 == 0).alias("kept"), F.pmod(F.xxhash64("doc_id", "c.s", "c.k"), F.lit(1 << 30)).alias("h")).where("label is not null"))
     sizes = {(r["k"], r["label"]): (r["n"], r["open"]) for r in every.groupBy("k", "label").agg(F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("open")).collect()}
     if not sizes:
@@ -211,7 +289,7 @@ def with_spans(rows: DataFrame, model: tuple[str, dict[int, float]] | None) -> D
     score, thresholds = model or ("0D", dict.fromkeys(range(len(KINDS)), 2.0))
     needed = "CASE c.k " + " ".join(f"WHEN {k} THEN {t!r}D" for k, t in thresholds.items()) + " END"
     added = F.expr(f"transform(filter(candidates, c -> NOT c.known AND (c.rule OR {score} >= {needed})), c -> struct(c.k AS k, c.s AS s, c.e AS e))")
-    return with_candidates(based).withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", added)))).drop("candidates")
+    return with_candidates(based).withColumn("spans", F.array_sort(F.concat("base", added))).drop("candidates", "bases")
 
 
 def listed(spans: Column) -> Column:
@@ -245,14 +323,24 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     inner = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[text_col].alias("text"))
     model = fit(docs.select(F.col("doc_id"), docs[text_col].alias("text")))
     found = with_spans(inner, model)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
+    text, end = F.col("text"), F.length("text")
+    last = F.struct(end.alias("s"), end.alias("e"), F.lit(-1).alias("k"))
+    ordered = F.concat(F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))), F.array(last))
+    piece = "struct<begin:int,end:int,k:int>"
+
+    def step(a: Column, x: Column) -> tuple[Column, Column]:
+        own = F.array(F.struct(a["at"].alias("begin"), x["s"].alias("end"), x["k"].alias("k")))
+        return F.struct(F.greatest(a["at"], x["e"]).alias("at")), F.when(x["s"] >= a["at"], own).otherwise(F.array().cast(f"array<{piece}>"))
+
+    def joined(z: Column) -> Column:
+        def between(p: Column) -> Column:
+            first, after = F.floor(p["begin"] / CUT).cast("int"), F.floor(p["end"] / CUT).cast("int")
+            around = F.array_join(F.slice(z["cuts"], first + 1, after - first + 1), "")
+            return F.concat(F.substring(around, p["begin"] % CUT + 1, p["end"] - p["begin"]), F.when(p["k"] >= 0, F.concat(F.lit("["), F.upper(F.get(names, p["k"])), F.lit("]"))).otherwise(""))
 
-    def step(a: Column, x: Column) -> Column:
-        piece = F.substring(F.col("text"), a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
-        out = F.when(x["s"] < a["at"], a["out"]).otherwise(F.concat(a["out"], piece, F.lit("["), F.upper(names[x["k"]]), F.lit("]")))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), out.alias("out"))
+        return F.array_join(F.transform(z["pieces"], between), "")
 
-    cleaned = F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    cuts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    cleaned = once(F.struct(cuts.alias("cuts"), running(ordered, F.struct(F.lit(0).alias("at")), piece, step).alias("pieces")), joined)
     result = found.select("_row", F.when(F.size("spans") > 0, cleaned).otherwise(F.col("text")).alias("_text"))
     return result.select(*[(F.col("_text") if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
