@@ -1,6 +1,7 @@
 """Page text: templates decide where a host has pages to count, names elsewhere; long and deep pages."""
 
 import collections
+import os
 import re
 import time
 
@@ -69,3 +70,30 @@ def test_long_and_deep_pages():
         html.subtree_hashes(page)
         html.main_text(page)
         assert time.process_time() - began < 10
+
+
+def test_named_parts_go_on_the_one_page_that_has_them(spark):
+    article = "<article><p>{0} is what this page is about, at some length, and it goes on.</p></article>"
+    rows = [article.format(w) for w in ("alpha", "beta", "gamma", "delta", "epsilon")]
+    rows[3] += "<section id='comments'><p>Reader: nice post</p></section><div class='cookie-banner'>We use cookies</div>"
+    assert [r.text for r in sorted(html.extract(pages_of(spark, rows)).collect(), key=lambda r: r.page_id)] == [re.sub("<.*?>", "", article.format(w)) for w in ("alpha", "beta", "gamma", "delta", "epsilon")]
+
+
+def test_parts_without_names_fall_by_their_shape(spark):
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    body = "<div class='wrap'><article><p>{0} is what this page is about, at some length, and it goes on.</p></article><div class='q7'>Today {1} for you</div></div>"
+    rows = [body.format(w, w[::-1]) for w in words] + ["<div class='wrap'><div class='q7'>A page without articles, of one part alone</div></div>"]
+    found = {r.page_id: r.text for r in html.extract(pages_of(spark, rows)).collect()}
+    assert found == {k: f"{w} is what this page is about, at some length, and it goes on." for k, w in enumerate(words)} | {6: "A page without articles, of one part alone"}
+
+
+def test_counts_find_what_names_would(spark, sf_dir, monkeypatch):
+    """With every name unknown, counts of shapes and words give the same text on nearly all pages of hosts that have counts."""
+    larger = os.path.join(os.path.dirname(sf_dir), "sf0.01")
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{larger}/pages.parquet").select("page_id", "url", "html").collect() if r.html]
+    want = {i: html.main_text(html.parse(s)) for i, _, s in pages}
+    for name, blind in (("NEVER", re.compile("(?!)")), ("OUTSIDE", re.compile("(?!)")), ("NAMED", frozenset())):
+        monkeypatch.setattr(html, name, blind)
+    known = brute_force(pages)
+    same = [html.main_text(html.parse(s), known[host(u)]) == want[i] for i, u, s in pages if 0 in known[host(u)]]
+    assert len(same) > 100 and sum(same) >= 0.95 * len(same), (sum(same), len(same))
