@@ -3,13 +3,17 @@
 Subjects stay in their partitions. At each Newton step a task adds up the loss, the gradient and the Hessian of its own
 subjects, and one array a task and machine is shuffled. The driver holds the weights alone.
 
-A machine of which one subject is left out starts from the weights of all subjects, and is fitted only where these do
-not settle its prediction:
+A machine of which one subject is left out is the machine of all subjects, updated, and only where that machine does not
+settle its prediction:
 
 * a subject beyond the margin has no part in the weights, so that they do not change without it;
 * leaving a subject out never raises its own margin m, so that a wrong one stays wrong;
 * the margin falls by no more than twice the shortfall 1 - m times the squared length of the subject's row, since the
   penalty makes the loss strongly convex.
+
+An update needs the subjects near the margin alone (``kernels.Solved``). They are few, since leaving one of many out moves the weights
+little: their number does not grow with the subjects. So all open subjects are one job, each in its partition. Clusters with more of
+them than ``NEAR_CELLS`` hold, and subjects whose update leads out of the radius, are fitted in blocks of machines.
 """
 
 from __future__ import annotations
@@ -22,13 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netweave.functions import kernels
 from netweave.sources.scratch import stored
 
 #: Cells of the Hessians that a task sums at once, and machines that a step fits at once: bounds of a task's memory.
 HESSIAN_CELLS = 8_000_000
 MACHINES = 512
-#: Margins this near to a bound are not settled by it.
-NEAR = 1e-7
+#: Cells of the subjects near the margin, of all clusters, that are sent to every task (16 MB); and the radius over the longest first step.
+NEAR_CELLS, SPREAD = 2_000_000, 2.0
+NEAR = kernels.NEAR
 
 
 @dataclass
@@ -118,10 +124,69 @@ def fit(packed: DataFrame, machines: list[Machine], c: float = 1.0, steps: int =
             going[row.machine].take(row.loss, row.slope, row.least, row.step)
 
 
-def judged(packed: DataFrame, loo: bool = False, c: float = 1.0, together: int = MACHINES) -> DataFrame:
+def quadratics(rows: DataFrame, weights: dict[str, np.ndarray], c: float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The Hessian and the pull of the penalty and the active subjects among ``rows``, for each cluster that has weights.
+
+    A task sends one array for each row of its sums; the driver holds a matrix of features by features a cluster.
+    """
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for path, _, a, y in sides(batch):
+                if path in weights:
+                    on = y * (a @ weights[path]) < 1
+                    part = np.hstack([a[on].T @ a[on], (a[on].T @ y[on])[:, None]])
+                    totals[path] = totals[path] + part if path in totals else part
+        for path, total in totals.items():
+            yield pd.DataFrame({"path": path, "place": np.arange(len(total)), "sums": list(total)})
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        return group.iloc[:1].assign(sums=[np.sum(np.stack(group["sums"].to_list()), axis=0)])
+
+    schema = "path string, place int, sums array<double>"
+    found = {path: (np.eye(len(w)), np.zeros(len(w))) for path, w in weights.items()}
+    for r in rows.select("path", "label", "values").mapInPandas(sums, schema).groupBy("path", "place").applyInPandas(added, schema).collect():  # a row a feature
+        found[r.path][0][r.place] += 2 * c * np.array(r.sums[:-1])
+        found[r.path][1][r.place] = 2 * c * r.sums[-1]
+    return found
+
+
+def updated(told: DataFrame, weights: dict[str, np.ndarray], c: float, near_cells: int, spread: float) -> DataFrame:
+    """(path, subject, label, predicted, settled) of the unsure rows of ``told``, by updates of their clusters' machines; stored."""
+    kind = told.schema["subject"].dataType.simpleString()
+    schema = f"path string, subject {kind}, label int, predicted int, settled boolean"
+    radii = stored(told.where("not sure").groupBy("path").agg((spread * F.max("reach")).alias("radius")))
+    flagged = told.join(radii, "path").withColumn("near", F.col("gap") <= F.col("leverage") * F.col("radius") + NEAR)
+    sizes = flagged.groupBy("path").agg(F.first("radius").alias("radius"), F.sum(F.when(F.col("near"), F.size("values") + 1).otherwise(0)).alias("cells")).orderBy("cells").collect()  # a row a cluster
+    held = np.cumsum([r.cells for r in sizes]) <= near_cells
+    chosen = {r.path: r.radius for r, fits in zip(sizes, held, strict=True) if fits and len(weights[r.path]) ** 2 <= HESSIAN_CELLS}
+    own = flagged.where(F.col("path").isin(*chosen))
+    fixed = quadratics(own.where("active and not near"), {path: weights[path] for path in chosen}, c)
+    close = own.where("near").select("path", "subject", "label", "values").toPandas()  # at most ``near_cells`` cells
+    solved, places = {}, {}
+    for path, _, a, y in sides(close):
+        solved[path] = kernels.Solved(weights[path], *fixed[path], a, y, chosen[path], c)
+        places[path] = {s: k for k, s in enumerate(close.loc[close["path"] == path, "subject"])}
+
+    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, rows, a, y in sides(batch):
+                found = []
+                for subject, row, sign in zip(rows["subject"], a, y, strict=True):
+                    machine = solved.get(path)
+                    v, settled = machine.without(row, sign, places[path].get(subject, -1)) if machine else (row, False)
+                    found.append((int(row @ v > 0), settled))
+                yield rows[["path", "subject", "label"]].assign(predicted=[g for g, _ in found], settled=[s for _, s in found])
+
+    return stored(told.where("not sure").select("path", "subject", "label", "values").mapInPandas(left, schema))
+
+
+def judged(packed: DataFrame, loo: bool = False, c: float = 1.0, together: int = MACHINES, near_cells: int = NEAR_CELLS, spread: float = SPREAD) -> DataFrame:
     """(path, subject, label, predicted) of (path, subject, label, values): by the machine of all subjects of the path, or of all others.
 
-    Labels are 0 and 1. Subjects of one class alone predict it; none predict 0. ``together`` bounds the machines of a step.
+    Labels are 0 and 1. Subjects of one class alone predict it; none predict 0. ``together`` bounds the machines of a step, ``near_cells``
+    the cells of the subjects near the margin that updates take; results do not depend on them.
     """
     packed = stored(packed)
     counted = packed.groupBy("path").agg(F.count_if(F.col("label") == 1).alias("ones"), F.count_if(F.col("label") != 1).alias("others"), F.max(F.size("values")).alias("features")).collect()  # a row a cluster
@@ -130,11 +195,13 @@ def judged(packed: DataFrame, loo: bool = False, c: float = 1.0, together: int =
     fit(packed, whole, c)
     weights = {m.path: m.weights for m in whole}
     kind = packed.schema["subject"].dataType.simpleString()
+    inverses = {path: np.linalg.inv(h) for path, (h, _) in quadratics(packed, weights, c).items()} if loo else {}
 
     def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, rows, a, y in sides(batch):
                 alone = ones[path] + others[path] == 1
+                margin, leverage, reach = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
                 if path not in weights:
                     guess, sure = np.full(len(rows), int(bool(ones[path]) and not (loo and alone))), True
                 else:
@@ -145,17 +212,32 @@ def judged(packed: DataFrame, loo: bool = False, c: float = 1.0, together: int =
                     guess = (score > 0).astype(int)
                     if loo:
                         guess = np.where(last, y < 0, guess).astype(int)
+                        leverage, reach = kernels.reaches(a, margin, inverses[path], c)
                     sure = not loo or (last | (margin > 1 + NEAR) | (margin < -NEAR) | (margin - lost > NEAR))
-                yield rows[["path", "subject", "label"]].assign(predicted=guess, sure=sure)
+                told = rows[["path", "subject", "label"]].assign(predicted=guess)
+                yield told.assign(values=rows["values"], sure=sure, active=margin < 1, gap=np.abs(1 - margin), leverage=leverage, reach=reach) if loo else told
 
-    told = packed.mapInPandas(predicted, f"path string, subject {kind}, label int, predicted int, sure boolean")
+    schema = f"path string, subject {kind}, label int, predicted int"
     if not loo:
-        return told.drop("sure")
-    told = stored(told)
-    open_rows = stored(packed.join(told.where("not sure").select("path", "subject"), ["path", "subject"], "left_semi"))
+        return packed.mapInPandas(predicted, schema)
+    told = stored(packed.mapInPandas(predicted, f"{schema}, values array<double>, sure boolean, active boolean, gap double, leverage double, reach double"))
+    found = told.where("sure").select("path", "subject", "label", "predicted")
+    if not told.where("not sure").limit(1).count():
+        return found
+    tried = updated(told, weights, c, near_cells, spread)
+    found = found.unionByName(tried.where("settled").drop("settled"))
+    open_rows = packed.join(tried.where("not settled").select("path", "subject"), ["path", "subject"], "left_semi")
+    return found.unionByName(fitted_anew(packed, open_rows, weights, c, together))
+
+
+def fitted_anew(packed: DataFrame, open_rows: DataFrame, weights: dict[str, np.ndarray], c: float, together: int) -> DataFrame:
+    """(path, subject, label, predicted) of ``open_rows``, each by a machine fitted without it, in blocks of about ``together`` machines."""
+    kind = packed.schema["subject"].dataType.simpleString()
+    schema = f"path string, subject {kind}, label int, predicted int"
+    open_rows = stored(open_rows)
     n = open_rows.count()
-    found = told.where("sure").drop("sure")
-    most = max(1, min(together, HESSIAN_CELLS // (max((r.features for r in counted), default=0) + 1) ** 2))
+    found = packed.sparkSession.createDataFrame([], schema)
+    most = max(1, min(together, HESSIAN_CELLS // max((len(w) for w in weights.values()), default=1) ** 2))
     blocks = -(-n // most)
     for k in range(blocks):
         rows = open_rows.where(F.pmod(F.xxhash64("path", "subject"), F.lit(blocks)) == k).orderBy("path", "subject").collect()  # about ``most`` rows
@@ -163,5 +245,5 @@ def judged(packed: DataFrame, loo: bool = False, c: float = 1.0, together: int =
             machines = [Machine(r.path, weights[r.path], r.subject) for r in rows]
             fit(packed, machines, c)
             guesses = [(r.path, r.subject, r.label, int(np.append(r["values"], 1.0) @ m.weights > 0)) for r, m in zip(rows, machines, strict=True)]
-            found = found.unionByName(stored(packed.sparkSession.createDataFrame(guesses, f"path string, subject {kind}, label int, predicted int")))
+            found = found.unionByName(stored(packed.sparkSession.createDataFrame(guesses, schema)))
     return found

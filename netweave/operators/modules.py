@@ -18,8 +18,6 @@ from netweave.operators.networks import adjacency, fisher_difference
 from netweave.operators.spectral import grouped, sides_of, whole
 from netweave.sources.scratch import stored
 
-#: Tasks that share the left-out subjects of one cluster.
-BLOCKS = 16
 #: Values of a cluster's subjects up to which one task fits its machine (32 MB).
 DENSE_CELLS = 4_000_000
 RATES = ("precision", "recall")
@@ -31,20 +29,14 @@ def predictions(matrix: DataFrame, members: DataFrame, loo: bool = False, dense_
     packed = own.groupBy("path", "subject", "label").agg(F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("row")).select("path", "subject", "label", F.col("row.value").alias("values"))
     if (own.groupBy("path").count().agg(F.max("count")).first()[0] or 0) > dense_cells:
         return machines.judged(packed, loo)
-    blocks = BLOCKS if loo else 1
-    dealt = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     kind = matrix.schema["subject"].dataType.simpleString()
 
     def judged(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("subject").reset_index(drop=True)
         x, y = np.array(rows["values"].tolist(), float), rows["label"].to_numpy(int)
-        if not loo:
-            return rows.assign(predicted=kernels.predict(x, y, x))[["path", "subject", "label", "predicted"]]
-        left = np.arange(int(rows["block"].iloc[0]), len(rows), blocks)
-        guess = [int(kernels.predict(np.delete(x, i, 0), np.delete(y, i), x[i : i + 1])[0]) for i in left]
-        return rows.iloc[left].assign(predicted=guess)[["path", "subject", "label", "predicted"]]
+        return rows.assign(predicted=kernels.left_out(x, y) if loo else kernels.predict(x, y, x))[["path", "subject", "label", "predicted"]]
 
-    return dealt.groupBy("path", "block").applyInPandas(judged, f"path string, subject {kind}, label int, predicted int")
+    return packed.groupBy("path").applyInPandas(judged, f"path string, subject {kind}, label int, predicted int")
 
 
 def rates(predicted: DataFrame, bsr: str = "precision") -> DataFrame:
