@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netweave.functions import kernels
+from netweave.operators import arnoldi
 from netweave.operators.components import component_labels
 from netweave.operators.expression import CENTRALITIES, dense_centralities
 from netweave.operators.matrix import ranked
@@ -62,7 +64,7 @@ def leading_eigenvector(edges: DataFrame, nodes: DataFrame, tolerance: float = 1
     """(node, score) of a symmetric network of nonnegative weights: its leading eigenvector, of length 1 and nonnegative.
 
     Power iteration on the network with half its largest degree added to every loop, which keeps the vector and makes
-    the leading eigenvalue the largest in size. Other networks have their vector by the dense kernel of ``dense_centralities``.
+    the leading eigenvalue the largest in size. Directed and signed networks: ``arnoldi.leading_vector``, or the dense kernel of ``dense_centralities``.
     """
     shift = (edges.groupBy("dst").agg(F.sum("weight").alias("k")).agg(F.max("k")).first()[0] or 0.0) / 2
     n = nodes.count()
@@ -118,10 +120,11 @@ def supra_degree(supra: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(sums, ["t", "node"], "left").select("t", "node", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def supra_scores(supra: DataFrame, nodes: DataFrame, centrality: str = "degree") -> DataFrame:
+def supra_scores(supra: DataFrame, nodes: DataFrame, centrality: str = "degree", dense_nodes: int = kernels.DENSE_NODES) -> DataFrame:
     """(node, score): centralities in a layered network, absolute, summed over layers; ``nodes``: (t, node).
 
-    ``page_rank`` takes networks of any size; ``large_evec`` up to kernels.DENSE_NODES nodes of all layers, since couplings have one direction.
+    All take networks of any size. Couplings have one direction, so that the leading eigenvector is that of a directed network: beyond
+    ``dense_nodes`` nodes of all layers it comes by Arnoldi iteration, up to it by the dense kernel; the scores are the same.
     """
     if centrality == "degree":
         return layer_scores(supra_degree(supra, nodes))
@@ -132,6 +135,9 @@ def supra_scores(supra: DataFrame, nodes: DataFrame, centrality: str = "degree")
     if centrality == "page_rank":
         scored = page_rank(edges, own)
         return layer_scores(scored.select("node.t", "node.node", "score"))
+    if own.count() > dense_nodes:
+        found = arnoldi.leading_vector(stored(edges), own)
+        return layer_scores(found.select("node.t", "node.node", "score"))
     text = lambda column, name: F.to_json(column).alias(name)
     small = edges.select(F.lit(0).alias("pathway"), text("src", "src"), text("dst", "dst"), "weight")
     scored = dense_centralities(small, own.select(F.lit(0).alias("pathway"), text("node", "feature")), "large_evec", in_rank=False)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.operators.matrix import centred, column_products
+from netweave.operators.matrix import centred, column_products, numbered
 from netweave.operators.products import column_pairs, largest, powers
+from netweave.sources.scratch import stored
 
 MEASURES = ("correlation", "heatkernel")
 #: A network is multiplied as tiles where one in so many of its cells has an edge, and joined by its middle nodes where fewer have.
@@ -159,8 +160,38 @@ def random_graph(spark: SparkSession, nodes: int, seed: int = 0) -> DataFrame:
     return random_weights(spark.range(nodes).withColumnRenamed("id", "node"), seed)
 
 
-def hashed_graph(nodes: DataFrame, edges: int) -> DataFrame:
-    """A graph of ``edges`` unweighted edges among the pairs of ``nodes`` (node): those whose ids hash least, so that it is the same everywhere."""
-    one, other = nodes.select(F.col("node").alias("src")), nodes.select(F.col("node").alias("dst"))
-    code = F.md5(F.concat_ws("-", F.col("src").cast("string"), F.col("dst").cast("string")))
-    return mirrored(one.join(other, F.col("src") < F.col("dst")).orderBy(code, "src", "dst").limit(edges).withColumn("weight", F.lit(1.0)))
+def keyed(seed: int, turn: int, x: str) -> Column:
+    """48 bits of a hash of the seed, the turn and a number."""
+    code = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(turn)), F.col(x).cast("string")).cast("binary"))
+    return F.conv(F.substring(code, 1, 12), 16, 10).cast("long")
+
+
+def pair_numbers(spark: SparkSession, nodes: int, edges: int, seed: int = 0, rounds: int = 4) -> DataFrame:
+    """(i, j) of ``edges`` different pairs of the numbers below ``nodes``, drawn without forming any other pair.
+
+    The n (n - 1) / 2 pairs are a grid: n by (n - 1) / 2 for an odd n (a number, and the distance to the next, around a circle), n / 2 by
+    n - 1 for an even one (a place and a round of a tournament). The first cells of the grid are permuted by Feistel rounds, each of which moves a cell
+    along one side by a keyed hash of the other. Rounds are one to one, so that no pair comes twice.
+    """
+    odd = nodes % 2 == 1
+    p, q = (nodes, (nodes - 1) // 2) if odd else (nodes // 2, nodes - 1)
+    p, q, ring = max(p, 1), max(q, 1), max(nodes - 1, 1)
+    cells = spark.range(min(edges, nodes * (nodes - 1) // 2)).select(F.expr(f"id div {q}").alias("l"), (F.col("id") % q).alias("r"))
+    for k in range(rounds):
+        cells = cells.withColumn("l", (F.col("l") + keyed(seed, 2 * k, "r") % p) % p)
+        cells = cells.withColumn("r", (F.col("r") + keyed(seed, 2 * k + 1, "l") % q) % q)
+    if odd:
+        return cells.select(F.col("l").alias("i"), ((F.col("l") + F.col("r") + 1) % nodes).alias("j"))
+    met = F.col("l") == 0
+    return cells.select(F.when(met, nodes - 1).otherwise((F.col("r") + F.col("l")) % ring).alias("i"), F.when(met, F.col("r")).otherwise((F.col("r") - F.col("l") + ring) % ring).alias("j"))
+
+
+def hashed_graph(nodes: DataFrame, edges: int, seed: int = 0) -> DataFrame:
+    """A graph of ``edges`` unweighted edges among the pairs of ``nodes`` (node), all pairs if there are fewer; the same everywhere.
+
+    Its work is that of numbering the nodes and of ``edges`` rows, whatever the number of pairs.
+    """
+    places = stored(numbered(nodes.select("node").distinct(), "node"))
+    drawn = pair_numbers(nodes.sparkSession, places.count(), edges, seed)
+    ends = drawn.join(places.select(F.col("place").alias("i"), F.col("node").alias("a")), "i").join(places.select(F.col("place").alias("j"), F.col("node").alias("b")), "j")
+    return mirrored(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.lit(1.0).alias("weight")))

@@ -146,6 +146,23 @@ def cut(steps: str) -> str:
     )
 
 
+def keyed_pairs(edges: int, rounds: int = 4) -> str:
+    """A graph of so many of the suppliers' pairs, by the permutation of ``networks.pair_numbers``."""
+    hashed = "CAST('0x' || substr(md5('0-{}-' || {}), 1, 12) AS BIGINT)"
+    steps = []
+    for k in range(rounds):
+        steps.append(f"SELECT (l + {hashed.format(2 * k, 'r')} % p) % p AS l, r, n, p, q")
+        steps.append(f"SELECT l, (r + {hashed.format(2 * k + 1, 'l')} % q) % q AS r, n, p, q")
+    turns = ", ".join(f"c{k + 1} AS ({step} FROM c{k})" for k, step in enumerate(steps))
+    return (
+        "WITH sup AS MATERIALIZED (SELECT s_suppkey AS node, row_number() OVER (ORDER BY s_suppkey) - 1 AS place FROM (SELECT DISTINCT s_suppkey FROM supplier)), "
+        "size AS (SELECT n, CASE WHEN n % 2 = 1 THEN n ELSE n // 2 END AS p, CASE WHEN n % 2 = 1 THEN (n - 1) // 2 ELSE n - 1 END AS q FROM (SELECT count(*) AS n FROM sup)), "
+        f"c0 AS (SELECT k // q AS l, k % q AS r, n, p, q FROM range(0, {edges}) t(k), size WHERE k < n * (n - 1) // 2), {turns}, "
+        "ends AS (SELECT CASE WHEN n % 2 = 1 THEN l WHEN l = 0 THEN n - 1 ELSE (r + l) % (n - 1) END AS i, CASE WHEN n % 2 = 1 THEN (l + r + 1) % n WHEN l = 0 THEN r ELSE (r - l + n - 1) % (n - 1) END AS j "
+        f"FROM c{len(steps)}), g AS (SELECT a.node AS a, b.node AS b FROM ends JOIN sup a ON a.place = i JOIN sup b ON b.place = j) SELECT a AS src, b AS dst, 1::DOUBLE AS weight FROM g UNION ALL SELECT b, a, 1::DOUBLE FROM g"
+    )
+
+
 UP = "up AS (SELECT node AS item, above, more, step FROM link WHERE node < 64 UNION ALL SELECT up.item, link.above, link.more, link.step FROM up JOIN link ON link.node = up.above)"
 HIGH = "(SELECT count(*) FROM lk WHERE height <= 11)"
 
@@ -203,7 +220,7 @@ def oracles() -> dict[str, str]:
         "cluster_center_edges": with_tables(f"SELECT src, dst, {r('weight')} AS weight FROM adj WHERE src IN (SELECT node FROM cen) AND dst IN (SELECT node FROM cen)", "adj", recursive=f"{HALVES}, {CENTERS}"),
         "graph_display_nodes": with_tables(f"SELECT n_nationkey AS node, {r('coalesce(k, 0) / max(coalesce(k, 0)) OVER ()')} AS size FROM nation LEFT JOIN (SELECT dst, sum(weight) AS k FROM flow GROUP BY 1) ON dst = n_nationkey", "flow"),
         "graph_display_edges": with_tables(f"SELECT src, dst, round_even(weight, 2) AS weight FROM adj WHERE weight >= (SELECT median(c) FROM (SELECT weight AS c FROM adj UNION ALL SELECT 0::DOUBLE FROM range(0, CAST({cells} * {cells} - (SELECT count(*) FROM adj) AS BIGINT)))) AND round_even(weight, 2) <> 0", "adj"),
-        "er_graph": "WITH g AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey ORDER BY md5(a.s_suppkey::VARCHAR || '-' || b.s_suppkey::VARCHAR), 1, 2 LIMIT 60) SELECT src, dst, 1::DOUBLE AS weight FROM g UNION ALL SELECT dst, src, 1::DOUBLE FROM g",
+        "er_graph": keyed_pairs(60),
         "metadata_cases": "SELECT c_custkey AS subject, n_name AS nation, c_mktsegment <> 'BUILDING' AS is_case FROM customer JOIN nation ON c_nationkey = n_nationkey",
         "subset_parents_given": given("SELECT rank, parent, size FROM par"),
         "linkage_dumb_given": given('SELECT step, l AS "left", r AS "right", CAST(s1 + s2 AS DOUBLE) AS height, s1 + s2 AS size FROM lk'),
