@@ -39,23 +39,57 @@ def transitions(edges: DataFrame, in_rank: bool = False) -> DataFrame:
     return inside.join(totals, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share"))
 
 
-def page_rank(edges: DataFrame, nodes: DataFrame, in_rank: bool = False, damping: float = DAMPING, stochastic: bool = False, tolerance: float = 1e-9, most: int = 200) -> DataFrame:
-    """(node, score), (node of no rank: 0). Exact: the stationary vector, of sum 1 even where rank leaks; ``stochastic``: the plain
-    recurrence from a uniform start until a step's length is 1e-3 or less, without rescaling."""
+def live_nodes(edges: DataFrame, nodes: DataFrame, in_rank: bool) -> DataFrame:
+    """(node) of the nodes from which rank can go; stored."""
     own = edges.select(F.col("dst" if in_rank else "src").alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("total")).where("total <> 0").select("node")
-    live = stored(own.join(nodes, "node", "left_semi"))
+    return stored(own.join(nodes.select("node").distinct(), "node", "left_semi"))
+
+
+def handed_on(shares: DataFrame, rank: DataFrame, value: str) -> DataFrame:
+    """(node, got): what each node gets of the ``value`` of (node, value)."""
+    return shares.join(rank.select(F.col("node").alias("source"), value), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col(value)).alias("got"))
+
+
+def stationary(edges: DataFrame, nodes: DataFrame, in_rank: bool = False, damping: float = DAMPING, tolerance: float = 1e-10) -> tuple[float, DataFrame]:
+    """(eigenvalue, (node, v) of the nodes from which rank can go): what a step keeps of all rank, 1 where none leaks, and the
+    stationary ranks, of sum 1. Without two such nodes there is no rank: 0 and no row.
+
+    The walk's matrix is positive, so that its leading eigenvalue is its largest in size; Arnoldi iteration finds it in fewer steps than
+    the walk itself takes.
+    """
+    live = live_nodes(edges, nodes, in_rank)
+    n = live.count()
+    if n <= 1:
+        return 0.0, live.limit(0).select("node", F.lit(0.0).alias("v"))
+    shares = stored(transitions(edges, in_rank))
+
+    def walked(rank: DataFrame) -> DataFrame:
+        jump = rank.agg((F.sum("last") * ((1 - damping) / n)).alias("jump"))  # one row
+        got = live.join(handed_on(shares, rank, "last"), "node", "left").crossJoin(F.broadcast(jump))
+        return got.select("node", (damping * F.coalesce("got", F.lit(0.0)) + F.col("jump")).alias("got"))
+
+    value, rows = arnoldi.leading(live, walked, tolerance=tolerance)
+    total = rows.agg(F.sum("x")).first()[0]
+    return float(value.real), rows.select("node", (F.col("x") / total).alias("v"))
+
+
+def page_rank(edges: DataFrame, nodes: DataFrame, in_rank: bool = False, damping: float = DAMPING, stochastic: bool = False, tolerance: float = 1e-10, most: int = 200) -> DataFrame:
+    """(node, score), (node of no rank: 0). Exact: the stationary vector, of sum 1 even where rank leaks; ``stochastic``: the plain
+    recurrence from a uniform start, ``most`` steps or until a step's length is 1e-3 or less, without rescaling."""
+    if not stochastic:
+        _, rank = stationary(edges, nodes, in_rank, damping, tolerance)
+        return nodes.join(rank, "node", "left").select("node", F.coalesce("v", F.lit(0.0)).alias("score"))
+    live = live_nodes(edges, nodes, in_rank)
     n = live.count()
     if n <= 1:
         return nodes.select("node", F.lit(0.0).alias("score"))
     shares = stored(transitions(edges, in_rank))
     rank = stored(live.select("node", F.lit(1.0 / n).alias("v")))
     for _ in range(most):
-        given = shares.join(rank.select(F.col("node").alias("source"), "v"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col("v")).alias("got"))
+        given = handed_on(shares, rank, "v")
         raw = stored(live.join(given, "node", "left").join(rank, "node").select("node", F.col("v").alias("was"), (damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) / n).alias("raw")))
-        total = 1.0 if stochastic else raw.agg(F.sum("raw")).first()[0]
-        rank = raw.select("node", (F.col("raw") / total).alias("v"))
-        moved = raw.agg(F.sum(F.pow(F.col("raw") / total - F.col("was"), 2))).first()[0] ** 0.5
-        if moved <= (1e-3 if stochastic else tolerance):
+        rank = raw.select("node", F.col("raw").alias("v"))
+        if raw.agg(F.sum(F.pow(F.col("raw") - F.col("was"), 2))).first()[0] ** 0.5 <= 1e-3:
             break
     return nodes.join(rank, "node", "left").select("node", F.coalesce("v", F.lit(0.0)).alias("score"))
 

@@ -160,9 +160,9 @@ def random_graph(spark: SparkSession, nodes: int, seed: int = 0) -> DataFrame:
     return random_weights(spark.range(nodes).withColumnRenamed("id", "node"), seed)
 
 
-def keyed(seed: int, turn: int, x: str) -> Column:
+def keyed(seed: int, turn: Column, x: Column) -> Column:
     """48 bits of a hash of the seed, the turn and a number."""
-    code = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(turn)), F.col(x).cast("string")).cast("binary"))
+    code = F.md5(F.concat_ws("-", F.lit(str(seed)), turn.cast("string"), x.cast("string")).cast("binary"))
     return F.conv(F.substring(code, 1, 12), 16, 10).cast("long")
 
 
@@ -176,10 +176,15 @@ def pair_numbers(spark: SparkSession, nodes: int, edges: int, seed: int = 0, rou
     odd = nodes % 2 == 1
     p, q = (nodes, (nodes - 1) // 2) if odd else (nodes // 2, nodes - 1)
     p, q, ring = max(p, 1), max(q, 1), max(nodes - 1, 1)
-    cells = spark.range(min(edges, nodes * (nodes - 1) // 2)).select(F.expr(f"id div {q}").alias("l"), (F.col("id") % q).alias("r"))
-    for k in range(rounds):
-        cells = cells.withColumn("l", (F.col("l") + keyed(seed, 2 * k, "r") % p) % p)
-        cells = cells.withColumn("r", (F.col("r") + keyed(seed, 2 * k + 1, "l") % q) % q)
+
+    def turned(cell: Column, turn: Column) -> Column:
+        side = (cell["l"] + keyed(seed, turn, cell["r"]) % p) % p
+        other = (cell["r"] + keyed(seed, turn, cell["l"]) % q) % q
+        return F.when(turn % 2 == 0, F.struct(side.alias("l"), cell["r"].alias("r"))).otherwise(F.struct(cell["l"].alias("l"), other.alias("r")))
+
+    first = F.struct(F.expr(f"id div {q}").alias("l"), (F.col("id") % q).alias("r"))
+    turns = F.sequence(F.lit(0), F.lit(2 * rounds - 1))
+    cells = spark.range(min(edges, nodes * (nodes - 1) // 2)).select(F.aggregate(turns, first, turned).alias("c")).select("c.l", "c.r")
     if odd:
         return cells.select(F.col("l").alias("i"), ((F.col("l") + F.col("r") + 1) % nodes).alias("j"))
     met = F.col("l") == 0
