@@ -18,6 +18,8 @@ from netweave.operators.networks import MEASURES, adjacency, coded_network
 
 #: Weight rows up to which a transform broadcasts them.
 BROADCAST_WEIGHTS = 1_000_000
+#: Scores this near are equal: sums depend on the order of rows.
+TIE = 1e-12
 CENTRALITIES = ("degree", "page_rank", "large_evec")
 
 
@@ -106,7 +108,7 @@ def null_sets(universe: list, size: int, trials: int) -> list[tuple[int, object]
 
 
 def rank_groups(weights: DataFrame, pathways: DataFrame, universe: DataFrame, featureset: list, trials: int = 10) -> DataFrame:
-    """(pathway, score, p_val): a set's score in each group, and the share of random sets of its size that score more.
+    """(pathway, score, p_val): a set's score in each group, and the share of random sets of its size that score more, by more than TIE.
 
     All trials are one job: sets joined to the weights once. Features that the universe lacks raise ValueError.
     """
@@ -122,7 +124,7 @@ def rank_groups(weights: DataFrame, pathways: DataFrame, universe: DataFrame, fe
     scores = grid.join(hits, ["trial", "pathway"], "left").select("trial", "pathway", F.coalesce("score", F.lit(0.0)).alias("score"))
     own = scores.where("trial = -1").select("pathway", "score")
     null = scores.where("trial >= 0").select("pathway", F.col("score").alias("null"))
-    return own.join(null, "pathway").groupBy("pathway", "score").agg(F.avg(F.when(F.col("score") < F.col("null"), 1.0).otherwise(0.0)).alias("p_val"))
+    return own.join(null, "pathway").groupBy("pathway", "score").agg(F.avg(F.when(F.col("score") < F.col("null") - TIE, 1.0).otherwise(0.0)).alias("p_val"))
 
 
 @dataclass
