@@ -43,8 +43,9 @@ from netweave.operators.components import component_labels, salted_join
 UP, DOWN, LONGER = 3, 4, 16
 #: Document ids up to this number are broadcast (8 bytes each) to pick rows; more are joined.
 BROADCAST_IDS = 2_000_000
-#: Pivots of a prefix shingle in the first round, and how many times more each later round has.
-PIVOTS, MORE = 16, 4
+#: Pivots of a prefix shingle in the first round, and how many times more each later round has. One is enough for copies
+#: that are all near each other: each is then tested once, not with each other one, and its set is moved once.
+PIVOTS, MORE = 1, 4
 #: Entries that a task gathers before it hands them on, and that a range of hashes holds on average; ranges at least.
 FLUSH, RANGE_ENTRIES, LEAST_RANGES = 1 << 18, 250_000, 64
 #: Bytes of text for each entry of the screening, about.
@@ -56,6 +57,11 @@ _SCANNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f", pa.int64(
 SCANNED = "doc_id long, n long, f long, g long, part int, keys binary, cls binary, flags binary, times binary"
 
 
+def bounded(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast up to BROADCAST_IDS of them, so that the other side of a join stays where it is."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def range_bits(entries: int) -> int:
     """Bits of a hash that number its range, so that ranges hold RANGE_ENTRIES or fewer."""
     return max(LEAST_RANGES, -(-entries // RANGE_ENTRIES) - 1).bit_length()
@@ -173,8 +179,7 @@ def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
         hand_back()
 
     wanted = ids.where("doc_id is not null").select(F.col("doc_id").alias("of")).distinct()
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    found = rows.join(side, F.col("doc_id") == F.col("of"), "left_semi").select("text")
+    found = rows.join(bounded(wanted), F.col("doc_id") == F.col("of"), "left_semi").select("text")
     if ids.where("doc_id is null").limit(1).count():
         found = found.unionByName(rows.where("doc_id is null").select("text"))
     return found.mapInArrow(listed, "node long, g long, n long, own binary")
@@ -250,7 +255,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             out.append(bool(np.minimum(*spread).sum() >= need and len(np.intersect1d(a, b, assume_unique=True)) >= need))
         return pd.Series(out)
 
-    needed = sets.join(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "node", "left_semi")
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    needed = sets.join(bounded(ids), "node", "left_semi")
     left, right = needed.select(F.col("node").alias("x"), F.col("own").alias("a")), needed.select(F.col("node").alias("y"), F.col("own").alias("b"))
     return pairs.join(left, "x").join(right, "y").where(links("a", "b")).select("x", "y")
 
@@ -272,7 +278,7 @@ def components(postings: DataFrame, sets: DataFrame) -> DataFrame:
     labels = stored(postings.select("node").distinct().select("node", F.col("node").alias("comp")))
     tested, pivots = None, PIVOTS
     while True:
-        now = stored(postings.join(labels, "node"))
+        now = stored(postings.join(labels, "node")) if tested is not None else postings.withColumn("comp", F.col("node"))
         several = stored(now.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("h"))
         now = stored(now.join(several, "h", "left_semi"))  # shingles all of whose classes are in one component are done
         if not now.limit(1).count():
@@ -333,9 +339,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     shared = stored(signed.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 or doc_id is null").select(F.col("doc_id").alias("_shared")))
     gone = stored(gone.where("doc_id is not null").select(F.col("doc_id").alias("_gone")).join(shared, F.col("_gone") == F.col("_shared"), "left_anti"))
 
-    def bounded(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
     kept = docs.join(bounded(gone), docs["doc_id"] == gone["_gone"], "left_anti")
     if not shared.limit(1).count():
         return kept
