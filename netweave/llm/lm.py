@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import id_and_text, stored
+from netweave.llm.common import hand_back, id_and_text, stored
 
 #: Bytes of the contexts that plans alone handle, and the default; the query goes to DEEP. MOST fits a gram in a long.
 ORDER, DEEP, MOST, FOLDS = 3, 6, 6, 10
@@ -34,9 +34,11 @@ HEAD_WORDS = 50_000
 #: larger ones are joined.
 BROADCAST_GRAMS, BROADCAST_CELLS = 10_000_000, 32_000_000
 #: Grams of a task of the deep levels, on average.
-SHARD_GRAMS = 200_000
-#: Entries after which a counting task hands on what it holds.
-FLUSH_WORDS, FLUSH_GRAMS = 300_000, 4_000_000
+SHARD_GRAMS = 100_000
+#: Entries after which a counting task hands on what it holds, and rows that it hands on at once.
+FLUSH_WORDS, FLUSH_GRAMS, HANDED = 300_000, 2_000_000, 100_000
+#: Grams, or rows of a table, that are looked at in one step.
+STEP = 1 << 18
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -46,13 +48,33 @@ def words(text: str | None) -> list[bytes]:
 
 def grams(own: list[bytes], order: int = ORDER) -> np.ndarray:
     """The (order + 1)-byte grams of a text, each as a number whose last byte is the one that is predicted."""
-    raw = np.frombuffer(b"\n" * order + b" ".join(own) + b"\n", np.uint8).astype(np.int64)
+    return _grams(np.frombuffer(b"\n" * order + b" ".join(own) + b"\n", np.uint8), order)
+
+
+def _grams(raw: np.ndarray, order: int) -> np.ndarray:
+    raw = raw.astype(np.int64)
     total = raw[: len(raw) - order].copy()
     for k in range(1, order + 1):
         total = total << 8 | raw[k : len(raw) - order + k]
     return total
 
 
+def grams_in_steps(own: list[bytes], order: int) -> Iterator[np.ndarray]:
+    """As grams, STEP of them at once, so that a long text's memory is a few times its bytes."""
+    raw = np.frombuffer(b"\n" * order + b" ".join(own) + b"\n", np.uint8)
+    for begin in range(0, len(raw) - order, STEP):
+        yield _grams(raw[begin : begin + STEP + order], order)
+
+
+def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, ascending, the sum of each one's times)."""
+    turn = np.argsort(keys)
+    keys, times = keys[turn], times[turn]
+    del turn
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[starts], np.add.reduceat(times, starts) if len(starts) else times
+
+
 def is_held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
@@ -61,28 +83,27 @@ def count_grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, n): grams of all documents, with their occurrences in training documents."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, times, size = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        held, times, size = [np.empty(0, np.int64)], [np.empty(0, np.int32)], 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, place = np.unique(np.concatenate(held), return_inverse=True)
-            return keys, np.bincount(place, np.concatenate(times), len(keys)).astype(np.int64)
+        def handed(keys: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+            for begin in range(0, len(keys), HANDED):
+                yield pd.DataFrame({"gram": keys[begin : begin + HANDED], "n": n[begin : begin + HANDED]})
 
         for batch in batches:
             for train in (True, False):
-                texts = batch["text"][batch["held_out"] != train]
-                if len(texts):
-                    keys, n = np.unique(np.concatenate([grams(words(t), order) for t in texts]), return_counts=True)
-                    held.append(keys)
-                    times.append(n * train)
-                    size += len(keys)
-            if size > FLUSH_GRAMS:
-                keys, n = merged()
-                held, times, size = [keys], [n], 0
-                if len(keys) > FLUSH_GRAMS // 2:
-                    yield pd.DataFrame({"gram": keys, "n": n})
-                    held, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        keys, n = merged()
-        yield pd.DataFrame({"gram": keys, "n": n})
+                for t in batch["text"][batch["held_out"] != train]:
+                    for found in grams_in_steps(words(t), order):
+                        held.append(found)
+                        times.append(np.full(len(found), train, np.int32))
+                        size += len(found)
+                        if size > FLUSH_GRAMS:
+                            keys, n = summed(np.concatenate(held), np.concatenate(times))
+                            held, times, size = [keys], [n], len(keys)
+                            if size > FLUSH_GRAMS // 2:
+                                yield from handed(keys, n)
+                                held, times, size = [np.empty(0, np.int64)], [np.empty(0, np.int32)], 0
+        yield from handed(*summed(np.concatenate(held), np.concatenate(times)))
+        hand_back()
 
     return rows.select("text", "held_out").mapInPandas(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -99,6 +120,7 @@ def count_words(rows: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"word": list(own.keys()), "c": list(own.values())})
                 own.clear()
         yield pd.DataFrame({"word": list(own.keys()), "c": list(own.values())})
+        hand_back()
 
     return rows.where("not held_out").select("text").mapInPandas(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -124,28 +146,33 @@ class Subtrees:
     """The levels ORDER to ``order`` of the tree over some grams, which have all grams of each of their ORDER-byte contexts.
 
     A level's rows are its grams in order, so that the nodes of each of the eight decisions are runs of rows.
+    Levels below ORDER are left out where only its own nodes are asked for (``whole`` False), which bounds the memory.
     """
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int, whole: bool = True):
         place = np.argsort(keys)
         self.order, self.place, self.keys, self.up, self.nodes = order, place, {order: keys[place]}, {}, {}
         n, below = n[place].astype(float), None
         for depth in range(order, ORDER - 1, -1):
             if depth < order:
                 self.keys[depth], self.up[depth + 1] = np.unique(self.keys[depth + 1] & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+                self.up[depth + 1] = self.up[depth + 1].astype(np.int32)
+                if depth + 1 < order:
+                    del self.keys[depth + 1]
                 n = np.bincount(self.up[depth + 1], n, len(self.keys[depth]))
             for j in range(8):
                 node = self.keys[depth] >> (8 - j)
                 first = np.concatenate([[True], node[1:] != node[:-1]])
-                starts, ids = np.flatnonzero(first), np.cumsum(first) - 1
+                starts, ids = np.flatnonzero(first).astype(np.int32), np.cumsum(first, dtype=np.int32) - np.int32(1)
                 total, b = np.add.reduceat(n, starts), np.add.reduceat(n * (self.keys[depth] >> (7 - j) & 1), starts)
                 log_e = _log_gamma(total - b + 0.5) + _log_gamma(b + 0.5) - _log_gamma(total + 1.0) - np.log(np.pi)
                 log_w, own = log_e, np.ones(len(log_e))
                 if depth < order:
-                    child = self.nodes[depth + 1, j]
+                    child = self.nodes[depth + 1, j] if whole else self.nodes.pop((depth + 1, j))
                     below = np.bincount(ids[self.up[depth + 1][child["starts"]]], child["log_w"], len(starts))
                     log_w = np.logaddexp(below, log_e) - np.log(2.0)
                     own = 1 / (1 + np.exp(np.minimum(below - log_e, 700)))
+                    del child["log_w"], child["log_e"]
                 self.nodes[depth, j] = {"starts": starts, "ids": ids, "a": total - b, "b": b, "log_w": log_w, "log_e": log_e, "own": own}
 
     def _named(self, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,11 +231,16 @@ def _deep_scores(counted: DataFrame, order: int) -> DataFrame:
     dealt = counted.select("gram", "n", shard(F.shiftright("gram", 8).bitwiseAND((1 << 8 * ORDER) - 1)).alias("shard")).repartition(shards, "shard")
 
     def weighted(group: pd.DataFrame) -> pd.DataFrame:
-        return Subtrees(group["gram"].to_numpy(), group["n"].to_numpy(), order).top()
+        found = Subtrees(group["gram"].to_numpy(), group["n"].to_numpy(), order, whole=False).top()
+        hand_back()
+        return found
 
     def scored(group: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         tree = Subtrees(group["gram"].to_numpy(), group["n"].to_numpy(), order)
-        return pd.DataFrame({"gram": group["gram"].to_numpy(), "log_p": tree.scores(above)})
+        found = pd.DataFrame({"gram": group["gram"].to_numpy(), "log_p": tree.scores(above)})
+        del tree
+        hand_back()
+        return found
 
     level = stored(dealt.groupBy("shard").applyInPandas(weighted, "ctx long, p int, a double, b double, log_e double, log_w double, own double"))
     above = _carried(level).select("ctx", "p", "mix", "rest", "p1", shard(F.col("ctx")).alias("shard")).repartition(shards, "shard")
@@ -246,7 +278,10 @@ class DeepTable:
         bits = max(1, len(mixed).bit_length())
         self.shift = np.uint64(64 - bits)
         self.first = np.zeros((1 << bits) + 1, np.int32)
-        np.cumsum(np.bincount((mixed >> self.shift).astype(np.int64), minlength=1 << bits), out=self.first[1:])
+        for begin in range(0, len(mixed), STEP):
+            ids = (mixed[begin : begin + STEP] >> self.shift).astype(np.int64)
+            self.first[ids[0] + 1 : ids[-1] + 2] += np.bincount(ids - ids[0]).astype(np.int32)
+        np.cumsum(self.first, out=self.first)
 
     @classmethod
     def laid_out(cls, keys: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,13 +291,16 @@ class DeepTable:
 
     def score(self, own: list[bytes]) -> float:
         """The sum over a text's grams, all of which the table has."""
-        wanted = grams(own, self.order).astype(np.uint64) * self.FACTOR
-        at = self.first[(wanted >> self.shift).astype(np.int64)]
-        late = np.flatnonzero(self.mixed[at] != wanted)
-        while len(late):
-            at[late] += 1
-            late = late[self.mixed[at[late]] != wanted[late]]
-        return float(self.log_p[at].sum(dtype=np.float64))
+        total = 0.0
+        for found in grams_in_steps(own, self.order):
+            wanted = found.view(np.uint64) * self.FACTOR
+            at = self.first[(wanted >> self.shift).astype(np.int64)]
+            late = np.flatnonzero(self.mixed[at] != wanted)
+            while len(late):
+                at[late] += 1
+                late = late[self.mixed[at[late]] != wanted[late]]
+            total += float(self.log_p[at].sum(dtype=np.float64))
+        return total
 
 
 class Table:
