@@ -10,7 +10,7 @@ A byte's probability depends on the ``order`` bytes before it and on nothing els
 (order + 1)-byte grams with their log probabilities: Spark counts the grams of all documents (those that only
 held-out documents have count 0), sums the counts up the tree, and carries the mixture down again. Levels up to
 ORDER are joins; below it the subtrees of whole ORDER-byte contexts are dealt to tasks. Texts then look up their
-grams. The base score is an add-0.1 unigram of words: frequent words are looked up in a broadcast
+grams: the most frequent ones in a broadcast table, and the others, which are many but occur seldom, by a join. The base score is an add-0.1 unigram of words: frequent words are looked up in a broadcast
 table of fixed size, all others are joined by word.
 """
 
@@ -30,9 +30,8 @@ from netweave.llm.common import hand_back, id_and_text, stored
 ORDER, DEEP, MOST, FOLDS = 3, 6, 6, 10
 #: The most frequent words, which are broadcast; all others are joined.
 HEAD_WORDS = 50_000
-#: Gram tables up to this number of rows (12 bytes each) and, at ORDER, of matrix cells (4 bytes each) are broadcast;
-#: larger ones are joined.
-BROADCAST_GRAMS, BROADCAST_CELLS = 10_000_000, 32_000_000
+#: The most frequent grams that are broadcast (12 bytes each); all others are joined. A whole table at ORDER is a matrix of up to so many cells (4 bytes each).
+BROADCAST_GRAMS, BROADCAST_CELLS = 6_000_000, 32_000_000
 #: Grams of a task of the deep levels, on average.
 SHARD_GRAMS = 100_000
 #: Entries after which a counting task hands on what it holds, and rows that it hands on at once.
@@ -210,7 +209,7 @@ class Subtrees:
 
 
 def gram_scores(counted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, log_p): log10 of the mixture's probability of each gram's last byte after the bytes before it."""
+    """(gram, n, log_p): log10 of the mixture's probability of each gram's last byte after the bytes before it, beside its count."""
     if order > ORDER:
         return _deep_scores(counted, order)
     x = F.col("gram").bitwiseAND(0xFF)
@@ -221,7 +220,7 @@ def gram_scores(counted: DataFrame, order: int = ORDER) -> DataFrame:
     level = decided.groupBy("ctx", "p").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("a"), F.sum(F.col("n") * F.col("bit")).alias("b"))
     top = _carried(stored(level.withColumn("log_e", log_kt).withColumn("log_w", F.col("log_e")).withColumn("own", F.lit(1.0))))
     chosen = F.when(F.col("bit") == 1, F.col("p1")).otherwise(1 - F.col("p1"))
-    return decided.select("gram", "ctx", "p", "bit").join(top.select("ctx", "p", "p1"), ["ctx", "p"]).groupBy("gram").agg(F.sum(F.log10(chosen)).alias("log_p"))
+    return decided.select("gram", "n", "ctx", "p", "bit").join(top.select("ctx", "p", "p1"), ["ctx", "p"]).groupBy("gram").agg(F.first("n").alias("n"), F.sum(F.log10(chosen)).alias("log_p"))
 
 
 def _deep_scores(counted: DataFrame, order: int) -> DataFrame:
@@ -237,14 +236,14 @@ def _deep_scores(counted: DataFrame, order: int) -> DataFrame:
 
     def scored(group: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         tree = Subtrees(group["gram"].to_numpy(), group["n"].to_numpy(), order)
-        found = pd.DataFrame({"gram": group["gram"].to_numpy(), "log_p": tree.scores(above)})
+        found = pd.DataFrame({"gram": group["gram"].to_numpy(), "n": group["n"].to_numpy(), "log_p": tree.scores(above)})
         del tree
         hand_back()
         return found
 
     level = stored(dealt.groupBy("shard").applyInPandas(weighted, "ctx long, p int, a double, b double, log_e double, log_w double, own double"))
     above = _carried(level).select("ctx", "p", "mix", "rest", "p1", shard(F.col("ctx")).alias("shard")).repartition(shards, "shard")
-    return dealt.groupBy("shard").cogroup(above.groupBy("shard")).applyInPandas(scored, "gram long, log_p double")
+    return dealt.groupBy("shard").cogroup(above.groupBy("shard")).applyInPandas(scored, "gram long, n long, log_p double")
 
 
 def _carried(level: DataFrame) -> DataFrame:
@@ -290,17 +289,29 @@ class DeepTable:
         return mixed[turn], log_p[turn]
 
     def score(self, own: list[bytes]) -> float:
-        """The sum over a text's grams, all of which the table has."""
-        total = 0.0
+        """The sum over a text's grams that the table has."""
+        return self.parted(own)[0]
+
+    def parted(self, own: list[bytes]) -> tuple[float, np.ndarray, np.ndarray]:
+        """The sum over a text's grams that the table has, the other grams, and how often each of these occurs."""
+        total, others, times = 0.0, np.empty(0, np.int64), np.empty(0, np.int64)
         for found in grams_in_steps(own, self.order):
             wanted = found.view(np.uint64) * self.FACTOR
-            at = self.first[(wanted >> self.shift).astype(np.int64)]
-            late = np.flatnonzero(self.mixed[at] != wanted)
+            spot = (wanted >> self.shift).astype(np.int64)
+            at, absent = self.first[spot], np.zeros(len(spot), bool)
+            late = np.flatnonzero(self.mixed.take(at, mode="clip") != wanted) if len(self.mixed) else np.arange(len(spot))
             while len(late):
                 at[late] += 1
+                over = at[late] >= self.first[spot[late] + 1]  # the whole range was looked at
+                absent[late[over]] = True
+                late = late[~over]
                 late = late[self.mixed[at[late]] != wanted[late]]
+            if absent.any():
+                new, n = np.unique(found[absent], return_counts=True)
+                others, times = summed(np.append(others, new), np.append(times, n))
+                at = at[~absent]
             total += float(self.log_p[at].sum(dtype=np.float64))
-        return total
+        return total, others, times
 
 
 class Table:
@@ -333,17 +344,26 @@ class Table:
         return float(self.scores[self.row[context], raw[ORDER:]].sum(dtype=np.float64))
 
 
-def _collected(scores: DataFrame, order: int = ORDER) -> tuple[np.ndarray, np.ndarray] | None:
-    """The grams and their scores, or None where they are beyond the broadcast bounds. Tasks lay them out as a table."""
-    if scores.count() > BROADCAST_GRAMS:
-        return None
-    if order > ORDER:
-        rows = scores.select("gram", F.col("log_p").cast("float").alias("log_p")).toArrow()
-        return DeepTable.laid_out(rows["gram"].to_numpy(), rows["log_p"].to_numpy())
-    if scores.select(F.shiftright("gram", 8)).distinct().count() * 256 > BROADCAST_CELLS * 2:
-        return None
-    rows = scores.toArrow()
-    return rows["gram"].to_numpy().astype(np.uint32), rows["log_p"].to_numpy().astype(np.float32)
+def _least_broadcast(scores: DataFrame) -> tuple[int | None, bool]:
+    """(The least count of the grams that are broadcast, None if there are none to; whether these are all): whole counts, the highest first."""
+    held, least = 0, None
+    counts = scores.groupBy("n").agg(F.count("*").alias("grams")).orderBy(F.desc("n")).collect()  # a row a count, of which there are about the root of all occurrences
+    for r in counts:
+        held += r.grams
+        if held > BROADCAST_GRAMS:
+            return least, False
+        least = r.n
+    return least or 0, True
+
+
+def _collected(scores: DataFrame, whole: bool, order: int = ORDER) -> tuple[str, np.ndarray, np.ndarray]:
+    """The kind of table that tasks lay out, the grams and their scores; ``whole``: the grams are all that there are."""
+    rows = scores.select("gram", F.col("log_p").cast("float").alias("log_p")).toArrow()
+    gram, log_p = rows["gram"].to_numpy(), rows["log_p"].to_numpy()
+    del rows
+    if whole and order == ORDER and len(np.unique(gram >> 8)) * 128 <= BROADCAST_CELLS:
+        return "matrix", gram.astype(np.uint32), log_p
+    return "ranges", *DeepTable.laid_out(gram, log_p)
 
 
 def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bool = True, order: int = ORDER) -> DataFrame:
@@ -353,7 +373,7 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
     ``bits_per_byte`` is its code length over that text's bytes, the end byte among them. A very long text is one pass.
     Null and empty texts have the end token alone. Repeated rows are scored and counted each. A null id counts as
     training. An empty table gives no rows. Only doc_id and text are read. ``broadcast`` False takes the joins for
-    the gram table whatever its size. ``order``: bytes of the deepest contexts, ORDER to MOST.
+    all grams, frequent or not; a gram's score is a 32-bit float both ways. ``order``: bytes of the deepest contexts, ORDER to MOST.
     """
     if not ORDER <= order <= MOST:
         raise ValueError(f"order is {ORDER} to {MOST}")
@@ -367,8 +387,10 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
     whole = float(np.log10(n + 0.1 * (v + 1)))
     most = vocabulary.orderBy(F.desc("c"), "word").limit(head_words).toArrow()
     head = dict(zip(most["word"].to_pylist(), most["c"].to_pylist(), strict=True))
-    shared, table = context.broadcast(head), _collected(scores, order) if broadcast else None
-    model = context.broadcast(table)
+    least, whole_table = _least_broadcast(scores) if broadcast else (None, False)
+    rest = scores if least is None else scores.where(F.col("n") < least)
+    shared = context.broadcast(head)
+    model = context.broadcast(None if least is None else _collected(scores.where(F.col("n") >= least), whole_table, order))
 
     end_score = float(np.log10(ends + 0.1)) - whole
     shape = "n_tokens long, size long, known long, base double, model double, tail array<binary>, tail_n array<long>, grams array<long>, grams_n array<long>"
@@ -376,7 +398,8 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
     @F.pandas_udf(shape)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known_words = {w: float(np.log10(c + 0.1)) - whole for w, c in shared.value.items()}
-        own_table = (Table(*model.value) if order == ORDER else DeepTable(*model.value, order)) if model.value else None
+        kind, *parts = model.value or ("none",)
+        own_table = Table(*parts) if kind == "matrix" else DeepTable(*parts, order) if kind == "ranges" else None
         for texts in batches:
             out = []
             for text in texts:
@@ -391,10 +414,12 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
                         base += k * s
                         known += k
                 found, score = (np.empty(0, np.int64), np.empty(0, np.int64)), 0.0
-                if own_table is None:
+                if kind == "none":
                     found = np.unique(grams(own, order), return_counts=True)
-                else:
+                elif kind == "matrix":
                     score = own_table.score(own)
+                else:
+                    score, *found = own_table.parted(own)
                 out.append((len(own) + 1, sum(map(len, own)) + max(len(own), 1), known, base, score, tail, tail_n, *found))
             yield pd.DataFrame(out, columns=["n_tokens", "size", "known", "base", "model", "tail", "tail_n", "grams", "grams_n"])
 
@@ -404,9 +429,9 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
     sums = each.groupBy("row").agg(F.sum("s").alias("tail_base"), F.sum("known").alias("tail_known"))
     done = first.select("row", "doc_id", "held_out", "n_tokens", "size", "known", "base", "model").join(sums, "row", "left")
     extra = F.lit(0.0)
-    if table is None:
+    if not whole_table:
         pairs = first.select("row", F.explode(F.arrays_zip("grams", "grams_n")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.grams_n").alias("k"))
-        done = done.join(pairs.join(scores, "gram").groupBy("row").agg(F.sum(F.col("k") * F.col("log_p")).alias("joined")), "row", "left")
+        done = done.join(pairs.join(rest, "gram").groupBy("row").agg(F.sum(F.col("k") * F.col("log_p").cast("float")).alias("joined")), "row", "left")
         extra = F.coalesce("joined", F.lit(0.0))
     return done.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
