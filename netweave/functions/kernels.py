@@ -224,11 +224,29 @@ class Solved:
     c: float = 1.0
     on: np.ndarray = field(init=False)
     inverse: np.ndarray = field(init=False)
+    least: np.ndarray = field(init=False)
+    ratio: float = field(init=False)
 
     def __post_init__(self) -> None:
         self.on = 1 - self.signs * (self.near @ self.weights) > 0
         active = self.near[self.on]
-        self.inverse = np.linalg.inv(self.fixed + 2 * self.c * active.T @ active)
+        whole = self.fixed + 2 * self.c * active.T @ active
+        self.inverse, self.least = np.linalg.inv(whole), np.linalg.inv(self.fixed)
+        self.ratio = float(np.abs(np.linalg.eigvals(self.least @ whole)).max())
+
+    def stays(self, a: np.ndarray, signs: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether the rows of ``a`` are predicted right by the machines without them, as a bound for all rows at once says.
+
+        Within the radius the Hessian without a row is at least K: the fixed one, less the row's own part if it is in it. So the weights
+        move by no more than the row's pull under K, and its margin falls by no more than the pull times its squared length under K's
+        inverse; nothing on the radius is as low as the start where twice that move, by the Hessian of all rows, ends inside.
+        """
+        margin = signs * (a @ self.weights)
+        square = np.einsum("ij,jk,ik->i", a, self.least, a, optimize=True)
+        share = np.where(places < 0, 1 - 2 * self.c * square, 1.0)
+        safe, pull = np.maximum(share, 1e-12), 2 * self.c * np.maximum(1 - margin, 0)
+        inside = 2 * pull * np.sqrt(self.ratio * square) / safe < self.radius
+        return (share > 1e-6) & inside & (margin - pull * square / safe > NEAR)
 
     def without(self, a: np.ndarray, sign: float, place: int = -1, steps: int = 60) -> tuple[np.ndarray, bool]:
         """(weights without a subject, whether they are settled); ``place`` is the subject's among the near ones, -1 if it is none.
@@ -271,7 +289,7 @@ class Solved:
 def left_out(x: np.ndarray, y: np.ndarray, c: float = 1.0, spread: float = 2.0) -> np.ndarray:
     """0 or 1 for every row of ``x``, by the machine of all others; rows of one class predict it, none predict 0.
 
-    The machine of all rows is updated for each row that its margin leaves open; the radius is ``spread`` times the longest first
+    The machine of all rows is updated for each row that its margin and then ``Solved.stays`` leave open; the radius is ``spread`` times the longest first
     step. A row whose update is not settled is fitted anew.
     """
     ones = int((y == 1).sum())
@@ -293,7 +311,7 @@ def left_out(x: np.ndarray, y: np.ndarray, c: float = 1.0, spread: float = 2.0)
     fixed = active & ~near
     solved = Solved(w, np.eye(len(w)) + 2 * c * a[fixed].T @ a[fixed], 2 * c * a[fixed].T @ signs[fixed], a[near], signs[near], radius, c)
     places = np.where(near, np.cumsum(near) - 1, -1)
-    for i in unsure:
+    for i in unsure[~solved.stays(a[unsure], signs[unsure], places[unsure])]:  # those that stay keep their guess
         v, settled = solved.without(a[i], signs[i], int(places[i]))
         if not settled:
             v = support_vector(np.delete(x, i, 0), np.delete(signs, i), c)

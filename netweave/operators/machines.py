@@ -11,6 +11,9 @@ settle its prediction:
 * the margin falls by no more than twice the shortfall 1 - m times the squared length of the subject's row, since the
   penalty makes the loss strongly convex.
 
+Where these leave a subject open, a bound by the Hessian of the subjects that stay active settles all but those whose margin is within
+some of that fall of 0 (``kernels.Solved.stays``): their share falls with the number of subjects. The others are updates.
+
 An update needs the subjects near the margin alone (``kernels.Solved``). They are few, since leaving one of many out moves the weights
 little: their number does not grow with the subjects. So all open subjects are one job, each in its partition. Clusters with more of
 them than ``NEAR_CELLS`` hold, and subjects whose update leads out of the radius, are fitted in blocks of machines.
@@ -164,18 +167,24 @@ def updated(told: DataFrame, weights: dict[str, np.ndarray], c: float, near_cell
     own = flagged.where(F.col("path").isin(*chosen))
     fixed = quadratics(own.where("active and not near"), {path: weights[path] for path in chosen}, c)
     close = own.where("near").select("path", "subject", "label", "values").toPandas()  # at most ``near_cells`` cells
+    near = {path: (a, y, {s: k for k, s in enumerate(rows["subject"])}) for path, rows, a, y in sides(close)}
     solved, places = {}, {}
-    for path, _, a, y in sides(close):
-        solved[path] = kernels.Solved(weights[path], *fixed[path], a, y, chosen[path], c)
-        places[path] = {s: k for k, s in enumerate(close.loc[close["path"] == path, "subject"])}
+    for path, radius in chosen.items():  # also those that have no subject near the margin
+        a, y, places[path] = near.get(path, (np.empty((0, len(weights[path]))), np.empty(0), {}))
+        solved[path] = kernels.Solved(weights[path], *fixed[path], a, y, radius, c)
 
     def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, rows, a, y in sides(batch):
+                machine = solved.get(path)
+                own = np.array([places[path].get(subject, -1) for subject in rows["subject"]]) if machine else np.full(len(rows), -1)
+                stays = machine.stays(a, y, own) if machine else np.zeros(len(rows), bool)
                 found = []
-                for subject, row, sign in zip(rows["subject"], a, y, strict=True):
-                    machine = solved.get(path)
-                    v, settled = machine.without(row, sign, places[path].get(subject, -1)) if machine else (row, False)
+                for row, sign, place, stay in zip(a, y, own.tolist(), stays.tolist(), strict=True):
+                    if stay:
+                        found.append((int(sign > 0), True))
+                        continue
+                    v, settled = machine.without(row, sign, place) if machine else (row, False)
                     found.append((int(row @ v > 0), settled))
                 yield rows[["path", "subject", "label"]].assign(predicted=[g for g, _ in found], settled=[s for _, s in found])
 
