@@ -289,8 +289,17 @@ class DeepTable:
         return mixed[turn], log_p[turn]
 
     def score(self, own: list[bytes]) -> float:
-        """The sum over a text's grams that the table has."""
-        return self.parted(own)[0]
+        """The sum over a text's grams, all of which the table has."""
+        total = 0.0
+        for found in grams_in_steps(own, self.order):
+            wanted = found.view(np.uint64) * self.FACTOR
+            at = self.first[(wanted >> self.shift).astype(np.int64)]
+            late = np.flatnonzero(self.mixed[at] != wanted)
+            while len(late):
+                at[late] += 1
+                late = late[self.mixed[at[late]] != wanted[late]]
+            total += float(self.log_p[at].sum(dtype=np.float64))
+        return total
 
     def parted(self, own: list[bytes]) -> tuple[float, np.ndarray, np.ndarray]:
         """The sum over a text's grams that the table has, the other grams, and how often each of these occurs."""
@@ -363,7 +372,7 @@ def _collected(scores: DataFrame, whole: bool, order: int = ORDER) -> tuple[str,
     del rows
     if whole and order == ORDER and len(np.unique(gram >> 8)) * 128 <= BROADCAST_CELLS:
         return "matrix", gram.astype(np.uint32), log_p
-    return "ranges", *DeepTable.laid_out(gram, log_p)
+    return "whole" if whole else "ranges", *DeepTable.laid_out(gram, log_p)
 
 
 def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bool = True, order: int = ORDER) -> DataFrame:
@@ -399,7 +408,7 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known_words = {w: float(np.log10(c + 0.1)) - whole for w, c in shared.value.items()}
         kind, *parts = model.value or ("none",)
-        own_table = Table(*parts) if kind == "matrix" else DeepTable(*parts, order) if kind == "ranges" else None
+        own_table = Table(*parts) if kind == "matrix" else DeepTable(*parts, order) if parts else None
         for texts in batches:
             out = []
             for text in texts:
@@ -416,7 +425,7 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, broadcast: bo
                 found, score = (np.empty(0, np.int64), np.empty(0, np.int64)), 0.0
                 if kind == "none":
                     found = np.unique(grams(own, order), return_counts=True)
-                elif kind == "matrix":
+                elif kind != "ranges":
                     score = own_table.score(own)
                 else:
                     score, *found = own_table.parted(own)
